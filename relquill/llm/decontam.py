@@ -4,8 +4,8 @@ An item leaks where some stretch of a document is within ``MAX_EDIT`` times its
 of edits (bytes, after A-Z are lowered and white space made a space).
 
 1. Windows that cannot hold an item are passed over without loss: within k edits of
-   an item of m bytes at least m - 7 - 8 k of its 8-byte strings survive, so a window
-   with fewer 8-byte strings known from the items holds none.
+   an item of m bytes at least m - 11 - 12 k of its 12-byte strings survive, so a window
+   with fewer 12-byte strings known from the items holds none.
 2. Item-sized windows at the word starts of what is left are embedded by CGK random
    walks (edit distance becomes Hamming distance), and tables of sampled positions
    name the items whose embedding agrees. ``TABLES`` tables of ``SAMPLES`` positions
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from relquill.llm.common import batch_of, column, document_slices, documents, mix, text_bytes
 
-MAX_EDIT, GRAM, SHORTEST = 0.1, 8, 12
-WALKS, TABLES, SAMPLES = 8, 48, 5
-ITEMS, SLICE, COARSE = 5000, 1 << 22, 64
+MAX_EDIT, GRAM, SHORTEST = 1 / 15, 12, 24
+WALKS, TABLES, SAMPLES = 8, 64, 3
+ITEMS, SLICE = 5000, 1 << 23
 #: Items whose lengths differ by less than this factor share windows.
 GROWTH = 1.15
 
@@ -49,12 +49,15 @@ def allowed(m: int) -> int:
     return max(0, min(math.floor(MAX_EDIT * m), (m - GRAM) // GRAM))
 
 
-def words8(data: np.ndarray) -> np.ndarray:
-    """Every 8-byte string as an integer."""
+def gram_words(data: np.ndarray) -> np.ndarray:
+    """Every GRAM-byte string as a hash of its two overlapping 8-byte words."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
+    data = np.ascontiguousarray(data)
+    first = np.ndarray((n,), "<u8", data, strides=(1,))
+    last = np.ndarray((n,), "<u8", data, offset=GRAM - 8, strides=(1,))
+    return (first * np.uint64(0xD6E8FEB86659FD93)) ^ (last * np.uint64(0xA0761D6478BD642F) >> np.uint64(7))
 
 
 def edit_matches(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
@@ -98,7 +101,8 @@ class Items:
                 self.ids.append(item)
                 self.texts.append(plain)
         self.order = np.argsort([len(t) for t in self.texts], kind="stable").tolist()
-        grams = np.unique(np.concatenate([words8(t) for t in self.texts])) if self.texts else np.zeros(0, np.uint64)
+        grams = np.unique(np.concatenate([gram_words(t) for t in self.texts])) if self.texts else np.zeros(0, np.uint64)
+        self.grams, self.of_group = grams, np.zeros(len(grams), np.uint64)
         self.bits = np.uint64(64 - max(16, int(len(grams) * 16).bit_length()))
         self.known = np.zeros(1 << (64 - int(self.bits)), bool)
         self.known[self.slot(grams)] = True
@@ -120,62 +124,62 @@ class Items:
             keys = self.keys([self.texts[i] for i in members], longest_here, picks)
             table, owner = keys.ravel(), np.repeat(np.array(members), TABLES)
             by = np.argsort(table, kind="stable")
-            self.groups.append((least, longest_here, longest_here + allowed(longest_here), max(1, need), picks, table[by], owner[by]))
+            # above 64 groups, several share a bit
+            for i in members:
+                self.of_group[np.searchsorted(grams, gram_words(self.texts[i]))] |= np.uint64(1 << len(self.groups) % 64)
+            self.groups.append((longest_here, longest_here + allowed(longest_here), max(1, need), picks, table[by], owner[by]))
             at = end
 
     def slot(self, grams: np.ndarray) -> np.ndarray:
         return (grams * np.uint64(0x9E3779B97F4A7C15)) >> self.bits
 
     def keys(self, windows: list[np.ndarray], width: int, picks: np.ndarray) -> np.ndarray:
-        """(windows, TABLES) keys: CGK walks over each window, read at the sampled steps."""
-        n = len(windows)
+        """(windows, TABLES) keys: all CGK walks over each window, read at the sampled steps."""
+        n, per = len(windows), TABLES // WALKS
         x = np.zeros((n, width + 1), np.uint8)
         for i, w in enumerate(windows):
             x[i, : min(width, len(w))] = w[:width]
-        flat, base = x.ravel(), np.arange(n) * (width + 1)
-        out = np.zeros((n, TABLES), np.uint64)
-        per = TABLES // WALKS
-        for walk in range(WALKS):
-            own = picks[walk * per : (walk + 1) * per]
-            steps: dict[int, list[int]] = {}
-            for t, row in enumerate(own.tolist()):
-                for s in row:
-                    steps.setdefault(s, []).append(walk * per + t)
-            at = np.zeros(n, np.int64)
-            for s in range(int(own.max()) + 1):
-                c = flat[base + at]
-                for t in steps.get(s, ()):
-                    out[:, t] = out[:, t] * np.uint64(0x100000001B3) + c + np.uint64(1)
-                at += self.walk_bits[walk, s][c]
-                np.minimum(at, width, out=at)
-        return mix(out * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64))
+        flat, base = x.ravel(), (np.arange(n) * (width + 1))[None, :]
+        walks = np.arange(WALKS)[:, None]
+        out = np.zeros((TABLES, n), np.uint64)
+        steps: dict[int, list[int]] = {}
+        for t, row in enumerate(picks.tolist()):
+            for s in row:
+                steps.setdefault(s, []).append(t)
+        at = np.zeros((WALKS, n), np.int64)
+        for s in range(int(picks.max()) + 1):
+            c = flat[base + at]
+            for t in steps.get(s, ()):
+                out[t] = out[t] * np.uint64(0x100000001B3) + c[t // per] + np.uint64(1)
+            at += self.walk_bits[:, s][walks, c]
+            np.minimum(at, width, out=at)
+        return mix(out * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[:, None]).T
 
     def regions(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, first window start, past the last, group) that may hold an item of the group."""
-        hit = self.known[self.slot(words8(data))] if len(data) >= GRAM else np.zeros(0, bool)
-        total = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(hit, out=total[1 : len(hit) + 1])
-        total[len(hit) + 1 :] = total[len(hit)]
-        coarse = total[::COARSE]
-        for g, (_, _, length, need, *_) in enumerate(self.groups):
-            # windows of whole steps that hold every window beginning in a step
-            reach = -(-length // COARSE) + 1
-            upto = coarse[np.minimum(np.arange(len(coarse)) + reach, len(coarse) - 1)].copy()
-            upto[max(0, len(coarse) - 1 - reach) :] = total[-1]
-            blocks = np.flatnonzero(upto - coarse >= need)
-            if not len(blocks):
+        words = gram_words(data)
+        at = np.flatnonzero(self.known[self.slot(words)])
+        place = np.minimum(np.searchsorted(self.grams, words[at]), len(self.grams) - 1)
+        real = self.grams[place] == words[at]
+        at, masks = at[real], self.of_group[place[real]]
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        whole = at + GRAM <= offsets[doc + 1]
+        at, masks, doc = at[whole], masks[whole], doc[whole]
+        for g, (_, length, need, *_) in enumerate(self.groups):
+            own = np.flatnonzero(masks & np.uint64(1 << g % 64))
+            if len(own) < need:
                 continue
-            starts = (blocks[:, None] * COARSE + np.arange(COARSE)).ravel()
-            starts = starts[starts < len(data)]
-            doc = np.searchsorted(offsets, starts, side="right") - 1
-            ends = np.minimum(starts + length, offsets[doc + 1])
-            ok = total[np.maximum(starts, ends - GRAM + 1)] - total[starts] >= need
-            starts, doc = starts[ok], doc[ok]
-            if not len(starts):
+            # a window that holds ``need`` strings begins before the first and ends after the last
+            first, last = own[: len(own) - need + 1], own[need - 1 :]
+            lo, hi = np.maximum(at[last] + GRAM - length, offsets[doc[first]]), at[first] + 1
+            ok = (doc[first] == doc[last]) & (lo < hi)
+            lo, hi, of = lo[ok], hi[ok], doc[first[ok]]
+            if not len(lo):
                 continue
-            cut = np.flatnonzero((np.diff(starts) > 1) | (np.diff(doc) != 0)) + 1
-            for run in np.split(np.arange(len(starts)), cut):
-                yield int(doc[run[0]]), int(starts[run[0]]), int(starts[run[-1]]) + 1, g
+            new = np.concatenate([[True], (lo[1:] > hi[:-1]) | (of[1:] != of[:-1])])
+            cut = np.flatnonzero(new)
+            for k, a, b in zip(of[cut].tolist(), lo[cut].tolist(), np.maximum.reduceat(hi, cut).tolist(), strict=True):
+                yield k, a, b, g
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item position, start, end, edits) of each item in each region, best stretch."""
@@ -184,7 +188,7 @@ class Items:
             by_group.setdefault(g, []).append((doc, a, b))
         best: dict[tuple[int, int, int], tuple] = {}
         for g, found in by_group.items():
-            _, width, length, _, picks, table, owner = self.groups[g]
+            width, length, _, picks, table, owner = self.groups[g]
             slack = length - width
             windows, of = [], []
             for k, (doc, a, b) in enumerate(found):
