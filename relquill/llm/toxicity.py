@@ -1,14 +1,15 @@
 """Operator 10, toxicity: character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed 3- to 6-byte strings of the text (A-Z lowered), present or
-not. Their log-count ratios come from all learnable labelled documents; the
+Features are hashed byte strings of the text (A-Z lowered), present or not: all of 4
+and 6 bytes, and those of 7 to 12 bytes that begin with the space before a word, which
+hold whole words. Their log-count ratios come from all learnable labelled documents; the
 ``FEATURES`` strings with the most significant ratios are kept, and a logistic
 regression on the ratio-scaled features is fitted on at most ``TRAIN_ROWS`` labelled
 rows (in the order of a hash of their id).
 
 Null or empty text: no features, the score of the bias. No labels, or labels of one
 class: the smoothed share of that label for every row. Long texts are hashed in
-pieces that overlap by 5 bytes. Repeated rows stay. Empty table: no rows.
+pieces that overlap by 11 bytes. Repeated rows stay. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -21,28 +22,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, with_score
-from relquill.llm.common import column, document_slices, documents, gram_hashes, prefix_hash, text_bytes
+from relquill.llm.common import column, document_slices, documents, gram_hashes, prefix_hash, span_hashes, text_bytes
 
-ORDERS, SLOTS, BLOCK = (3, 4, 5, 6), 1 << 18, 1 << 12
+ORDERS, WORD_ORDERS, SLOTS, BLOCK = (4, 6), tuple(range(7, 13)), 1 << 18, 1 << 12
 TRAIN_ROWS, FEATURES, LEAST_Z = 16_384, 4096, 3.0
 SLICE, PIECE = 1 << 22, 1 << 22
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def gram_slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, slot) of every n-gram of some documents, order by order."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     for at in range(0, max(1, len(data)), PIECE):
-        piece = _LOWER[data[at : at + PIECE + max(ORDERS) - 1]]
+        piece = _LOWER[data[at : at + PIECE + max(WORD_ORDERS) - 1]]
         prefix = prefix_hash(piece)
-        for k in ORDERS:
-            h = gram_hashes(prefix, k)[:PIECE]
-            own = row[at : at + len(h)]
+        words = np.flatnonzero(_WHITE[piece[:PIECE]])
+        for k in (*ORDERS, *WORD_ORDERS):
+            if k in ORDERS:
+                starts = np.arange(max(0, min(PIECE, len(piece) - k + 1)))
+                h = gram_hashes(prefix, k)[: len(starts)]
+            else:
+                starts = words[words + k <= len(piece)]
+                h = span_hashes(prefix, starts, starts + k)
+            own = row[at + starts]
             # grams that would run into the next document are none
-            inside = np.arange(at, at + len(h)) + k <= offsets[1:][own]
+            inside = at + starts + k <= offsets[1:][own]
             yield own[inside], ((h[inside] ^ np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64)
 
 
