@@ -18,6 +18,7 @@ executors and repeated attempts leave equal files.
 from __future__ import annotations
 
 import posixpath
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,23 +28,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import ShardFile, batch_of, column, documents, filesystem, mix, partition_id, run_dir, spread
+from relquill.llm.common import ShardFile, batch_of, column, documents, filesystem, mix, partition_id, run_dir, scatter_index, spread
 
 MAGIC = b"RQTOK1\0\0"
 END_ID = 0
 #: Distinct pre-tokens whose ids a worker remembers (about 150 bytes each).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_000_000
 
 
 # --- encoding ----------------------------------------------------------------
 
 
+# Letters, digits and white space among the first 256 code points (fixed values).
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r" \t-\r\x85\xa0"
+#: The tokenizer's own pattern over those classes.
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+
+
+class _Slots(dict):
+    """Numbers pre-tokens in order of their first appearance."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Byte-level BPE with the ids of pre-tokens remembered.
 
     Byte-level BPE merges never cross pre-tokens, so a text's ids are those of its
-    pre-tokens in turn. Each distinct pre-token is encoded once by the tokenizers
-    library; texts are then joined from the remembered ids.
+    pre-tokens in turn. Each distinct pre-token is encoded by the tokenizers library
+    once per ``CACHE_ENTRIES``; texts are then joined from the remembered ids.
     """
 
     def __init__(self, path: str):
@@ -53,64 +73,106 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.split_any = regex.compile(public_tokenizers.PATTERN).findall
+        vocabulary = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
+        # ids whose text begins with a space (byte-level alphabet: G with a dot)
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(vocabulary)])
+        self.newline = self._ids("\n")
         self.reset()
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text; Latin-1 texts by a pattern with its classes spelled out."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split_any(text)
+        return _LATIN(text)
+
     def reset(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots = _Slots()
         self.ids = np.zeros(1 << 20, self.dtype)
         self.at = np.zeros(1 << 18, np.int64)
-        self.filled = 0
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.slots) + len(words) > CACHE_ENTRIES:
-            self.reset()
-        for k in range(0, len(words), 8192):
-            for word, got in zip(words[k : k + 8192], self.tokenizer.encode_batch_fast(words[k : k + 8192], add_special_tokens=False), strict=True):
-                ids, n = got.ids, len(self.slots)
-                while self.filled + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if n + 2 > len(self.at):
-                    self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-                self.ids[self.filled : self.filled + len(ids)] = ids
-                self.filled += len(ids)
-                self.slots[word] = n
-                self.at[n + 1] = self.filled
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and the number of each.
+
+        Runs of letters are encoded in one text: with a leading space their first
+        id begins with a space and no other does; without, a line end parts them.
+        """
+        kinds = [(2 if w[0] == " " and w[1:].isalpha() else 1) if w.lstrip(" ").isalpha() and len(self.newline) == 1 and w.count(" ") == (w[0] == " ") else 0 for w in words]
+        sizes, pieces, order = np.zeros(len(words), np.int64), [], []
+        for kind in (0, 1, 2):
+            own = [i for i, k in enumerate(kinds) if k == kind]
+            if not own:
+                continue
+            if kind == 0:
+                got = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in own], add_special_tokens=False)]
+                ids, first = np.array([x for g in got for x in g], np.int64), None
+                sizes[own] = [len(g) for g in got]
+            elif kind == 1:
+                ids = self._ids("\n" + "\n".join(words[i] for i in own))
+                marks = np.append(np.flatnonzero(ids == self.newline[0]), len(ids))
+                first = np.diff(marks) - 1
+                ids = ids[ids != self.newline[0]]
+            else:
+                ids = self._ids("".join(words[i] for i in own))
+                first = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+            if first is not None:
+                if len(first) != len(own):  # a tokenizer that parts words otherwise
+                    return self._one_by_one(words)
+                sizes[own] = first
+            pieces.append(ids)
+            order += own
+        flat, place = np.concatenate(pieces), np.array(order)
+        # back into the order of the words
+        ends = np.zeros(len(words), np.int64)
+        ends[place] = np.cumsum(sizes[place])
+        return flat[scatter_index(ends - sizes, sizes)], sizes
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([x for g in got for x in g], np.int64), np.array([len(g) for g in got], np.int64)
+
+    def learn(self) -> None:
+        """Encode the pre-tokens that were numbered since the last call."""
+        words, n = self.slots.new, len(self.slots)
+        if not words:
+            return
+        self.slots.new = []
+        ids, sizes = self._encoded(words)
+        filled = int(self.at[n - len(words)])
+        while filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[filled : filled + len(ids)] = ids
+        self.at[n - len(words) + 1 : n + 1] = filled + np.cumsum(sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by the end id, and the ids per text."""
+        if len(self.slots) > CACHE_ENTRIES:
+            self.reset()
         words: list[str] = []
         counts = []
         for text in texts:
             found = self.split(text)
             words += found
             counts.append(len(found))
-        get = self.slots.get
-        slot = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        if (slot < 0).any():
-            new = {words[i] for i in np.flatnonzero(slot < 0)}
-            if len(self.slots) + len(new) > CACHE_ENTRIES:
-                new = set(words)
-            self.learn(sorted(new))
-            get = self.slots.__getitem__
-            slot = np.fromiter(map(get, words), np.int64, len(words))
-        starts, sizes = self.at[slot], self.at[slot + 1] - self.at[slot]
+        slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        self.learn()
+        starts = self.at[slot]
+        sizes = self.at[slot + 1] - starts
         ends = np.zeros(len(words) + 1, np.int64)
         np.cumsum(sizes, out=ends[1:])
         closing = ends[np.cumsum(counts)] + np.arange(len(texts)) if texts else np.zeros(0, np.int64)
-        total = int(ends[-1]) + len(texts)
-        out = np.full(total, END_ID, self.dtype)
-        body = np.ones(total, bool)
+        out = np.full(int(ends[-1]) + len(texts), END_ID, self.dtype)
+        body = np.ones(len(out), bool)
         body[closing] = False
-        if len(words):
-            step = np.ones(int(ends[-1]), np.int64)
-            full = sizes > 0
-            s, n, e = starts[full], sizes[full], ends[:-1][full]
-            if len(s):
-                step[0] = s[0]
-                step[e[1:]] = s[1:] - (s[:-1] + n[:-1] - 1)
-                out[body] = self.ids[np.cumsum(step)]
+        out[body] = self.ids[scatter_index(starts, sizes)]
         return out, np.diff(closing, prepend=-1)
 
 
