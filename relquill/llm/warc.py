@@ -42,13 +42,18 @@ def base32(digest: bytes) -> str:
 
 def decide(pages: DataFrame, least: int) -> DataFrame:
     """Each page with its payload's digest and, for a revisit, the page it repeats."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies"))
-    # only digests that repeat are joined back; the pages table is hashed again rather than stored twice
-    repeated = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html"), F.lit("")).alias("html")).select("page_id", F.sha1("html").alias("digest")).join(first.filter("copies > 1"), "digest").groupBy("page_id", "digest").agg(F.first("first_page").alias("first_page"))
-    big = F.octet_length("html") >= least
-    joined = rows.alias("r").join(repeated.alias("d"), F.col("r.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("r.digest") == F.col("d.digest")), "left")
-    return joined.select("r.page_id", "r.url", "r.html", "r.digest", F.when(big, F.coalesce("d.digest", F.lit(None))).isNotNull().alias("repeated"), F.when(big, F.col("d.first_page")).alias("first_page"))
+    html = F.coalesce(F.col("html"), F.lit(""))
+    page = F.col("page_id").cast("long").alias("page_id")
+    # the page and its payload as one key, never null
+    key = F.concat_ws("/", F.col("page_id").cast("string"), "digest").alias("key")
+    rows = pages.select(page, F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html")).withColumn("digest", F.sha1("html"))
+    # the pages are hashed again for the groups rather than stored twice
+    narrow = pages.select(page, F.sha1(html).alias("digest"), (F.octet_length(html) >= least).alias("big")).filter("big")
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).filter("copies > 1")
+    repeated = narrow.join(first, "digest").select(key, "first_page").groupBy("key").agg(F.first("first_page").alias("first_page"), F.lit(True).alias("repeated"))
+    # pages move once, by a key that the join and the writer share
+    joined = rows.select("*", key).repartition(F.col("key")).join(repeated, "key", "left")
+    return joined.select("key", "page_id", "url", "html", "digest", F.coalesce("repeated", F.lit(False)).alias("repeated"), "first_page")
 
 
 def header(fields: list[tuple[str, object]]) -> bytes:
@@ -93,7 +98,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> list:
             yield batch_of(WRITTEN, [shard], [name], [n])
 
     # equal rows side by side: the first of a run is the response
-    rows = decide(pages, least).repartition(F.col("page_id"), F.col("digest")).sortWithinPartitions("page_id", "digest")
+    rows = decide(pages, least).sortWithinPartitions("key").drop("key")
     written = rows.mapInArrow(run, "shard long, name string, records long")
     return sorted(written.collect(), key=lambda r: r["shard"])  # a row for each archive
 
