@@ -168,19 +168,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hashes of all k-byte strings, from their prefix hash."""
+def gram_values(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Polynomials of all k-byte strings, from their prefix hash: equal for equal strings, unmixed."""
     n = len(prefix) - 1
     if n < k:
         return np.zeros(0, np.uint64)
     _, down = powers(n)
-    return mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
+    return (prefix[k:] - prefix[:-k]) * down[: n - k + 1]
+
+
+def span_values(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials of the strings [start, end), unmixed."""
+    _, down = powers(len(prefix) - 1)
+    return (prefix[ends] - prefix[starts]) * down[starts]
+
+
+def gram_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
+    """Mixed hashes of all k-byte strings."""
+    return mix(gram_values(prefix, k))
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mixed hashes of the strings [start, end)."""
-    _, down = powers(len(prefix) - 1)
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+    return mix(span_values(prefix, starts, ends))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

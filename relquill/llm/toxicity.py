@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, with_score
-from relquill.llm.common import column, document_slices, documents, gram_hashes, prefix_hash, span_hashes, text_bytes
+from relquill.llm.common import column, document_slices, documents, gram_values, prefix_hash, span_values, text_bytes
 
 ORDERS, WORD_ORDERS, SLOTS, BLOCK = (4, 6), tuple(range(7, 13)), 1 << 18, 1 << 12
 TRAIN_ROWS, FEATURES, LEAST_Z = 16_384, 4096, 3.0
-SLICE, PIECE = 1 << 22, 1 << 22
+SLICE, PIECE = 1 << 19, 1 << 19
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -38,21 +38,24 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 def gram_slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, slot) of every n-gram of some documents, order by order."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    last = np.repeat(offsets[1:], np.diff(offsets))
+    shift = np.uint64(64 - SLOTS.bit_length() + 1)
     for at in range(0, max(1, len(data)), PIECE):
         piece = _LOWER[data[at : at + PIECE + max(WORD_ORDERS) - 1]]
         prefix = prefix_hash(piece)
         words = np.flatnonzero(_WHITE[piece[:PIECE]])
         for k in (*ORDERS, *WORD_ORDERS):
+            # grams that would run into the next document are none
             if k in ORDERS:
-                starts = np.arange(max(0, min(PIECE, len(piece) - k + 1)))
-                h = gram_hashes(prefix, k)[: len(starts)]
+                n = max(0, min(PIECE, len(piece) - k + 1))
+                inside = np.flatnonzero(last[at : at + n] >= np.arange(at + k, at + k + n))
+                value = gram_values(prefix, k)[inside]
             else:
-                starts = words[words + k <= len(piece)]
-                h = span_hashes(prefix, starts, starts + k)
-            own = row[at + starts]
-            # grams that would run into the next document are none
-            inside = at + starts + k <= offsets[1:][own]
-            yield own[inside], ((h[inside] ^ np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64)
+                inside = words[words + k <= len(piece)]
+                inside = inside[at + inside + k <= last[at + inside]]
+                value = span_values(prefix, inside, inside + k)
+            slot = ((value + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> shift
+            yield row[at + inside], slot.view(np.int64)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,14 +70,24 @@ def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
+        stamp, number = np.zeros(SLOTS, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             y = (column(batch, "y").to_numpy() > 0).astype(np.int64)
             for c in (0, 1):
                 total[2 * SLOTS + c] += int((y == c).sum())
             for a, b, data, offsets in slices(column(batch, "text")):
+                held: list[list[np.ndarray]] = [[] for _ in range(b - a)]
                 for doc, slot in gram_slots(data, offsets):
-                    code = np.unique(doc * SLOTS + slot)
-                    total[: 2 * SLOTS] += np.bincount(y[a + code // SLOTS] * SLOTS + code % SLOTS, minlength=2 * SLOTS)
+                    cut = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
+                    for d in range(b - a):
+                        held[d].append(slot[cut[d] : cut[d + 1]])
+                for d in range(b - a):
+                    own = np.concatenate(held[d])
+                    if len(own) > len(number):
+                        number = np.arange(2 * len(own))
+                    # each slot once: where its last entry stands
+                    stamp[own] = number[: len(own)]
+                    total[y[a + d] * SLOTS + own[stamp[own] == number[: len(own)]]] += 1
         while (part := np.minimum(total, 2**31 - 1)).any():
             yield block_rows(part, BLOCK)
             total -= part
