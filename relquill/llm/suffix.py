@@ -36,15 +36,16 @@ from relquill.llm.common import ShardFile, batch_of, column, document_slices, do
 
 WINDOW, GRAM = 200, 32
 SPAN = WINDOW - GRAM + 1
-SLICE = 1 << 22
+SLICE = 1 << 20
 #: Distinct contexts of an anchor that one index takes; more are dealt by window.
 CROWD = 4096
 #: Windows of one batch of an index.
 BATCH = 1 << 15
 
 _PLACE_BITS, _SHARD_BITS, _COUNT_BITS = 23, 32, 9
-CONTEXTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("text", pa.int64()), ("place", pa.int64())])
-CONTEXTS_DDL = "anchor long, digest long, text long, place long"
+#: ``sure``: the same context stands twice in the rows beside it, so it is a repeat wherever it goes.
+CONTEXTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("text", pa.int64()), ("place", pa.int64()), ("sure", pa.bool_())])
+CONTEXTS_DDL = "anchor long, digest long, text long, place long, sure boolean"
 
 
 # --- contexts -----------------------------------------------------------------
@@ -102,6 +103,15 @@ def text_contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
             yield (doc + a, start - own[doc], *rest)
 
 
+def third_and_later(digest: np.ndarray) -> np.ndarray:
+    """Which contexts come after two equal ones."""
+    order = np.argsort(digest, kind="stable")
+    ranked = digest[order]
+    out = np.zeros(len(digest), bool)
+    out[order[2:]] = ranked[2:] == ranked[:-2]
+    return out
+
+
 def shard_name(shard: int) -> str:
     return f"texts-{shard:07d}.arrow"
 
@@ -119,7 +129,7 @@ def store_and_deal(docs: DataFrame, folder: str) -> DataFrame:
                 writer.write_batch(batch.slice(at, 2048))
             for doc, start, count, anchor, digest in text_contexts(*text_bytes(column(batch, "text"))):
                 if len(doc):
-                    yield batch_of(CONTEXTS, anchor.view(np.int64), digest.view(np.int64), (shard << _SHARD_BITS) + row + doc, (start << _COUNT_BITS) + count)
+                    yield batch_of(CONTEXTS, anchor.view(np.int64), digest.view(np.int64), (shard << _SHARD_BITS) + row + doc, (start << _COUNT_BITS) + count, third_and_later(digest))
             row += batch.num_rows
         if writer is not None:
             writer.close()
@@ -131,7 +141,7 @@ def store_and_deal(docs: DataFrame, folder: str) -> DataFrame:
 # --- repeats among sorted rows -------------------------------------------------
 
 REPEATS_DDL = "anchor long, digest long, text long, place long, often boolean, entry boolean"
-REPEATS = pa.schema([*CONTEXTS, ("often", pa.bool_()), ("entry", pa.bool_())])
+REPEATS = pa.schema([*list(CONTEXTS)[:4], ("often", pa.bool_()), ("entry", pa.bool_())])
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -139,7 +149,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     the one row that stands for a context which shares its anchor with other contexts.
 
     Rows are sorted by (anchor, digest) and streamed; each row is judged by its
-    neighbours, so a group of any size passes through without being gathered.
+    neighbours, so a group of any size passes through without being gathered. Sure rows
+    are repeats already and need no neighbours: they are dealt by their place, so that a
+    context that stands everywhere reaches its anchor's task at most twice a slice.
     """
     names = ("anchor", "digest", "text", "place")
 
@@ -166,6 +178,10 @@ def repeated(rows: DataFrame) -> DataFrame:
         held, before, opens = None, None, True
         for batch in batches:
             cols = [column(batch, c).to_numpy() for c in names]
+            sure = column(batch, "sure").to_numpy(zero_copy_only=False)
+            if sure.any():
+                yield batch_of(REPEATS, *(c[sure] for c in cols), np.ones(int(sure.sum()), bool), np.zeros(int(sure.sum()), bool))
+                cols = [c[~sure] for c in cols]
             if not len(cols[0]):
                 continue
             if held is not None:
@@ -181,7 +197,8 @@ def repeated(rows: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return rows.repartition(F.col("anchor")).sortWithinPartitions("anchor", "digest", "text", "place").mapInArrow(run, REPEATS_DDL)
+    dealt = rows.select("anchor", "digest", "text", "place", "sure", F.when(F.col("sure"), F.xxhash64("text", "place")).otherwise(F.col("anchor")).alias("deal"))
+    return dealt.repartition(F.col("deal")).sortWithinPartitions("anchor", "digest", "text", "place").drop("deal").mapInArrow(run, REPEATS_DDL)
 
 
 # --- the index -----------------------------------------------------------------
@@ -374,7 +391,7 @@ def fetched(entries: DataFrame, folder: str) -> DataFrame:
 def crowded(entries: DataFrame, folder: str) -> DataFrame:
     """Marked windows of crowded anchors: one row a window, by the digest of its bytes."""
     names = ("anchor", "text", "place", "often")
-    schema = pa.schema([*CONTEXTS, ("window", pa.int64()), ("often", pa.bool_())])
+    schema = pa.schema([*list(CONTEXTS)[:4], ("window", pa.int64()), ("often", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, cols in shards_in(batches, names):
@@ -384,9 +401,9 @@ def crowded(entries: DataFrame, folder: str) -> DataFrame:
                 digests = np.frombuffer(b"".join(hashlib.blake2b(body[k : k + WINDOW], digest_size=16).digest() for k in range(n)), np.int64).reshape(n, 2)
                 yield batch_of(schema, digests[:, 0], digests[:, 1], np.full(n, text[i]), np.full(n, place[i]), np.arange(n), np.full(n, often[i]))
 
-    rows = by_shard(entries.select(*names)).mapInArrow(run, CONTEXTS_DDL + ", window long, often boolean")
+    rows = by_shard(entries.select(*names)).mapInArrow(run, "anchor long, digest long, text long, place long, window long, often boolean")
     # the place of a window rides in the low bits: its context's place, then its number
-    packed = rows.select("anchor", "digest", "text", (F.shiftleft("place", _COUNT_BITS).bitwiseOR(F.shiftleft("window", 1)).bitwiseOR(F.col("often").cast("long"))).alias("place"))
+    packed = rows.select("anchor", "digest", "text", (F.shiftleft("place", _COUNT_BITS).bitwiseOR(F.shiftleft("window", 1)).bitwiseOR(F.col("often").cast("long"))).alias("place"), F.lit(False).alias("sure"))
     twice = repeated(packed).filter(F.col("often")).select("text", F.shiftright("place", _COUNT_BITS).alias("place"), F.shiftright(F.col("place").bitwiseAND(F.lit((1 << _COUNT_BITS) - 1)), 1).alias("window"), F.col("place").bitwiseAND(F.lit(1)).alias("whole"))
     marks = twice.filter("whole = 0").groupBy("text", "place").agg(F.collect_set("window").alias("windows"))  # 169 at most
 
