@@ -27,7 +27,7 @@ from relquill.llm.common import column, document_slices, documents, prefix_hash,
 
 VOCAB, DIMS, NONZERO, REACH, BLOCK = 1 << 13, 32, 6, 2, 64
 TRAIN_ROWS, HIDDEN, EPOCHS = 20_000, 32, 40
-SLICE = 1 << 22
+SLICE = 1 << 20
 FOLDS, THRESHOLD = 5, 0.3
 
 _KIND = np.full(256, 2, np.uint8)  # signs
