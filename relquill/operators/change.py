@@ -13,8 +13,7 @@ def upserted(table: DataFrame, batch: DataFrame, key: str, order: str | None = N
     """``table`` with the rows of ``batch`` in place of those of equal id. With ``order``
     the last row of an id in the batch wins."""
     if order:
-        rows = [c for c in batch.columns if c != order]
-        batch = batch.groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*rows), F.col(order)).alias("v")).select("v.*")
+        batch = batch.groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*batch.columns), F.col(order)).alias("__row")).select("__row.*")
     return table.join(batch.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti").unionByName(batch.select(*table.columns))
 
 
