@@ -16,8 +16,8 @@ BROADCAST_LABELS = 1_000_000
 
 
 def fold(doc_id: Column, parts: int) -> Column:
-    """crc32 of the id as text, modulo ``parts``; null ids are in no fold."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo ``parts``; null ids are in no fold (-1)."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, known: Callable[[Column], Column], at_most: int | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from relquill.llm.common import WHITE, documents, materialize
 
 WEIGHTS, MOST = (5, 2, 1), 3
+#: Sources up to which a table of one row a source is broadcast (under 100 bytes a row).
+BROADCAST_SOURCES = 10_000
 #: Single copies moved per source after rounding.
 CORRECTIONS = 2
 RANK_ROWS = 4096
@@ -91,7 +93,8 @@ def mixed(docs: DataFrame, *keep: str) -> DataFrame:
     rows = materialize(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "sizes")
     counted = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     targets = materialize(source_targets(counted), "targets")
-    named = F.broadcast(targets) if targets.count() <= 10_000 else targets
+    few = targets.count() <= BROADCAST_SOURCES
+    named = F.broadcast(targets) if few else targets
     cells = materialize(counted.alias("c").join(named.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("sid", "c.source", "size", "n", "source_size", "target"), "cells-by-source")
     dual = balanced(cells.select("sid", "size", "n"), targets.select("sid", "source_size", "target"))
     rate = F.when(F.col("lam").isNull(), F.lit(float(MOST))).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(2.0))), F.lit(float(MOST))))
@@ -113,19 +116,23 @@ def mixed(docs: DataFrame, *keep: str) -> DataFrame:
     copies = F.least(F.greatest(step(upto) - step(upto - F.col("rate")), F.lit(0)), F.lit(MOST))
     rounded = materialize(ranked.select("doc_id", *keep, "sid", "size", "sub", "rank", "source_size", "target", copies.cast("int").alias("copies")), "rounded")
     for _ in range(CORRECTIONS):
-        rounded = corrected(rounded)
+        rounded = corrected(rounded, few)
     return rounded.select("doc_id", *keep, "size", "source_size", "target", "copies")
 
 
-def corrected(rounded: DataFrame) -> DataFrame:
+def corrected(rounded: DataFrame, few: bool) -> DataFrame:
     """One document of each source gains or loses a copy: that whose size is nearest to
-    what its source lacks or has too much, if the source comes nearer to its target."""
+    what its source lacks or has too much, if the source comes nearer to its target.
+
+    ``few``: one row a source is small enough to be broadcast, so no source's rows meet.
+    """
+    small = F.broadcast if few else (lambda df: df)
     off = rounded.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
     able = F.when(F.col("off") > 0, F.col("copies") < MOST).otherwise(F.col("copies") > 0)
     left = F.abs(F.abs(F.col("off")) - F.col("size"))
-    picks = rounded.join(off, "sid").filter(able & (left < F.abs("off"))).groupBy("sid").agg(F.min(F.struct(left.alias("left"), "size", "sub", "rank", F.signum("off").cast("int").alias("change"))).alias("pick"))
+    picks = rounded.join(small(off), "sid").filter(able & (left < F.abs("off"))).groupBy("sid").agg(F.min(F.struct(left.alias("left"), "size", "sub", "rank", F.signum("off").cast("int").alias("change"))).alias("pick"))
     chosen = (F.col("size") == F.col("pick.size")) & (F.col("sub") == F.col("pick.sub")) & (F.col("rank") == F.col("pick.rank"))
-    return rounded.join(picks, "sid", "left").withColumn("copies", F.col("copies") + F.when(chosen, F.col("pick.change")).otherwise(0)).drop("pick")
+    return rounded.join(small(picks), "sid", "left").withColumn("copies", F.col("copies") + F.when(chosen, F.col("pick.change")).otherwise(0)).drop("pick")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
