@@ -1,8 +1,10 @@
-"""The predicates as two-valued Columns.
+"""The predicates as Columns for filters.
 
 A row meets a predicate or it does not: negations are complements over all rows and so
 hold for nulls, while comparisons and patterns do not. EQ with a null argument asks
-for nulls.
+for nulls. Comparisons stay plain, so that they reach the scan: under AND and OR a null
+counts as false, and no predicate here is ever negated from outside. ``met`` makes one
+two-valued where it is projected.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def check(field: Field, op: str) -> None:
 
 
 def predicate(column: Column, field: Field, op: str, args: list, ignore_case: bool, entity: str, converters: Converters) -> Column:
-    """``column op args`` for a stored field; never null."""
+    """``column op args`` for a stored field; null at most where it is not met."""
     if op in ("IGNORE_CASE_EQ", "IGNORE_CASE_LIKE"):
         op, ignore_case = op.removeprefix("IGNORE_CASE_"), True
     check(field, op)
@@ -50,29 +52,29 @@ def predicate(column: Column, field: Field, op: str, args: list, ignore_case: bo
     negative = op.startswith("NOT_") and op != "NOT_NULL"
     if op in ("EQ", "NE"):
         if args[0] is None:
-            same = column.isNull()
-        else:
-            same = c == value(args[0])
-        return (~met(same) if args[0] is not None else column.isNotNull()) if op == "NE" else (same if args[0] is None else met(same))
+            return column.isNotNull() if op == "NE" else column.isNull()
+        return (c != value(args[0])) | column.isNull() if op == "NE" else c == value(args[0])
     if op == "IS_NULL":
         return column.isNull()
     if op == "NOT_NULL":
         return column.isNotNull()
     if op in ("IS_TRUE", "IS_FALSE"):
-        return met(column == F.lit(op == "IS_TRUE"))
+        return column == F.lit(op == "IS_TRUE")
     if op in ("IN", "NOT_IN"):
         values = [] if args[0] is None else listed(args[0])
         if any(v is None for v in values):
             raise ValueError(f"{field.name}: a list of values holds a null")
-        inside = met(c.isin([value(v) for v in values])) if values else F.lit(False)
-        return ~inside if op == "NOT_IN" else inside
+        if not values:
+            return F.lit(op == "NOT_IN")
+        inside = c.isin([value(v) for v in values])
+        return ~inside | column.isNull() if op == "NOT_IN" else inside
     if op in _RANGES:
         if any(a is None for a in args):
             return F.lit(False)
         low = value(args[0])
         if op == "BETWEEN":
-            return met(c.between(low, value(args[1])))
-        return met({"GT": c > low, "AFTER": c > low, "GTE": c >= low, "LT": c < low, "BEFORE": c < low, "LTE": c <= low}[op])
+            return c.between(low, value(args[1]))
+        return {"GT": c > low, "AFTER": c > low, "GTE": c >= low, "LT": c < low, "BEFORE": c < low, "LTE": c <= low}[op]
     plain = op.removeprefix("NOT_")
     if plain in _PATTERNS:
         text = args[0]
@@ -85,5 +87,5 @@ def predicate(column: Column, field: Field, op: str, args: list, ignore_case: bo
             found = c.like(text.replace("\\", "\\\\"))
         else:
             found = {"CONTAINING": c.contains, "STARTING_WITH": c.startswith, "ENDING_WITH": c.endswith}[plain](text)
-        return ~met(found) if negative else met(found)
+        return ~found | column.isNull() if negative else found
     raise ValueError(f"no predicate {op}")
