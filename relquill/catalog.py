@@ -45,13 +45,16 @@ _LABEL_SQL = "(select doc_id, case when quality = 1 then doc_id end as maybe, ca
 def open_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     ws = Workspace(spark)
     for table, entity in _TABLES.items():
-        ws.add(entity, spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    ws.add(LABEL, labels.select("doc_id", F.when(F.col("quality") == 1, F.col("doc_id")).alias("maybe"), F.when(F.col("toxic") == 0, F.lit("clean")).alias("word"), (F.col("toxic") == 1).alias("is_toxic"), F.struct("quality", "toxic").alias("mark")))
-    ws.bridge("OrderPart", ws.table("LineItem").select("l_orderkey", "l_partkey"))
+        ws.read_parquet(entity, f"{sf_dir}/{table}.parquet")
+    ws.add(LABEL, lambda: _labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    ws.bridge("OrderPart", lambda: ws.table("LineItem").select("l_orderkey", "l_partkey"))
     return ws
 
 
+def _labels(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", F.when(F.col("quality") == 1, F.col("doc_id")).alias("maybe"), F.when(F.col("toxic") == 0, F.lit("clean")).alias("word"), (F.col("toxic") == 1).alias("is_toxic"), F.struct("quality", "toxic").alias("mark"))
+
+
 Step = tuple[Callable[[Workspace], DataFrame], str | None]
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import posixpath
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str = "default", storage: str | None = None):
         self.spark, self.name, self.storage = spark, name, storage
         self.model, self.converters = Model(), Converters()
-        self._tables: dict[str, DataFrame] = {}
+        self._tables: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._commits: dict[str, int] = {}
         self._ids: dict[str, itertools.count] = {}
         self.closed = False
@@ -32,16 +33,17 @@ class Workspace:
         if self.closed:
             raise RuntimeError(f"workspace {self.name!r} is closed")
 
-    def add(self, entity: Entity, table: DataFrame | None = None) -> None:
-        """Declare an entity, over a DataFrame or empty."""
+    def add(self, entity: Entity, table: DataFrame | Callable[[], DataFrame] | None = None) -> None:
+        """Declare an entity, over a DataFrame, over a function that opens one when it is first used, or empty."""
         self._check()
         self.model.add(entity)
         self._tables[entity.name.lower()] = table if table is not None else self.spark.createDataFrame([], entity.struct())
 
     def read_parquet(self, entity: Entity, path: str) -> None:
-        self.add(entity, self.spark.read.parquet(path))
+        """An entity over Parquet files, opened when first used."""
+        self.add(entity, lambda: self.spark.read.parquet(path))
 
-    def bridge(self, name: str, table: DataFrame) -> None:
+    def bridge(self, name: str, table: DataFrame | Callable[[], DataFrame]) -> None:
         """Pairs of ids of a many-to-many relation."""
         self._check()
         self._tables[name.lower()] = table
@@ -50,7 +52,10 @@ class Workspace:
         self._check()
         if name.lower() not in self._tables:
             raise ValueError(f"no table {name!r}")
-        return self._tables[name.lower()]
+        found = self._tables[name.lower()]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name.lower()] = found()
+        return found
 
     def commit(self, name: str, table: DataFrame) -> DataFrame:
         self._check()
