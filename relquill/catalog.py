@@ -201,7 +201,7 @@ CATALOGUE: dict[str, Step] = {
     "group_count_filtered": (_ask("Order", "select count(o) from Order o where o.total > 100000 group by o.priority"), "select o_orderpriority as priority, count(*) as cnt from orders where o_totalprice > 100000 group by all"),
     "group_by_relation": (_ask("Order", "select count(o) from Order o group by o.customer.mktsegment"), "select c_mktsegment as customer_mktsegment, count(*) as cnt from orders left join customer on o_custkey = c_custkey group by all"),
     "group_having": (_ask("Order", "select count(o) from Order o where o.customer.mktsegment = 'BUILDING' group by o.priority, o.status having count(o) > :min", min=10), "select o_orderpriority as priority, o_orderstatus as status, count(*) as cnt from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') group by all having count(*) > 10"),
-    "group_having_or": (_ask("Order", "select count(o) from Order o group by o.priority, o.status having count(o) > :a or count(o) < :b and count(o) <> 0", a=1100, b=500), "select o_orderpriority as priority, o_orderstatus as status, count(*) as cnt from orders group by all having (count(*) > 1100 or count(*) < 500) and count(*) <> 0"),
+    "group_having_or": (_ask("Order", "select count(o) from Order o group by o.priority, o.status having count(o) > :a or count(o) < :b and count(o) <> 0", a=1000, b=500), "select o_orderpriority as priority, o_orderstatus as status, count(*) as cnt from orders group by all having (count(*) > 1000 or count(*) < 500) and count(*) <> 0"),
     "group_null_key": (_ask("Label", "countByWord", returns="map"), f"select word, count(*) as cnt from {_LABEL_SQL} group by all"),
     "group_list": (lambda ws: _ask("Nation", "findAllGroupingByName")(ws).select("name", F.size("items").alias("n"), F.col("items")[0]["n_nationkey"].alias("first")), "select n_name as name, cast(count(*) as int) as n, min(n_nationkey) as first from nation group by all"),
     "group_set": (lambda ws: _ask("Order", "findAllGroupingByStatusAndPriorityAsSet")(ws).select("status", "priority", F.size("items").alias("n")), "select o_orderstatus as status, o_orderpriority as priority, cast(count(*) as int) as n from orders group by all"),
