@@ -12,9 +12,11 @@ of edits (bytes, after A-Z are lowered and white space made a space).
    over ``WALKS`` walks reach the recall that the tests measure.
 3. Named items are verified by exact edit distance (bit-parallel, semi-global).
 
-Items are sent to the executors in blocks of at most ``ITEMS`` rows, each block a
-pass of its own over the documents, so a broadcast has a bound. Null or shorter than
-``SHORTEST`` bytes: such items leak nowhere. Null or empty text: no leak. Repeated rows
+Items are sent to the executors in blocks of about ``ITEMS`` rows or ``BLOCK_BYTES``
+bytes, each block a pass of its own over the documents, so a broadcast has a bound
+beside its longest item. Items above ``LONG`` bytes are verified at once in every
+stretch that the filter leaves, without walks. Null or shorter than ``SHORTEST``
+bytes: such items leak nowhere. Null or empty text: no leak. Repeated rows
 are found each. Empty tables: no rows. Extra columns are ignored.
 """
 
@@ -32,7 +34,9 @@ from relquill.llm.common import batch_of, column, document_slices, documents, mi
 
 MAX_EDIT, GRAM, SHORTEST = 1 / 15, 12, 24
 WALKS, TABLES, SAMPLES = 8, 48, 5
-ITEMS, SLICE = 5000, 1 << 23
+ITEMS, BLOCK_BYTES, SLICE = 5000, 1 << 22, 1 << 23
+#: Bytes above which items are not embedded; steps after which a walk's coins repeat; bytes of windows embedded at once.
+LONG, COINS, EMBEDDED = 1 << 15, 1 << 14, 1 << 25
 #: Items whose lengths differ by less than this factor share windows.
 GROWTH = 1.15
 
@@ -108,7 +112,7 @@ class Items:
         self.known[self.slot(grams)] = True
         rng = np.random.default_rng(6)
         longest = max((len(t) for t in self.texts), default=0)
-        self.walk_bits = rng.integers(0, 2, (WALKS, 2 * longest + 2, 256), dtype=np.uint8)
+        self.walk_bits = rng.integers(0, 2, (WALKS, min(2 * longest + 2, COINS), 256), dtype=np.uint8)
         self.groups = []
         at = 0
         while at < len(self.order):
@@ -119,15 +123,17 @@ class Items:
             members = self.order[at:end]
             longest_here = len(self.texts[members[-1]])
             need = min(len(self.texts[i]) - GRAM + 1 - GRAM * allowed(len(self.texts[i])) for i in members)
-            # keys read within the walk over the shortest member, so that a group's windows serve all of it
-            picks = np.sort(rng.integers(0, max(1, 2 * least - least // 4), (TABLES, SAMPLES)), axis=1)
-            keys = self.keys([self.texts[i] for i in members], longest_here, picks)
-            table, owner = keys.ravel(), np.repeat(np.array(members), TABLES)
-            by = np.argsort(table, kind="stable")
             # above 64 groups, several share a bit
             for i in members:
                 self.of_group[np.searchsorted(grams, gram_words(self.texts[i]))] |= np.uint64(1 << len(self.groups) % 64)
-            self.groups.append((longest_here, longest_here + allowed(longest_here), max(1, need), picks, table[by], owner[by]))
+            picks, table, owner = None, None, np.array(members)
+            if longest_here <= LONG:
+                # keys read within the walk over the shortest member, so that a group's windows serve all of it
+                picks = np.sort(rng.integers(0, max(1, 2 * least - least // 4), (TABLES, SAMPLES)), axis=1)
+                table, owner = self.keys([self.texts[i] for i in members], longest_here, picks).ravel(), np.repeat(owner, TABLES)
+                by = np.argsort(table, kind="stable")
+                table, owner = table[by], owner[by]
+            self.groups.append((longest_here, longest_here + allowed(longest_here), max(1, need), picks, table, owner))
             at = end
 
     def slot(self, grams: np.ndarray) -> np.ndarray:
@@ -151,7 +157,7 @@ class Items:
             c = flat[base + at]
             for t in steps.get(s, ()):
                 out[t] = out[t] * np.uint64(0x100000001B3) + c[t // per] + np.uint64(1)
-            at += self.walk_bits[:, s][walks, c]
+            at += self.walk_bits[:, s % self.walk_bits.shape[1]][walks, c]
             np.minimum(at, width, out=at)
         return mix(out * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[:, None]).T
 
@@ -181,6 +187,25 @@ class Items:
             for k, a, b in zip(of[cut].tolist(), lo[cut].tolist(), np.maximum.reduceat(hi, cut).tolist(), strict=True):
                 yield k, a, b, g
 
+    def named(self, data: np.ndarray, offsets: np.ndarray, found: list[tuple], g: int) -> set[tuple[int, int]]:
+        """(region, item position) wherever a window of the region and the item share a key."""
+        width, length, _, picks, table, owner = self.groups[g]
+        windows, of, out = [], [], set()
+        for k, (doc, a, b) in enumerate(found):
+            lo, hi = int(offsets[doc]), int(offsets[doc + 1])
+            inside = np.arange(max(lo, a - (length - width)), b)
+            begins = inside[(inside == lo) | (data[inside - 1] == 32)]
+            for s in sorted({*begins.tolist(), *range(a, b, 16)}):
+                windows.append(data[s : min(hi, s + width)])
+                of.append(k)
+        most = min(4096, EMBEDDED // (width + 1))
+        for at in range(0, len(windows), most):
+            keys = self.keys(windows[at : at + most], width, picks)
+            left, right = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
+            for i, t in zip(*np.nonzero(right > left), strict=True):
+                out.update((of[at + int(i)], o) for o in owner[left[i, t] : right[i, t]].tolist())
+        return out
+
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item position, start, end, edits) of each item in each region, best stretch."""
         by_group: dict[int, list] = {}
@@ -188,23 +213,9 @@ class Items:
             by_group.setdefault(g, []).append((doc, a, b))
         best: dict[tuple[int, int, int], tuple] = {}
         for g, found in by_group.items():
-            width, length, _, picks, table, owner = self.groups[g]
+            width, length, _, picks, _, owner = self.groups[g]
             slack = length - width
-            windows, of = [], []
-            for k, (doc, a, b) in enumerate(found):
-                lo, hi = int(offsets[doc]), int(offsets[doc + 1])
-                inside = np.arange(max(lo, a - slack), b)
-                begins = inside[(inside == lo) | (data[inside - 1] == 32)]
-                for s in sorted({*begins.tolist(), *range(a, b, 16)}):
-                    windows.append(data[s : min(hi, s + width)])
-                    of.append(k)
-            named = set()
-            for at in range(0, len(windows), 4096):
-                keys = self.keys(windows[at : at + 4096], width, picks)
-                left, right = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-                for i, t in zip(*np.nonzero(right > left), strict=True):
-                    for o in owner[left[i, t] : right[i, t]].tolist():
-                        named.add((of[at + int(i)], o))
+            named = self.named(data, offsets, found, g) if picks is not None else {(k, o) for k in range(len(found)) for o in owner.tolist()}
             for k, o in sorted(named):
                 doc, a, b = found[k]
                 lo, hi = max(int(offsets[doc]), a - slack), min(int(offsets[doc + 1]), b + length + slack)
@@ -222,10 +233,11 @@ class Items:
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, math.ceil(rows.count() / ITEMS))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / ITEMS), math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))  # about ITEMS rows
+        yield Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))  # about ITEMS rows, BLOCK_BYTES bytes
 
 
 def batch_leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:

@@ -247,6 +247,30 @@ def test_leaks_with_edits_reach_recall():
     assert hit / 180 >= 0.95
 
 
+def test_leaks_of_long_items(monkeypatch):
+    """Beyond COINS the walks repeat their coins, above LONG bytes items are verified directly."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(500)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    monkeypatch.setattr(decontam, "COINS", 256)
+    monkeypatch.setattr(decontam, "EMBEDDED", 1 << 14)
+    for n, long in ((500, 1 << 15), (1500, 4096)):
+        monkeypatch.setattr(decontam, "LONG", long)
+        plain = [some(n) for _ in range(3)]
+        items = decontam.Items(list(enumerate(plain)))
+        assert len(items.walk_bits[0]) == 256
+        docs = [f"{some(60)} {edited(rng, p, 20)} {some(60)}" for p in plain] + [some(3 * n)]
+        found = decontam.batch_leaks(pa.array(docs), items)
+        assert [(d, items.ids[o]) for d, o, *_ in found] == [(0, 0), (1, 1), (2, 2)] and all(r[4] <= 20 for r in found)
+
+
+def test_item_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"item {k} " * 40) for k in range(40)] + [(40, None)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
+    blocks = list(decontam.item_blocks(bench))
+    assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(40))
+
+
 def test_edit_matches_against_a_table():
     rng = np.random.default_rng(5)
     for _ in range(60):
