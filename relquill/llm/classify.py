@@ -21,14 +21,29 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, known: Callable[[Column], Column], at_most: int | None = None) -> DataFrame:
-    """(text, y) of labelled documents. ``known`` tells, from a doc_id, which labels may be
+    """(k, text, y) of labelled documents, k their id. ``known`` tells, from a doc_id, which labels may be
     learnt; ``at_most`` bounds their number, taken in the order of a hash of the id."""
     rows = labels.select(F.col("doc_id").cast("long").alias("k"), F.col(label).cast("int").alias("y")).filter(known(F.col("k")) & F.col("y").isNotNull())
     if at_most:
         rows = rows.orderBy(F.xxhash64("k"), "k", "y").limit(at_most)
     if at_most and at_most <= BROADCAST_LABELS or rows.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
         rows = F.broadcast(rows)
-    return docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(rows, F.col("d") == F.col("k")).select("text", "y")
+    return docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(rows, F.col("d") == F.col("k")).select("k", "text", "y")
+
+
+def training_rows(rows: DataFrame, featured: Callable[[pa.Array], list[bytes]]) -> list:
+    """(x, y) of (k, text, y) rows, x the bytes that ``featured`` makes of each text, sorted.
+
+    Rows of one id and label are one: of their features the least are taken, so no more
+    rows reach the driver than labels were asked for, however often an id is repeated.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([column(batch, "k"), pa.array(featured(column(batch, "text")), pa.binary()), column(batch, "y")], names=["k", "x", "y"])
+
+    each = rows.mapInArrow(run, "k long, x binary, y int").groupBy("k", "y").agg(F.min("x").alias("x"))
+    return sorted(each.select("x", "y").collect())
 
 
 def summed_blocks(rows: DataFrame) -> dict[int, np.ndarray]:

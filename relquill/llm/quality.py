@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, with_score
+from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, training_rows, with_score
 from relquill.llm.common import column, document_slices, documents, prefix_hash, span_hashes, text_bytes
 
 VOCAB, DIMS, NONZERO, REACH, BLOCK = 1 << 13, 32, 6, 2, 64
@@ -169,13 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, known, label: str = "quality") ->
     vectors, share = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, share))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = pooled(column(batch, "text"), *shared.value)
-            yield pa.record_batch([pa.array([r.tobytes() for r in x], pa.binary()), column(batch, "y")], names=["x", "y"])
-
-    rows = labelled(docs, labels, label, known, TRAIN_ROWS).mapInArrow(run, "x binary, y int").collect()  # TRAIN_ROWS at most
-    rows.sort()
+    rows = training_rows(labelled(docs, labels, label, known, TRAIN_ROWS), lambda texts: [r.tobytes() for r in pooled(texts, *shared.value)])
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, 2 * DIMS)
     return vectors, share, Network(x, np.array([r["y"] for r in rows], np.float64))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, with_score
+from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, training_rows, with_score
 from relquill.llm.common import column, document_slices, documents, gram_values, prefix_hash, span_values, text_bytes
 
 ORDERS, WORD_ORDERS, SLOTS, BLOCK = (4, 6), tuple(range(7, 13)), 1 << 18, 1 << 12
@@ -93,7 +93,7 @@ def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
             total -= part
 
     total = np.zeros(width, np.float64)
-    for block, body in summed_blocks(rows.mapInArrow(run, "block long, body binary")).items():
+    for block, body in summed_blocks(rows.select("text", "y").mapInArrow(run, "block long, body binary")).items():
         total[block * BLOCK : (block + 1) * BLOCK] = body
     negative, positive, n = total[:SLOTS] + 1, total[SLOTS : 2 * SLOTS] + 1, total[2 * SLOTS : 2 * SLOTS + 2]
     ratio = np.log(positive / (n[1] + 2)) - np.log(negative / (n[0] + 2))
@@ -154,17 +154,15 @@ def train(docs: DataFrame, labels: DataFrame, known, label: str = "toxic") -> Mo
     place[kept] = np.arange(len(kept))
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for a, b, data, offsets in slices(column(batch, "text")):
-                doc, at = chosen_slots(data, offsets, shared.value)
-                cut = np.searchsorted(doc, np.arange(b - a + 1))
-                found += [at[i:j].astype(np.uint16).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array(found, pa.binary()), column(batch, "y")], names=["x", "y"])
+    def features(texts: pa.Array) -> list[bytes]:
+        found = []
+        for a, b, data, offsets in slices(texts):
+            doc, at = chosen_slots(data, offsets, shared.value)
+            cut = np.searchsorted(doc, np.arange(b - a + 1))
+            found += [at[i:j].astype(np.uint16).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return found
 
-    rows = labelled(docs, labels, label, known, TRAIN_ROWS).mapInArrow(run, "x binary, y int").collect()  # TRAIN_ROWS at most
-    rows.sort()
+    rows = training_rows(labelled(docs, labels, label, known, TRAIN_ROWS), features)
     sizes = np.array([len(r["x"]) // 2 for r in rows], np.int64)
     at = np.frombuffer(b"".join(r["x"] for r in rows), np.uint16).astype(np.int64)
     scale = np.zeros(FEATURES)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from relquill.llm import chat, decontam, media, mixing, quality, simhash, suffix, tokens, toxicity, warc
+from relquill.llm import chat, classify, decontam, media, mixing, quality, simhash, suffix, tokens, toxicity, warc
 from relquill.llm.common import run_dir
 from relquill.llm.queries import oracle_sql, queries
 
@@ -213,6 +213,14 @@ def test_classifiers_without_labels_or_rows(spark, odd, none, module):
     assert all(0 <= r["mine"] <= 1 for r in module.scored(odd, few, lambda k: F.lit(True), "mine").collect())
 
 
+def test_repeated_ids_are_learnt_once(spark):
+    docs = spark.createDataFrame([(1, f"copy {k % 7}") for k in range(500)] + [(2, "b"), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (4, 1)], "doc_id long, toxic int")
+    rows = classify.labelled(docs, labels, "toxic", lambda k: F.lit(True), 10)
+    got = classify.training_rows(rows, lambda texts: [(t or "").encode() for t in texts.to_pylist()])
+    assert [(bytes(r["x"]), r["y"]) for r in got] == [(b"", 0), (b"copy 0", 1)]
+
+
 # --- 6
 
 
