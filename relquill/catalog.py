@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import enum
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relquill.functions.values import Converter, enum_names
 from relquill.plans.schema import Entity, Field, ManyToMany, ToMany, ToOne
 from relquill.repository import Repository
 from relquill.sources.workspace import Workspace
@@ -37,6 +39,18 @@ LABEL = Entity(
     "Label", "docid",
     (Field("docid", "long", "doc_id"), Field("maybe", "long"), Field("word", "string"), Field("toxic", "boolean", "is_toxic"), Field("mark.quality", "int"), Field("mark.toxic", "int")),
 )
+#: Orders whose customer may be missing, and regions that name their nation by a column that is no id.
+OPEN_ORDER = Entity("OpenOrder", "orderkey", (Field("orderkey", "long", "o_orderkey"), Field("status", "string", "o_orderstatus")), (ToOne("customer", "RichCustomer", "o_custkey"),))
+RICH_CUSTOMER = Entity("RichCustomer", "custkey", (Field("custkey", "long", "c_custkey"), Field("name", "string", "c_name")))
+TWIN_NATION = Entity("TwinNation", "nationkey", (Field("nationkey", "int", "n_nationkey"), Field("name", "string", "n_name"), Field("code", "int", "n_regionkey")), (ToMany("spots", "Spot", "nation", as_set=True),))
+SPOT = Entity("Spot", "regionkey", (Field("regionkey", "int", "r_regionkey"), Field("name", "string", "r_name")), (ToOne("nation", "TwinNation", "r_regionkey", "code"),))
+
+
+class Kind(enum.Enum):
+    CLICK = 1
+    PURCHASE = 2
+    VIEW = 3
+
 
 _TABLES = {"region": REGION, "nation": NATION, "customer": CUSTOMER, "orders": ORDER, "lineitem": LINE, "part": PART, "supplier": SUPPLIER, "events": EVENT}
 _LABEL_SQL = "(select doc_id, case when quality = 1 then doc_id end as maybe, case when toxic = 0 then 'clean' end as word, toxic = 1 as is_toxic, quality, toxic from labels)"
@@ -47,6 +61,10 @@ def open_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     for table, entity in _TABLES.items():
         ws.read_parquet(entity, f"{sf_dir}/{table}.parquet")
     ws.add(LABEL, lambda: _labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    ws.add(OPEN_ORDER, lambda: ws.table("Order"))
+    ws.add(RICH_CUSTOMER, lambda: ws.table("Customer").filter("c_acctbal > 5000"))
+    ws.add(TWIN_NATION, lambda: ws.table("Nation"))
+    ws.add(SPOT, lambda: ws.table("Region"))
     ws.bridge("OrderPart", lambda: ws.table("LineItem").select("l_orderkey", "l_partkey"))
     return ws
 
@@ -103,6 +121,17 @@ def _linked(r: Repository) -> DataFrame:
     return r.link("parts", pairs).filter("l_orderkey <= 5").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("parts"))
 
 
+def _kinds(ws: Workspace) -> DataFrame:
+    names = enum_names(Kind)
+    ws.converters.for_field("Event", "kind", Converter(lambda v: names.store(v).lower(), lambda s: names.load(s.upper())))
+    return Repository(ws, "Event").frame("findByKindIn", [Kind.CLICK, Kind.VIEW]).select("event_id", "event_type")
+
+
+def _saved(r: Repository) -> DataFrame:
+    r.saveAll([{"nationkey": 3, "name": "old", "n_regionkey": 0}, {"name": "new", "n_regionkey": 4}, {"nationkey": 3, "name": "last", "n_regionkey": 2}])
+    return r.table
+
+
 CATALOGUE: dict[str, Step] = {
     # scans, ids, counts
     "find_all": (_ask("Nation", "findAll"), "select * from nation"),
@@ -130,6 +159,13 @@ CATALOGUE: dict[str, Step] = {
     "not_in_list": (_ask("Order", "findByPriorityNotIn", ["1-URGENT", "2-HIGH"]), _o("o_orderpriority not in ('1-URGENT', '2-HIGH')")),
     "in_empty": (_ask("Order", "findByPriorityIn", []), _o("false")),
     "in_text": (_ask("Part", "select p from Part p where p.size in (1, 2, 3)"), "select * from part where p_size in (1, 2, 3)"),
+    "composite_eq": (_ask("Order", "getByStatusAndPriority", "F", "1-URGENT"), _o("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")),
+    "composite_range": (_ask("Order", "readByStatusAndTotalBetween", "F", 1000, 50000), _o("o_orderstatus = 'F' and o_totalprice between 1000 and 50000")),
+    "string_range": (_ask("Customer", "queryByNameBetween", "Customer#000000010", "Customer#000000020"), "select * from customer where c_name between 'Customer#000000010' and 'Customer#000000020'"),
+    "event_range": (_ask("Event", "streamByTsBetweenAndKind", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 4), "click", keep="event_id user_id"), "select event_id, user_id from events where ts between timestamp '2024-01-02 00:00:00' and timestamp '2024-01-04 00:00:00' and event_type = 'click'"),
+    "not_in_empty": (_ask("Nation", "findByNameNotIn", []), "select * from nation"),
+    "in_many_ids": (_on("Order", lambda r: r.by_ids(range(1, 6000, 2))), _o("o_orderkey between 1 and 5999 and o_orderkey % 2 = 1")),
+    "converted_argument": (_kinds, "select event_id, event_type from events where event_type in ('click', 'view')"),
     "gt_largest": (_ask("Part", "findBySizeGreaterThan", 2147483647), "select * from part where p_size > 2147483647"),
     # nulls
     "eq_null_arg": (_ask("Label", "findByMaybe", None, keep="doc_id"), _l("maybe is null")),
@@ -188,6 +224,14 @@ CATALOGUE: dict[str, Step] = {
     "join_or_base": (_ask("Order", "findByCustomerMktsegmentOrTotalGreaterThan", "BUILDING", 400000), _o("o_totalprice > 400000 or exists (select 1 from customer where c_custkey = o_custkey and c_mktsegment = 'BUILDING')")),
     "join_not_equal": (_ask("Order", "findByCustomerMktsegmentNot", "BUILDING"), _o("o_custkey in (select c_custkey from customer where c_mktsegment <> 'BUILDING')")),
     "join_text": (_ask("Order", "select o from Order o join o.customer c where c.mktsegment = :s and o.status = 'F'", s="MACHINERY"), _o("o_orderstatus = 'F' and o_custkey in (select c_custkey from customer where c_mktsegment = 'MACHINERY')")),
+    "join_fetch": (_ask("Order", "select o from Order o join fetch o.customer c where c.acctbal < 0"), _o("o_custkey in (select c_custkey from customer where c_acctbal < 0)")),
+    "join_path_separator": (_ask("Order", "findByCustomer_Nation_Name", "NATION_3"), _o("o_custkey in (select c_custkey from customer where c_nationkey = (select n_nationkey from nation where n_name = 'NATION_3'))")),
+    "join_non_id": (_ask("Spot", "findByNationNameIn", ["NATION_1", "NATION_6", "NATION_8"]), "select * from region where r_regionkey in (select n_regionkey from nation where n_name in ('NATION_1', 'NATION_6', 'NATION_8'))"),
+    "join_missing_target": (_ask("OpenOrder", "findByCustomerNameNot", "x", keep="o_orderkey"), "select o_orderkey from orders where o_custkey in (select c_custkey from customer where c_acctbal > 5000)"),
+    "join_or_one_to_many": (_ask("Customer", "findByOrdersStatusOrAcctbalLessThan", "P", 0), "select * from customer where c_acctbal < 0 or c_custkey in (select o_custkey from orders where o_orderstatus = 'P')"),
+    "join_or_many_to_many": (_ask("Order", "findByPartsSizeOrTotalLessThan", 1, 2000), _o("o_totalprice < 2000 or o_orderkey in (select l_orderkey from lineitem where l_partkey in (select p_partkey from part where p_size = 1))")),
+    "join_or_count": (_ask("Order", "countByCustomerMktsegmentOrTotalGreaterThan", "BUILDING", 400000), "select count(*) as cnt from orders where o_totalprice > 400000 or o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')"),
+    "join_exists": (_ask("Order", "existsByCustomerNationName", "NATION_24"), "select count(*) > 0 as found from orders where o_custkey in (select c_custkey from customer where c_nationkey in (select n_nationkey from nation where n_name = 'NATION_24'))"),
     "join_bare": (_ask("Order", "select o from Order o join o.customer c where o.status = 'P'"), _o("o_orderstatus = 'P'")),
     "join_left_noop": (_ask("Order", "select o from Order o left join o.customer c where c.mktsegment = 'BUILDING' and o.status = 'P'"), _o("o_orderstatus = 'P'")),
     "join_count": (_ask("Order", "countByCustomerMktsegment", "BUILDING"), "select count(*) as cnt from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')"),
@@ -195,6 +239,9 @@ CATALOGUE: dict[str, Step] = {
     "project_flat": (_ask("Order", "select o.orderkey as id, o.total as total from Order o where o.total >= :min", min=300000), _o("o_totalprice >= 300000", "o_orderkey as id, o_totalprice as total")),
     "project_to_one": (_ask("Order", "select o.orderkey as id, o.customer.name as customer from Order o where o.status = 'P'"), "select o_orderkey as id, c_name as customer from orders left join customer on o_custkey = c_custkey where o_orderstatus = 'P'"),
     "project_two_hops": (_ask("Order", "select o.orderkey as id, o.customer.nation.name as nation, o.customer.name as customer from Order o where o.status = 'P' order by o.total desc"), "select o_orderkey as id, n_name as nation, c_name as customer from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey where o_orderstatus = 'P'"),
+    "project_left_null": (_ask("OpenOrder", "select o.orderkey as id, o.customer.name as customer from OpenOrder o"), "select o_orderkey as id, c_name as customer from orders left join customer on o_custkey = c_custkey and c_acctbal > 5000"),
+    "project_non_id": (_ask("Spot", "select s.name as region, s.nation.name as nation from Spot s"), "select r_name as region, (select arg_min(n_name, n_nationkey) from nation where n_regionkey = r_regionkey) as nation from region"),
+    "project_embedded": (_ask("Label", "select l.docid as id, l.mark.quality as quality from Label l where l.mark.toxic = 1"), "select doc_id as id, quality from labels where toxic = 1"),
     # groups
     "group_count": (_ask("Order", "countByStatus", returns="map"), "select o_orderstatus as status, count(*) as cnt from orders group by all"),
     "group_count_two_keys": (_ask("Order", "countByTotalGroupingByStatusAndPriority"), "select o_orderstatus as status, o_orderpriority as priority, count(*) as cnt from orders group by all"),
@@ -209,11 +256,15 @@ CATALOGUE: dict[str, Step] = {
     "hydrate_one_to_many": (lambda ws: Repository(ws, "Customer").hydrated("orders").select("c_custkey", F.size("orders").alias("n"), F.array_min(F.transform("orders", lambda o: o["o_orderkey"])).alias("first")), "select c_custkey, cast(count(o_orderkey) as int) as n, min(o_orderkey) as first from customer left join orders on o_custkey = c_custkey group by all"),
     "hydrate_to_one": (lambda ws: Repository(ws, "Nation").hydrated("region").select("n_nationkey", F.col("region.r_name").alias("region")), "select n_nationkey, r_name as region from nation left join region on n_regionkey = r_regionkey"),
     "hydrate_many_to_many": (lambda ws: Repository(ws, "Order").hydrated("parts").select("o_orderkey", F.size("parts").alias("n")), "select o_orderkey, cast(count(distinct l_partkey) as int) as n from orders left join lineitem on l_orderkey = o_orderkey group by all"),
+    "hydrate_set": (lambda ws: Repository(ws, "TwinNation").hydrated("spots").select("n_nationkey", F.size("spots").alias("n")), "select n_nationkey, cast(count(r_regionkey) as int) as n from nation left join region on r_regionkey = n_regionkey group by all"),
     # changes: the table each leaves
     "update_query": (_ask("Order", "update Order o set o.status = 'X', o.priority = :p where o.total > 300000", p="none"), "select * replace (case when o_totalprice > 300000 then 'X' else o_orderstatus end as o_orderstatus, case when o_totalprice > 300000 then 'none' else o_orderpriority end as o_orderpriority) from orders"),
     "update_by_relation": (_ask("Order", "update Order o set o.status = 'X' where o.customer.mktsegment = 'BUILDING'"), "select * replace (case when o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') then 'X' else o_orderstatus end as o_orderstatus) from orders"),
     "delete_by": (_ask("Order", "deleteByStatus", "F"), _o("not coalesce(o_orderstatus = 'F', false)")),
     "delete_text": (_ask("Label", "delete from Label l where l.maybe <> 0", keep="doc_id"), _l("maybe is not distinct from 0")),
+    "update_to_null": (_ask("Label", "update Label l set l.word = :w where l.mark.quality = 0", w=None, keep="doc_id word"), f"select doc_id, case when quality <> 0 then word end as word from {_LABEL_SQL}"),
+    "remove_by_relation": (_ask("Order", "removeByCustomerMktsegment", "BUILDING"), _o("o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")),
+    "save_all": (_on("Nation", _saved), "select * from nation where n_nationkey <> 3 union all select 3, 'last', 2 union all select cast(max(n_nationkey) + 1 as int), 'new', 4 from nation"),
     "delete_by_id": (_on("Nation", lambda r: (r.deleteById(7), r.table)[1]), "select * from nation where n_nationkey <> 7"),
     "delete_all_by_id": (_on("Region", _ids_deleted), "select * from region where r_regionkey not in (1, 3)"),
     "delete_all": (_on("Region", lambda r: (r.deleteAll(), r.table)[1]), "select * from region where false"),

@@ -22,7 +22,7 @@ KEEP = 8
 
 class Workspace:
     def __init__(self, spark: SparkSession, name: str = "default", storage: str | None = None):
-        self.spark, self.name, self.storage = spark, name, storage
+        self.spark, self.name, self.storage = spark, name, storage or spark.conf.get("spark.checkpoint.dir", None)
         self.model, self.converters = Model(), Converters()
         self._tables: dict[str, DataFrame | Callable[[], DataFrame]] = {}
         self._commits: dict[str, int] = {}
