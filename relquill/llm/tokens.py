@@ -1,6 +1,6 @@
 """Operator 2, token ids in binary shards with a minimal perfect hash index.
 
-Shard ``part-NNNNN``: ``.ids`` (raw little-endian ids, 16 bits where the vocabulary
+Shard ``part-NNNNNNN-NNNNN`` (task, its shard): ``.ids`` (raw little-endian ids, 16 bits where the vocabulary
 fits, else 32) and ``.idx`` (keys, offsets, index). The index is a minimal perfect
 hash of the shard's distinct document keys by hash and displace: keys fall into
 buckets, largest first each bucket gets the first seed that sends its keys to free
@@ -8,8 +8,11 @@ slots; a slot holds a 32-bit fingerprint and the first record of its key. A look
 reads one seed and one slot, and the fingerprint rejects foreign keys.
 
 Documents are dealt by doc_id range and sorted by (doc_id, text), so shards follow
-each other in ascending doc_id order (null first). Null text: empty. Repeated ids:
-one record each, the index names the first and the run's length. Null ids are
+each other in ascending doc_id order (null first). A task closes a shard at
+``SHARD_RECORDS`` records or ``SHARD_IDS`` ids, so an index has a bound at any number
+of partitions; the manifest keeps each shard's least and largest id, by which
+``TokenStore`` finds the shards of a key. Null text: empty. Repeated ids:
+one record each, a shard's index names the first and the run's length. Null ids are
 stored but cannot be looked up. Empty table: no shards, no rows. Extra columns are
 ignored. A shard is written under a temporary name and moved when whole, so lost
 executors and repeated attempts leave equal files.
@@ -21,6 +24,7 @@ import posixpath
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,8 @@ MAGIC = b"RQTOK1\0\0"
 END_ID = 0
 #: Distinct pre-tokens whose ids a worker remembers (about 150 bytes each).
 CACHE_ENTRIES = 1_000_000
+#: Records and ids at which a shard is closed.
+SHARD_RECORDS, SHARD_IDS = 1 << 20, 1 << 28
 
 
 # --- encoding ----------------------------------------------------------------
@@ -264,44 +270,64 @@ class PerfectIndex:
 
 # --- shards --------------------------------------------------------------------
 
-MANIFEST = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())])
+MANIFEST = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+MANIFEST_DDL = "shard long, name string, records long, tokens long, low long, high long"
 RECORDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, shards: int | None = None) -> list:
-    """Write ``docs`` (doc_id, text) below ``folder``; the manifest, one row a shard, in order."""
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+class ShardWriter:
+    """One shard: ids as they come, and the index when it is closed."""
+
+    def __init__(self, folder: str, name: str, dtype: np.dtype):
+        self.folder, self.name, self.dtype = folder, name, dtype
+        self.ids = ShardFile(folder, f"{name}.ids")
+        self.keys, self.valid, self.sizes, self.records, self.tokens = [], [], [], 0, 0
+
+    def add(self, doc: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids.write(ids.tobytes())
+        self.valid.append(doc.is_valid().to_numpy(zero_copy_only=False))
+        self.keys.append(doc.fill_null(0).to_numpy(zero_copy_only=False))
+        self.sizes.append(sizes)
+        self.records, self.tokens = self.records + len(sizes), self.tokens + len(ids)
+
+    def close(self, number: int) -> pa.RecordBatch:
+        """Finish both files; the shard's row of the manifest."""
+        self.ids.close()
+        key, valid, size = np.concatenate(self.keys).astype("<i8"), np.concatenate(self.valid), np.concatenate(self.sizes).astype("<i8")
+        own = np.flatnonzero(valid)
+        distinct, first, run_length = np.unique(key[own], return_index=True, return_counts=True)
+        index = PerfectIndex.build(distinct, own[first] if len(own) else first, run_length)
+        out = ShardFile(self.folder, f"{self.name}.idx")
+        out.write(MAGIC + struct.pack("<QQ", len(key), self.dtype.itemsize) + key.tobytes() + valid.astype(np.uint8).tobytes() + size.tobytes() + index.dump())
+        out.close()
+        low, high = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (None, None)
+        return batch_of(MANIFEST, [number], [self.name], [self.records], [self.tokens], [low], [high])
+
+
+def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, tasks: int | None = None, records: int = SHARD_RECORDS) -> list:
+    """Write ``docs`` (doc_id, text) below ``folder``; the manifest, one row a shard, in order.
+
+    A shard of ``records`` records or more (at most 255 more) is closed.
+    """
+    n = tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, enc = partition_id(), encoder(tokenizer_path)
-        name = f"part-{shard:07d}"
-        ids = None
-        keys, held, sizes = [], [], []
+        task, enc, out, done = partition_id(), encoder(tokenizer_path), None, 0
         for batch in batches:
             doc = column(batch, "doc_id")
             texts = column(batch, "text").to_pylist()
             for at in range(0, len(texts), 256):
-                if ids is None:
-                    ids = ShardFile(folder, f"{name}.ids")
-                got, count = enc.encode([t or "" for t in texts[at : at + 256]])
-                ids.write(got.tobytes())
-                sizes.append(count)
-            held.append(doc.is_valid().to_numpy(zero_copy_only=False))
-            keys.append(doc.fill_null(0).to_numpy(zero_copy_only=False))
-        if ids is None:
-            return
-        ids.close()
-        key, valid, size = np.concatenate(keys).astype("<i8"), np.concatenate(held), np.concatenate(sizes).astype("<i8")
-        own = np.flatnonzero(valid)
-        distinct, first, run_length = np.unique(key[own], return_index=True, return_counts=True)
-        index = PerfectIndex.build(distinct, own[first] if len(own) else first, run_length)
-        out = ShardFile(folder, f"{name}.idx")
-        out.write(MAGIC + struct.pack("<QQ", len(key), enc.dtype.itemsize) + key.tobytes() + valid.astype(np.uint8).tobytes() + size.tobytes() + index.dump())
-        out.close()
-        yield batch_of(MANIFEST, [shard], [name], [len(key)], [int(size.sum())])
+                if out is None:
+                    out = ShardWriter(folder, f"part-{task:07d}-{done:05d}", enc.dtype)
+                out.add(doc.slice(at, 256), *enc.encode([t or "" for t in texts[at : at + 256]]))
+                if out.records >= records or out.tokens >= SHARD_IDS:
+                    yield out.close((task << 24) + done)
+                    out, done = None, done + 1
+        if out is not None:
+            yield out.close((task << 24) + done)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    written = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "shard long, name string, records long, tokens long")
+    written = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, MANIFEST_DDL)
     # one row for each shard; drivers hold manifests of any corpus
     return sorted(written.collect(), key=lambda r: r["shard"])
 
@@ -335,6 +361,28 @@ class Shard:
         return [self.record(int(first[0]) + i) for i in range(int(run[0]))] if first[0] >= 0 and self.keys[first[0]] == key else []
 
 
+class TokenStore:
+    """Keyed access over all shards: those whose ids enclose the key, then their indexes."""
+
+    def __init__(self, folder: str, manifest: list):
+        self.folder = folder
+        self.rows = [r for r in manifest if r["low"] is not None]
+        self.highs = [r["high"] for r in self.rows]
+        self.opened: dict[str, Shard] = {}
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """All records of a document key, in their order; none if there is no such document."""
+        out = []
+        # shards follow each other, so those of a key stand side by side
+        for r in self.rows[bisect_left(self.highs, key) :]:
+            if r["low"] > key:
+                break
+            if r["name"] not in self.opened:
+                self.opened[r["name"]] = Shard(self.folder, r["name"])
+            out += self.opened[r["name"]].get(key)
+        return out
+
+
 def read_token_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     """One row a record, by key through the index: (doc_id, start, n_tokens, ids_crc32)."""
     start, rows = 0, []

@@ -89,9 +89,23 @@ def test_tokens_round_trip(spark, odd, none):
         start += len(ids)
     shards = [tokens.Shard(folder, m["name"]) for m in manifest]
     assert [len(s.get(6)) for s in shards].count(2) == 1 and not any(s.get(12345) for s in shards)
+    store = tokens.TokenStore(folder, manifest)
+    assert [len(store.get(k)) for k in (1, 6, 9, 0, 12345)] == [1, 2, 1, 0, 0]
     assert tokens.token_output(spark, none).count() == 0
 
 
+def test_full_token_shards_are_closed(spark):
+    docs = spark.createDataFrame([(k // 700, f"text {k:04d}") for k in range(2000)], "doc_id long, text string")
+    folder = run_dir(spark, "tokens")
+    manifest = tokens.write_token_shards(docs, tokens.tokenizer_file(), folder, 2, 512)
+    assert sum(m["records"] for m in manifest) == 2000 and len(manifest) > 3 and max(m["records"] for m in manifest) < 768
+    # a key's records may stand in several shards
+    store = tokens.TokenStore(folder, manifest)
+    assert [len(store.get(k)) for k in (0, 1, 2, 3)] == [700, 700, 600, 0]
+    whole = tokens.token_output(spark, docs)
+    assert sorted(map(tuple, tokens.read_token_shards(spark, folder, manifest).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.random.default_rng(0).choice(1 << 40, 20_000, replace=False)
     index = tokens.PerfectIndex.build(keys, np.arange(len(keys)), np.ones(len(keys), np.int64))
