@@ -226,8 +226,8 @@ def components(links: DataFrame) -> DataFrame:
         links = after
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
+def fingerprint_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text): components of fingerprints within 2 bits."""
     rows = materialize(with_fingerprints(docs, "doc_id"), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     roots = components(link_table(classes.select("fp")))
@@ -237,6 +237,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text): components of
+    near copies as the pipeline's stage takes them (``nearcopies``), not of fingerprints."""
+    from relquill.llm.nearcopies import near_copies
+
+    numbered = materialize(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    groups = near_copies(numbered, "doc_id")
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return groups.join(with_fingerprints(numbered, "row"), "row").join(least, "component").select("doc_id", "fp", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(documents(spark, sf_dir))
+    out = fingerprint_groups(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -137,6 +137,46 @@ def test_simhash_fingerprints_and_edges(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_fingerprint_groups_edges(odd, none):
+    rows = simhash.fingerprint_groups(odd).collect()
+    by_text = dict(texts(ODD))
+    assert all(r["fp"] & (1 << 64) - 1 == brute_fingerprint(by_text[r["doc_id"]]) for r in rows if r["doc_id"] is not None)
+    groups = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == len(ODD) and groups[1] == groups[2] == 1 and groups[6] == 5
+    assert simhash.fingerprint_groups(none).count() == 0
+
+
+@pytest.mark.parametrize("small", [32, 3])
+def test_near_copies_against_all_pairs(spark, small):
+    """Components of pairs with a 5-word Jaccard similarity of 0.8 or more, with and without crowded groups."""
+    from relquill.llm import nearcopies
+
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    docs = []
+    for k in range(25):
+        base = some(int(rng.integers(60, 300)))
+        for edits in (0, 1, 2, 3, 4):
+            own = list(base)
+            for at in rng.integers(0, len(own), edits * len(own) // 100):
+                own[at] = f"e{rng.integers(1 << 30)}"
+            docs.append(" ".join(own))
+    crowd = some(120)
+    for _ in range(60):
+        own = list(crowd)
+        for at in rng.integers(0, len(own), int(rng.integers(0, 5))):
+            own[at] = f"e{rng.integers(1 << 30)}"
+        docs.append("  ".join(own).upper())
+    sets = [frozenset(zip(*(t.lower().split()[j:] for j in range(5)), strict=False)) for t in docs]
+    pairs = [(i, j) for j in range(len(docs)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = list(range(len(docs)))
+    for i, j in pairs:
+        root = [root[i] if r == root[j] else r for r in root]
+    got = {r["row"]: r["component"] for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(docs)), "row long, text string"), small=small).collect()}
+    assert len(pairs) > 300 and sum(got[i] == got[j] for i, j in pairs) >= 0.999 * len(pairs)
+    assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
+
+
 @pytest.mark.parametrize("group", [simhash.GROUP, 8])
 def test_simhash_links_are_complete(spark, group, monkeypatch):
     """Chains and dense clusters, with and without the second deal of large groups."""
