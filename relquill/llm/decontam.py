@@ -4,8 +4,8 @@ An item leaks where some stretch of a document is within ``MAX_EDIT`` times its
 of edits (bytes, after A-Z are lowered and white space made a space).
 
 1. Windows that cannot hold an item are passed over without loss: within k edits of
-   an item of m bytes at least m - 11 - 12 k of its 12-byte strings survive, so a window
-   with fewer 12-byte strings known from the items holds none.
+   an item of m bytes at least m - 7 - 8 k of its 8-byte strings survive, so a window
+   with fewer of the item's 8-byte strings does not hold it.
 2. Item-sized windows at the word starts of what is left are embedded by CGK random
    walks (edit distance becomes Hamming distance), and tables of sampled positions
    name the items whose embedding agrees. ``TABLES`` tables of ``SAMPLES`` positions
@@ -15,8 +15,9 @@ of edits (bytes, after A-Z are lowered and white space made a space).
 Items are sent to the executors in blocks of about ``ITEMS`` rows or ``BLOCK_BYTES``
 bytes, each block a pass of its own over the documents, so a broadcast has a bound
 beside its longest item. Items above ``LONG`` bytes are verified at once in every
-stretch that the filter leaves, without walks. Null or shorter than ``SHORTEST``
-bytes: such items leak nowhere. Null or empty text: no leak. Repeated rows
+stretch that the filter leaves, without walks. Items below ``SHORTEST`` bytes are cut
+into one piece more than their edits; one piece survives, and where one is found the
+item is verified, so these lose nothing. Null or empty items leak nowhere. Null or empty text: no leak. Repeated rows
 are found each. Empty tables: no rows. Extra columns are ignored.
 """
 
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import batch_of, column, document_slices, documents, mix, text_bytes
+from relquill.llm.common import batch_of, column, document_slices, documents, gram_hashes, mix, prefix_hash, scatter_index, text_bytes
 
-MAX_EDIT, GRAM, SHORTEST = 1 / 15, 12, 24
-WALKS, TABLES, SAMPLES = 8, 48, 5
+MAX_EDIT, GRAM, SHORTEST = 0.1, 8, 40
+WALKS, TABLES, SAMPLES = 8, 48, 4
 ITEMS, BLOCK_BYTES, SLICE = 5000, 1 << 22, 1 << 23
 #: Bytes above which items are not embedded; steps after which a walk's coins repeat; bytes of windows embedded at once.
 LONG, COINS, EMBEDDED = 1 << 15, 1 << 14, 1 << 25
+#: (string, item) pairs of a group and slice up to which the filter counts for each item, not for the group at once.
+COUNTED = 1 << 22
 #: Items whose lengths differ by less than this factor share windows.
 GROWTH = 1.15
 
@@ -49,19 +52,16 @@ _PLAIN[[9, 10, 11, 12, 13]] = 32
 
 
 def allowed(m: int) -> int:
-    """Edits allowed for an item of m bytes; short items are allowed fewer, so that a gram survives."""
-    return max(0, min(math.floor(MAX_EDIT * m), (m - GRAM) // GRAM))
+    """Edits allowed for an item of m bytes; from ``SHORTEST`` bytes on, a gram survives them."""
+    return math.floor(MAX_EDIT * m)
 
 
 def gram_words(data: np.ndarray) -> np.ndarray:
-    """Every GRAM-byte string as a hash of its two overlapping 8-byte words."""
+    """Every GRAM-byte string as an integer."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    data = np.ascontiguousarray(data)
-    first = np.ndarray((n,), "<u8", data, strides=(1,))
-    last = np.ndarray((n,), "<u8", data, offset=GRAM - 8, strides=(1,))
-    return (first * np.uint64(0xD6E8FEB86659FD93)) ^ (last * np.uint64(0xA0761D6478BD642F) >> np.uint64(7))
+    return np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
 
 
 def edit_matches(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
@@ -98,12 +98,27 @@ class Items:
     """A block of benchmark items: gram filter, length groups and LSH tables."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.texts = [], []
+        self.ids, self.texts, self.short = [], [], []
+        short_ids = []
         for item, text in rows:
-            plain = _PLAIN[np.frombuffer((text or "").encode(), np.uint8)]
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            plain = _PLAIN[raw]
             if len(plain) >= SHORTEST:
                 self.ids.append(item)
                 self.texts.append(plain)
+            elif len(plain):
+                short_ids.append(item)
+                self.short.append(plain)
+        self.ids += short_ids  # short items come after the others
+        pieces: dict[int, list] = {}
+        for o, t in enumerate(self.short):
+            n = len(t) // (allowed(len(t)) + 1)
+            h = gram_hashes(prefix_hash(t), n)
+            pieces.setdefault(n, []).extend((int(h[k]), o, k) for k in range(0, n * allowed(len(t)) + 1, n))
+        self.pieces = []
+        for n, found in sorted(pieces.items()):
+            found.sort()
+            self.pieces.append((n, np.array([f[0] for f in found], np.uint64), [f[1:] for f in found]))
         self.order = np.argsort([len(t) for t in self.texts], kind="stable").tolist()
         grams = np.unique(np.concatenate([gram_words(t) for t in self.texts])) if self.texts else np.zeros(0, np.uint64)
         self.grams, self.of_group = grams, np.zeros(len(grams), np.uint64)
@@ -113,7 +128,7 @@ class Items:
         rng = np.random.default_rng(6)
         longest = max((len(t) for t in self.texts), default=0)
         self.walk_bits = rng.integers(0, 2, (WALKS, min(2 * longest + 2, COINS), 256), dtype=np.uint8)
-        self.groups = []
+        self.groups, self.holders = [], []
         at = 0
         while at < len(self.order):
             least = len(self.texts[self.order[at]])
@@ -133,6 +148,13 @@ class Items:
                 table, owner = self.keys([self.texts[i] for i in members], longest_here, picks).ravel(), np.repeat(owner, TABLES)
                 by = np.argsort(table, kind="stable")
                 table, owner = table[by], owner[by]
+            sets = [np.searchsorted(grams, np.unique(gram_words(self.texts[i]))) for i in members]
+            gram, item = np.concatenate(sets), np.repeat(np.arange(len(members)), [len(x) for x in sets])
+            owners = np.array(members)
+            by = np.argsort(gram, kind="stable")
+            lengths = np.array([len(self.texts[i]) for i in members])
+            edits = np.array([allowed(n) for n in lengths.tolist()])
+            self.holders.append((gram[by], item[by], lengths - GRAM + 1 - GRAM * edits, lengths + edits, owners))
             self.groups.append((longest_here, longest_here + allowed(longest_here), max(1, need), picks, table, owner))
             at = end
 
@@ -161,37 +183,64 @@ class Items:
             np.minimum(at, width, out=at)
         return mix(out * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[:, None]).T
 
-    def regions(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, first window start, past the last, group) that may hold an item of the group."""
+    def regions(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, dict | None]]:
+        """(document, first window start, past the last, group, {item position: its own first and last}) that
+        may hold an item of the group; None: any item of the group, anywhere."""
         words = gram_words(data)
         at = np.flatnonzero(self.known[self.slot(words)])
         place = np.minimum(np.searchsorted(self.grams, words[at]), len(self.grams) - 1)
         real = self.grams[place] == words[at]
-        at, masks = at[real], self.of_group[place[real]]
+        at, place = at[real], place[real]
+        masks = self.of_group[place]
         doc = np.searchsorted(offsets, at, side="right") - 1
         whole = at + GRAM <= offsets[doc + 1]
-        at, masks, doc = at[whole], masks[whole], doc[whole]
+        at, place, masks, doc = at[whole], place[whole], masks[whole], doc[whole]
         for g, (_, length, need, *_) in enumerate(self.groups):
             own = np.flatnonzero(masks & np.uint64(1 << g % 64))
             if len(own) < need:
                 continue
+            gram, item, needs, lengths, owners = self.holders[g]
+            left = np.searchsorted(gram, place[own])
+            counts = np.searchsorted(gram, place[own], side="right") - left
+            single = int(counts.sum()) <= COUNTED
+            if single:
+                # each item's own strings
+                of, own = item[scatter_index(left, counts)], np.repeat(own, counts)
+                by = np.argsort(of, kind="stable")
+                of, own = of[by], own[by]
+                need, length = needs[of], lengths[of]
+            else:
+                of, need, length = np.zeros(len(own), np.int64), np.full(len(own), need), np.full(len(own), length)
             # a window that holds ``need`` strings begins before the first and ends after the last
-            first, last = own[: len(own) - need + 1], own[need - 1 :]
+            until = np.arange(len(own)) + need - 1
+            first = np.flatnonzero(until < len(own))
+            last = until[first]
+            first, last, length = first[of[first] == of[last]], last[of[first] == of[last]], length[first[of[first] == of[last]]]
+            item, first, last = of[first], own[first], own[last]
             lo, hi = np.maximum(at[last] + GRAM - length, offsets[doc[first]]), at[first] + 1
             ok = (doc[first] == doc[last]) & (lo < hi)
-            lo, hi, of = lo[ok], hi[ok], doc[first[ok]]
+            lo, hi, item, of = lo[ok], hi[ok], item[ok], doc[first[ok]]
             if not len(lo):
                 continue
-            new = np.concatenate([[True], (lo[1:] > hi[:-1]) | (of[1:] != of[:-1])])
-            cut = np.flatnonzero(new)
-            for k, a, b in zip(of[cut].tolist(), lo[cut].tolist(), np.maximum.reduceat(hi, cut).tolist(), strict=True):
-                yield k, a, b, g
+            by = np.argsort(lo, kind="stable")
+            lo, ends, item, of = lo[by], hi[by], item[by], of[by]
+            hi = np.maximum.accumulate(ends)
+            cut = np.flatnonzero(np.concatenate([[True], (lo[1:] > hi[:-1]) | (of[1:] != of[:-1])]))
+            for c, d in zip(cut.tolist(), [*cut[1:].tolist(), len(lo)], strict=True):
+                own_windows = None
+                if single:
+                    u, at_u = np.unique(item[c:d], return_inverse=True)
+                    begin, end = np.full(len(u), hi[d - 1]), np.zeros(len(u), np.int64)
+                    np.minimum.at(begin, at_u, lo[c:d])
+                    np.maximum.at(end, at_u, ends[c:d])
+                    own_windows = dict(zip(owners[u].tolist(), zip(begin.tolist(), end.tolist(), strict=True), strict=True))
+                yield int(of[c]), int(lo[c]), int(hi[d - 1]), g, own_windows
 
     def named(self, data: np.ndarray, offsets: np.ndarray, found: list[tuple], g: int) -> set[tuple[int, int]]:
         """(region, item position) wherever a window of the region and the item share a key."""
         width, length, _, picks, table, owner = self.groups[g]
         windows, of, out = [], [], set()
-        for k, (doc, a, b) in enumerate(found):
+        for k, (doc, a, b, _) in enumerate(found):
             lo, hi = int(offsets[doc]), int(offsets[doc + 1])
             inside = np.arange(max(lo, a - (length - width)), b)
             begins = inside[(inside == lo) | (data[inside - 1] == 32)]
@@ -206,18 +255,52 @@ class Items:
                 out.update((of[at + int(i)], o) for o in owner[left[i, t] : right[i, t]].tolist())
         return out
 
+    def short_leaks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Leaks of short items: the best stretch about each run of their pieces."""
+        stretches: dict[tuple[int, int], list] = {}
+        prefix = prefix_hash(data) if self.pieces else None
+        for n, hashes, of in self.pieces:
+            values = gram_hashes(prefix, n)
+            left = np.searchsorted(hashes, values)
+            at = np.flatnonzero(hashes[np.minimum(left, len(hashes) - 1)] == values)
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            right = np.searchsorted(hashes, values[at], side="right")
+            for p, d, a, b in zip(at.tolist(), doc.tolist(), left[at].tolist(), right.tolist(), strict=True):
+                for o, k in of[a:b]:
+                    m = len(self.short[o])
+                    lo, hi = max(int(offsets[d]), p - k - allowed(m)), min(int(offsets[d + 1]), p - k + m + allowed(m))
+                    if p + n <= hi:
+                        stretches.setdefault((d, o), []).append((lo, hi))
+        for (d, o), found in stretches.items():
+            item, joined = self.short[o].tobytes(), []
+            for lo, hi in sorted(found):
+                if joined and lo < joined[-1][1]:
+                    joined[-1][1] = max(hi, joined[-1][1])
+                else:
+                    joined.append([lo, hi])
+            for lo, hi in joined:
+                stretch = data[lo:hi].tobytes()
+                edits, end = edit_matches(item, stretch, allowed(len(item)))
+                if end >= 0:
+                    _, back = edit_matches(item[::-1], stretch[:end][::-1], edits)
+                    yield d, len(self.texts) + o, lo + end - back - int(offsets[d]), lo + end - int(offsets[d]), edits
+
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, item position, start, end, edits) of each item in each region, best stretch."""
         by_group: dict[int, list] = {}
-        for doc, a, b, g in self.regions(data, offsets):
-            by_group.setdefault(g, []).append((doc, a, b))
+        for doc, a, b, g, own in self.regions(data, offsets):
+            by_group.setdefault(g, []).append((doc, a, b, own))
         best: dict[tuple[int, int, int], tuple] = {}
         for g, found in by_group.items():
             width, length, _, picks, _, owner = self.groups[g]
             slack = length - width
             named = self.named(data, offsets, found, g) if picks is not None else {(k, o) for k in range(len(found)) for o in owner.tolist()}
             for k, o in sorted(named):
-                doc, a, b = found[k]
+                doc, a, b, own = found[k]
+                if own is not None:
+                    if o not in own:
+                        continue
+                    a, b = own[o]
                 lo, hi = max(int(offsets[doc]), a - slack), min(int(offsets[doc + 1]), b + length + slack)
                 item = self.texts[o].tobytes()
                 stretch = data[lo:hi].tobytes()
@@ -228,7 +311,7 @@ class Items:
                     # regions of neighbouring length groups find the same stretch
                     if best.setdefault((doc, o, row[3]), row)[4] > edits:
                         best[doc, o, row[3]] = row
-        return sorted(best.values())
+        return sorted([*best.values(), *self.short_leaks(data, offsets)])
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -245,8 +328,8 @@ def batch_leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int,
     data, offsets = text_bytes(texts)
     out = []
     for a, b in document_slices(offsets, SLICE):
-        plain = _PLAIN[data[offsets[a] : offsets[b]]]
-        out += [(a + r[0], *r[1:]) for r in items.leaks(plain, offsets[a : b + 1] - offsets[a])]
+        own = offsets[a : b + 1] - offsets[a]
+        out += [(a + r[0], *r[1:]) for r in items.leaks(_PLAIN[data[offsets[a] : offsets[b]]], own)]
     return out
 
 

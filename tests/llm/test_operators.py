@@ -309,6 +309,29 @@ def test_leaks_with_edits_reach_recall():
     assert hit / 180 >= 0.95
 
 
+def test_leaks_at_fixed_edit_shares():
+    """Recall at shares that are not read from the module, and short items."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(400)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    plain = [some(int(n)) for n in rng.integers(12, 60, 60)]
+    items = decontam.Items(list(enumerate(plain)))
+    for share in (0, 0.067, 0.08, 0.1):
+        docs = [f"{some(60)} {edited(rng, p, int(share * len(p)))} {some(60)}" for p in plain]
+        found = {(d, items.ids[o]) for d, o, *_ in decontam.batch_leaks(pa.array(docs), items)}
+        assert sum((k, k) in found for k in range(60)) >= 0.95 * 60, share
+    short = ["What is 6x7?", "Name the twelfth president", "elan vital of the road"]
+    items = decontam.Items(list(enumerate(short)))
+    for k, t in enumerate(short):
+        for own in (t, t.upper(), t[:4] + t[5:]):
+            for before in ("", "zz " * 50):
+                doc = f"{before}{own} qq"
+                found = [f for f in decontam.batch_leaks(pa.array([None, doc]), items) if items.ids[f[1]] == k]
+                assert found, (doc, k)
+                if own != t[:4] + t[5:]:
+                    assert doc.encode()[found[0][2] : found[0][3]] == own.encode() and found[0][4] == 0
+
+
 def test_leaks_of_long_items(monkeypatch):
     """Beyond COINS the walks repeat their coins, above LONG bytes items are verified directly."""
     rng = np.random.default_rng(4)
