@@ -1,7 +1,8 @@
 """Operator 6, benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 An item leaks where some stretch of a document is within ``MAX_EDIT`` times its length
-of edits (bytes, after A-Z are lowered and white space made a space).
+of edits (bytes, after the case of all letters is folded and white space made a
+space; spans are those of the text as it stands).
 
 1. Windows that cannot hold an item are passed over without loss: within k edits of
    an item of m bytes at least m - 7 - 8 k of its 8-byte strings survive, so a window
@@ -23,6 +24,7 @@ are found each. Empty tables: no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -56,6 +58,62 @@ def allowed(m: int) -> int:
     return math.floor(MAX_EDIT * m)
 
 
+@functools.lru_cache(maxsize=1)
+def _folds() -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of each folded code point (up to 6) and how many; 0 where folding changes nothing or the point is ASCII."""
+    size, to = np.zeros(0x1F000, np.uint8), np.zeros((0x1F000, 6), np.uint8)
+    for c in range(128, len(size)):
+        if not 0xD800 <= c < 0xE000 and (folded := chr(c).casefold()) != chr(c):
+            raw = folded.encode()
+            size[c] = len(raw)
+            to[c, : len(raw)] = list(raw)
+    return size, to
+
+
+class Folded:
+    """Bytes with the case of all letters folded and white space made a space, and the way back."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        size, to = _folds()
+        plain = _PLAIN[data]
+        lead = np.flatnonzero(data >= 0xC2)
+        first = data[lead].astype(np.int64)
+        long = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
+        point = first & np.where(long == 2, 0x1F, np.where(long == 3, 0x0F, 0x07))
+        whole = lead + long <= len(data)
+        for k in (1, 2, 3):
+            more = long > k
+            c = data[np.minimum(lead + k, len(data) - 1)] if len(lead) else first
+            whole &= ~more | (c & 0xC0 == 0x80)
+            point = np.where(more, point << 6 | (c & 0x3F), point)
+        changed = whole & (point < len(size))
+        changed[changed] = size[point[changed]] > 0
+        at, old, point = lead[changed], long[changed], point[changed]
+        new = size[point].astype(np.int64)
+        for n in (2, 3, 4):
+            same = (old == n) & (new == n)
+            plain[at[same, None] + np.arange(n)] = to[point[same], :n]
+        other = old != new
+        #: where letters change their length: first byte, bytes before and after folding, shift of what follows
+        self.at, self.old, self.new = at[other], old[other], new[other]
+        self.shift = np.concatenate([[0], np.cumsum(self.new - self.old)])
+        self.begin = self.at + self.shift[:-1]
+        if len(self.at):
+            parts, end = [], 0
+            for a, n, letter, m in zip(self.at.tolist(), self.old.tolist(), point[other].tolist(), self.new.tolist(), strict=True):
+                parts += [plain[end:a], to[letter, :m]]
+                end = a + n
+            plain = np.concatenate([*parts, plain[end:]])
+        self.data, self.offsets = plain, offsets + self.shift[np.searchsorted(self.at, offsets)]
+
+    def back(self, place: int, end: bool) -> int:
+        """The original byte of a start or end in the folded bytes."""
+        i = int(np.searchsorted(self.begin, place, side="left" if end else "right")) - 1
+        if i >= 0 and place < self.begin[i] + self.new[i]:
+            return int(self.at[i] + (self.old[i] if end else 0))
+        return int(place - self.shift[i + 1])
+
+
 def gram_words(data: np.ndarray) -> np.ndarray:
     """Every GRAM-byte string as an integer."""
     n = len(data) - GRAM + 1
@@ -102,7 +160,7 @@ class Items:
         short_ids = []
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            plain = _PLAIN[raw]
+            plain = Folded(raw, np.array([0, len(raw)])).data
             if len(plain) >= SHORTEST:
                 self.ids.append(item)
                 self.texts.append(plain)
@@ -329,7 +387,10 @@ def batch_leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int,
     out = []
     for a, b in document_slices(offsets, SLICE):
         own = offsets[a : b + 1] - offsets[a]
-        out += [(a + r[0], *r[1:]) for r in items.leaks(_PLAIN[data[offsets[a] : offsets[b]]], own)]
+        text = Folded(data[offsets[a] : offsets[b]], own)
+        for d, o, start, end, edits in items.leaks(text.data, text.offsets):
+            base = int(text.offsets[d])
+            out.append((a + d, o, text.back(base + start, False) - int(own[d]), text.back(base + end, True) - int(own[d]), edits))
     return out
 
 

@@ -310,7 +310,7 @@ def test_leaks_with_edits_reach_recall():
 
 
 def test_leaks_at_fixed_edit_shares():
-    """Recall at shares that are not read from the module, and short items."""
+    """Recall at shares that are not read from the module, short items, and case of all letters."""
     rng = np.random.default_rng(11)
     words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 9))) for _ in range(400)]
     some = lambda n: " ".join(rng.choice(words, n))
@@ -320,16 +320,18 @@ def test_leaks_at_fixed_edit_shares():
         docs = [f"{some(60)} {edited(rng, p, int(share * len(p)))} {some(60)}" for p in plain]
         found = {(d, items.ids[o]) for d, o, *_ in decontam.batch_leaks(pa.array(docs), items)}
         assert sum((k, k) in found for k in range(60)) >= 0.95 * 60, share
-    short = ["What is 6x7?", "Name the twelfth president", "elan vital of the road"]
+    short = ["What is 6x7?", "Name the twelfth president", "élan vital of the Straße"]
     items = decontam.Items(list(enumerate(short)))
     for k, t in enumerate(short):
         for own in (t, t.upper(), t[:4] + t[5:]):
-            for before in ("", "zz " * 50):
+            for before in ("", "Été İ ſ ", "zz " * 50):
                 doc = f"{before}{own} qq"
                 found = [f for f in decontam.batch_leaks(pa.array([None, doc]), items) if items.ids[f[1]] == k]
                 assert found, (doc, k)
                 if own != t[:4] + t[5:]:
                     assert doc.encode()[found[0][2] : found[0][3]] == own.encode() and found[0][4] == 0
+    long = "À l'été, où l'élève préféré était né, la forêt brûlée s'étend déjà près du château"
+    assert [r[1:] for r in decontam.batch_leaks(pa.array([f"Ça {long.upper()} là"]), decontam.Items([(1, long)]))] == [(0, 4, 4 + len(long.encode()), 0)]
 
 
 def test_leaks_of_long_items(monkeypatch):
