@@ -177,6 +177,19 @@ def test_near_copies_against_all_pairs(spark, small):
     assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Rows of one id with other texts, and rows without an id."""
+    import corpus_pipeline as p
+
+    clean, other = " ".join(f"c{i}" for i in range(80)), " ".join(f"o{i}" for i in range(80))
+    near = clean.replace("c79", "x")
+    rows = [(1, clean), (2, near), (2, other), (None, "no id here"), (None, "no id here"), (None, near), (3, None), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("row", F.lit("own"))
+    got = p.one_of_each(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in got.collect())) == sorted([(1, clean), (2, other), (0, "no id here"), (3, "")])
+
+
 @pytest.mark.parametrize("group", [simhash.GROUP, 8])
 def test_simhash_links_are_complete(spark, group, monkeypatch):
     """Chains and dense clusters, with and without the second deal of large groups."""
