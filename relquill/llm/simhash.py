@@ -208,9 +208,15 @@ def link_table(distinct: DataFrame) -> DataFrame:
     return links.unionByName(again).distinct()
 
 
+def checksum(links: DataFrame) -> tuple:
+    """Equal for equal sets of links (u, v): their number and two sums of their hashes."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every linked node, root its component's smallest node."""
     links = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    before = checksum(links)
     while True:
         # large star: larger neighbours of a node move to its smallest neighbour
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -220,10 +226,11 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k"))
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        after = materialize(small, "links")
-        if not after.exceptAll(links).limit(1).count() and after.count() == links.count():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        links = after
+        links = materialize(small, "links")
+        after = checksum(links)
+        if after == before:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = after
 
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:

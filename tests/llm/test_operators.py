@@ -146,11 +146,12 @@ def test_fingerprint_groups_edges(odd, none):
     assert simhash.fingerprint_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("small", [32, 3])
-def test_near_copies_against_all_pairs(spark, small):
-    """Components of pairs with a 5-word Jaccard similarity of 0.8 or more, with and without crowded groups."""
+@pytest.mark.parametrize("unit", [2048, 16])
+def test_near_copies_against_all_pairs(spark, unit, monkeypatch):
+    """Components of pairs with a 5-word Jaccard similarity of 0.8 or more, with one and with several units a key."""
     from relquill.llm import nearcopies
 
+    monkeypatch.setattr(nearcopies, "UNIT", unit)
     rng = np.random.default_rng(8)
     some = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
     docs = []
@@ -167,12 +168,20 @@ def test_near_copies_against_all_pairs(spark, small):
         for at in rng.integers(0, len(own), int(rng.integers(0, 5))):
             own[at] = f"e{rng.integers(1 << 30)}"
         docs.append("  ".join(own).upper())
+    # copies that are near their original and not each other, whoever is the centre of their keys
+    spread = some(200)
+    docs.append(" ".join(spread))
+    for _ in range(60):
+        own = list(spread)
+        for at in rng.integers(0, len(own), int(rng.integers(2, 5))):
+            own[at] = f"e{rng.integers(1 << 30)}"
+        docs.append(" ".join(own))
     sets = [frozenset(zip(*(t.lower().split()[j:] for j in range(5)), strict=False)) for t in docs]
     pairs = [(i, j) for j in range(len(docs)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     root = list(range(len(docs)))
     for i, j in pairs:
         root = [root[i] if r == root[j] else r for r in root]
-    got = {r["row"]: r["component"] for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(docs)), "row long, text string"), small=small).collect()}
+    got = {r["row"]: r["component"] for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(docs)), "row long, text string")).collect()}
     assert len(pairs) > 300 and sum(got[i] == got[j] for i, j in pairs) >= 0.999 * len(pairs)
     assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
 
