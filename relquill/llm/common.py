@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relquill.sources.shared import shared_root
+
 #: Class of the word contract: a word is a run of bytes outside 09-0D and 20.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -25,21 +25,6 @@ WHITE = " \t\n\x0b\x0c\r"
 # --- the shared folder -------------------------------------------------------
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster leaves it unset (tests, local mode) is a temporary
-    folder of this machine taken, and then kept for the session.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="relquill-shared-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir()
-    return root
-
-
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     return posixpath.join(shared_root(spark), f"relquill-{name}-{uuid.uuid4().hex}")
@@ -54,14 +39,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system and path for a URI (file, hdfs, s3, gs) or plain path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
+    """pyarrow's file system and path for a URI (file, hdfs, s3, gs), as ``run_dir`` gives them."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     return pafs.FileSystem.from_uri(uri)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores after it as no column of that name (any case) takes."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 class ShardFile:
     """A file that appears under its name only when whole; retries replace it."""
 

@@ -1,21 +1,27 @@
 """Operator 2, token ids in binary shards with a minimal perfect hash index.
 
 Shard ``part-NNNNNNN-NNNNN`` (task, its shard): ``.ids`` (raw little-endian ids, 16 bits where the vocabulary
-fits, else 32) and ``.idx`` (keys, offsets, index). The index is a minimal perfect
+fits, else 32) and ``.idx`` (header, seeds, slots, keys, sizes). The index is a minimal perfect
 hash of the shard's distinct document keys by hash and displace: keys fall into
 buckets, largest first each bucket gets the first seed that sends its keys to free
-slots; a slot holds a 32-bit fingerprint and the first record of its key. A lookup
-reads one seed and one slot, and the fingerprint rejects foreign keys.
+slots; a slot holds a 32-bit fingerprint, where the key's ids start, how many there are,
+and its records. A lookup reads the header, one seed and one slot, whose fingerprint
+rejects foreign keys, and then the ids, whatever the shard's size; the table of all records
+is read through the same index, its ids in one stream a shard.
 
-Documents are dealt by doc_id range and sorted by (doc_id, text), so shards follow
-each other in ascending doc_id order (null first). A task closes a shard at
+Control strings of the tokenizer in a text (added tokens such as its end-of-text mark) become
+their own ids, as the tokenizers library has it without further switches.
+
+Documents are dealt by range of (doc_id, hash of the text, row number) and sorted so, so
+shards follow each other in ascending doc_id order (null first) and an id of many rows
+is split; ``docs`` must be a stable table, read alike by each attempt. A task closes a shard at
 ``SHARD_RECORDS`` records or ``SHARD_IDS`` ids, so an index has a bound at any number
 of partitions; the manifest keeps each shard's least and largest id, by which
-``TokenStore`` finds the shards of a key. Null text: empty. Repeated ids:
-one record each, a shard's index names the first and the run's length. Null ids are
-stored but cannot be looked up. Empty table: no shards, no rows. Extra columns are
-ignored. A shard is written under a temporary name and moved when whole, so lost
-executors and repeated attempts leave equal files.
+``TokenStore`` finds the shards of a key. Null text: empty. Very long texts are one record,
+encoded whole. Repeated ids: one record each, in the order of the texts' hashes; an index
+names a run by its first record. Null ids are stored but cannot be looked up. Empty table:
+no shards, no rows. Extra columns are ignored. A shard is written under a temporary name
+and moved when whole, so lost executors and repeated attempts leave equal files.
 """
 
 from __future__ import annotations
@@ -32,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import ShardFile, batch_of, column, documents, filesystem, mix, partition_id, run_dir, scatter_index, spread
+from relquill.llm.common import ShardFile, batch_of, column, document_slices, documents, filesystem, mix, partition_id, run_dir, scatter_index, spread
 
-MAGIC = b"RQTOK1\0\0"
+MAGIC = b"RQTOK2\0\0"
 END_ID = 0
 #: Distinct pre-tokens whose ids a worker remembers (about 150 bytes each).
 CACHE_ENTRIES = 1_000_000
 #: Records and ids at which a shard is closed.
 SHARD_RECORDS, SHARD_IDS = 1 << 20, 1 << 28
+#: Bytes of ids read at once from a shard's stream (one record may be longer).
+READ = 1 << 23
 
 
 # --- encoding ----------------------------------------------------------------
@@ -78,8 +86,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.split_any = regex.compile(public_tokenizers.PATTERN).findall
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # texts are parted at these before anything else, the longest first
+        self.marks = re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) + ")") if added else None
+        self.whole = self.tokenizer.normalizer is not None or any(t.lstrip or t.rstrip or t.single_word for t in added)
         vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
         # ids whose text begins with a space (byte-level alphabet: G with a dot)
@@ -88,7 +99,16 @@ class Encoder:
         self.reset()
 
     def split(self, text: str) -> list[str]:
-        """The pre-tokens of a text; Latin-1 texts by a pattern with its classes spelled out."""
+        """The pre-tokens of a text, added tokens among them."""
+        if self.whole:  # a tokenizer whose words depend on what is around them
+            return [text]
+        if self.marks is None or not self.marks.search(text):
+            return self.plain(text)
+        parts = self.marks.split(text)
+        return [w for i, part in enumerate(parts) for w in ((part,) if i % 2 else self.plain(part))]
+
+    def plain(self, text: str) -> list[str]:
+        """Pre-tokens of a text without added tokens; of Latin-1 texts by a pattern with its classes spelled out."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -199,20 +219,35 @@ def _hash(keys: np.ndarray, seed) -> np.ndarray:
         return mix((keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(seed, np.uint64) * np.uint64(0xBF58476D1CE4E5B9)))
 
 
+SLOT = np.dtype([("print", "<u4"), ("run", "<u4"), ("first", "<i8"), ("start", "<i8"), ("length", "<i8")])
+
+
+def fingerprint(keys: np.ndarray) -> np.ndarray:
+    return (_hash(keys, 0xF1) >> np.uint64(32)).astype(np.uint32)
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (_hash(keys, 0) % np.uint64(buckets)).astype(np.int64)
+
+
+def slot_of(keys: np.ndarray, seeds: np.ndarray, slots: int) -> np.ndarray:
+    return (_hash(keys, seeds) % np.uint64(slots)).astype(np.int64)
+
+
 class PerfectIndex:
     """Minimal perfect hash over distinct int64 keys, four keys to a bucket."""
 
-    def __init__(self, seeds: np.ndarray, prints: np.ndarray, first: np.ndarray, run: np.ndarray):
-        self.seeds, self.prints, self.first, self.run = seeds, prints, first, run
+    def __init__(self, seeds: np.ndarray, slots: np.ndarray):
+        self.seeds, self.slots = seeds, slots
 
     @classmethod
-    def build(cls, keys: np.ndarray, first: np.ndarray, run: np.ndarray) -> PerfectIndex:
+    def build(cls, keys: np.ndarray, first: np.ndarray, run: np.ndarray, start: np.ndarray, length: np.ndarray) -> PerfectIndex:
         n = len(keys)
         buckets = max(1, (n + 3) // 4)
         seeds = np.zeros(buckets, np.uint32)
-        slots = np.full(n, -1, np.int64)
+        place = np.full(n, -1, np.int64)
         if n:
-            bucket = (_hash(keys, 0) % np.uint64(buckets)).astype(np.int64)
+            bucket = bucket_of(keys, buckets)
             order = np.argsort(bucket, kind="stable")
             sizes = np.bincount(bucket, minlength=buckets)
             starts = np.cumsum(sizes) - sizes
@@ -224,7 +259,7 @@ class PerfectIndex:
                 own = order[starts[b] : starts[b] + sizes[b]]
                 base = np.uint64(0)
                 while True:
-                    want = (_hash(keys[own][None, :], (tries + base)[:, None]) % np.uint64(n)).astype(np.int64)
+                    want = slot_of(keys[own][None, :], (tries + base)[:, None], n)
                     ok = free[want].all(axis=1)
                     if len(own) > 1:
                         ranked = np.sort(want, axis=1)
@@ -232,44 +267,31 @@ class PerfectIndex:
                     if ok.any():
                         k = int(np.argmax(ok))
                         seeds[b] = int(tries[k] + base)
-                        slots[own] = want[k]
+                        place[own] = want[k]
                         free[want[k]] = False
                         break
                     base += np.uint64(64)
-        back = np.empty(n, np.int64)
-        back[slots] = np.arange(n)
-        return cls(seeds, cls.fingerprint(keys[back]), first[back], run[back])
-
-    @staticmethod
-    def fingerprint(keys: np.ndarray) -> np.ndarray:
-        return (_hash(keys, 0xF1) >> np.uint64(32)).astype(np.uint32)
-
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First record (-1: not there, by its fingerprint) and number of records of each key."""
-        n = len(self.first)
+        slots = np.zeros(n, SLOT)
+        for name, values in (("print", fingerprint(keys)), ("run", run), ("first", first), ("start", start), ("length", length)):
+            slots[name][place] = values
+        return cls(seeds, slots)
+
+    def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where its fingerprint says that it is not there."""
+        n = len(self.slots)
         if not n or not len(keys):
-            return np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        seed = self.seeds[(_hash(keys, 0) % np.uint64(len(self.seeds))).astype(np.int64)]
-        slot = (_hash(keys, seed) % np.uint64(n)).astype(np.int64)
-        there = self.prints[slot] == self.fingerprint(keys)
-        return np.where(there, self.first[slot], -1), np.where(there, self.run[slot], 0)
+            return np.full(len(keys), -1, np.int64)
+        slot = slot_of(keys, self.seeds[bucket_of(keys, len(self.seeds))], n)
+        return np.where(self.slots["print"][slot] == fingerprint(keys), slot, -1)
 
     def dump(self) -> bytes:
-        return struct.pack("<QQ", len(self.seeds), len(self.first)) + self.seeds.tobytes() + self.prints.tobytes() + self.first.astype("<i8").tobytes() + self.run.astype("<i8").tobytes()
-
-    @classmethod
-    def load(cls, raw: bytes, at: int) -> PerfectIndex:
-        b, n = struct.unpack_from("<QQ", raw, at)
-        at += 16
-        parts = []
-        for kind, size in (("<u4", b), ("<u4", n), ("<i8", n), ("<i8", n)):
-            parts.append(np.frombuffer(raw, kind, size, at))
-            at += np.dtype(kind).itemsize * size
-        return cls(*parts)
+        return self.seeds.astype("<u4").tobytes() + self.slots.tobytes()
 
 
 # --- shards --------------------------------------------------------------------
 
+#: Magic, records, bytes an id, seeds, slots.
+HEAD = struct.Struct("<8sQQQQ")
 MANIFEST = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 MANIFEST_DDL = "shard long, name string, records long, tokens long, low long, high long"
 RECORDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -294,11 +316,15 @@ class ShardWriter:
         """Finish both files; the shard's row of the manifest."""
         self.ids.close()
         key, valid, size = np.concatenate(self.keys).astype("<i8"), np.concatenate(self.valid), np.concatenate(self.sizes).astype("<i8")
+        ends = np.concatenate([[0], np.cumsum(size)])
         own = np.flatnonzero(valid)
-        distinct, first, run_length = np.unique(key[own], return_index=True, return_counts=True)
-        index = PerfectIndex.build(distinct, own[first] if len(own) else first, run_length)
+        distinct, first, run = np.unique(key[own], return_index=True, return_counts=True)
+        first = own[first]
+        index = PerfectIndex.build(distinct, first, run, ends[first], ends[first + run] - ends[first])
         out = ShardFile(self.folder, f"{self.name}.idx")
-        out.write(MAGIC + struct.pack("<QQ", len(key), self.dtype.itemsize) + key.tobytes() + valid.astype(np.uint8).tobytes() + size.tobytes() + index.dump())
+        out.write(HEAD.pack(MAGIC, len(key), self.dtype.itemsize, len(index.seeds), len(index.slots)))
+        for part in (index.dump(), key.tobytes(), valid.astype(np.uint8).tobytes(), size.tobytes()):
+            out.write(part)
         out.close()
         low, high = (int(distinct[0]), int(distinct[-1])) if len(distinct) else (None, None)
         return batch_of(MANIFEST, [number], [self.name], [self.records], [self.tokens], [low], [high])
@@ -326,39 +352,71 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, tasks:
         if out is not None:
             yield out.close((task << 24) + done)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    written = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, MANIFEST_DDL)
+    tie = [F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *tie)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    written = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, MANIFEST_DDL)
     # one row for each shard; drivers hold manifests of any corpus
     return sorted(written.collect(), key=lambda r: r["shard"])
 
 
 class Shard:
-    """A written shard: keyed access in constant time, ids mapped rather than read."""
+    """A written shard, for lookups by key: each reads a seed, a slot and its ids, nothing else."""
 
     def __init__(self, folder: str, name: str):
         fs, base = filesystem(folder)
-        raw = fs.open_input_file(posixpath.join(base, f"{name}.idx")).read()
-        if raw[:8] != MAGIC:
+        self.index, self.ids = (fs.open_input_file(posixpath.join(base, f"{name}.{kind}")) for kind in ("idx", "ids"))
+        magic, self.records, width, self.buckets, self.slots = HEAD.unpack(self.index.read(HEAD.size))
+        if magic != MAGIC:
             raise ValueError(f"{name}.idx is no token index")
-        n, width = struct.unpack_from("<QQ", raw, 8)
-        at = 24
-        self.keys = np.frombuffer(raw, "<i8", n, at)
-        self.valid = np.frombuffer(raw, np.uint8, n, at + 8 * n).astype(bool)
-        self.sizes = np.frombuffer(raw, "<i8", n, at + 9 * n)
-        self.ends = np.cumsum(self.sizes)
-        self.index = PerfectIndex.load(raw, at + 17 * n)
         self.dtype = np.dtype(f"<u{width}")
-        self.file = fs.open_input_file(posixpath.join(base, f"{name}.ids"))
+        self.slots_at = HEAD.size + 4 * self.buckets
+        self.keys_at = self.slots_at + SLOT.itemsize * self.slots
+        self.sizes_at = self.keys_at + 9 * self.records
 
-    def record(self, k: int) -> np.ndarray:
-        size = self.dtype.itemsize
-        self.file.seek(int(self.ends[k] - self.sizes[k]) * size)
-        return np.frombuffer(self.file.read(int(self.sizes[k]) * size), self.dtype)
+    def part(self, kind: np.dtype | str, at: int, n: int = 1) -> np.ndarray:
+        self.index.seek(at)
+        return np.frombuffer(self.index.read(np.dtype(kind).itemsize * n), kind)
 
     def get(self, key: int) -> list[np.ndarray]:
         """All records of a document key; none if the shard lacks it."""
-        first, run = self.index.lookup(np.array([key], np.int64))
-        return [self.record(int(first[0]) + i) for i in range(int(run[0]))] if first[0] >= 0 and self.keys[first[0]] == key else []
+        if not self.slots:
+            return []
+        keys = np.array([key], np.int64)
+        seed = self.part("<u4", HEAD.size + 4 * int(bucket_of(keys, self.buckets)[0]))
+        slot = self.part(SLOT, self.slots_at + SLOT.itemsize * int(slot_of(keys, seed, self.slots)[0]))[0]
+        if slot["print"] != fingerprint(keys)[0] or self.part("<i8", self.keys_at + 8 * int(slot["first"]))[0] != key:
+            return []
+        self.ids.seek(int(slot["start"]) * self.dtype.itemsize)
+        ids = np.frombuffer(self.ids.read(int(slot["length"]) * self.dtype.itemsize), self.dtype)
+        if slot["run"] == 1:
+            return [ids]
+        return np.split(ids, np.cumsum(self.part("<i8", self.sizes_at + 8 * int(slot["first"]), int(slot["run"])))[:-1])
+
+    def whole(self) -> tuple[PerfectIndex, np.ndarray, np.ndarray, np.ndarray]:
+        """The index, and each record's key, whether it has one, and its size; of bounded length."""
+        self.index.seek(HEAD.size)
+        raw = self.index.read()
+        seeds = np.frombuffer(raw, "<u4", self.buckets)
+        slots, keys, valid, sizes = (np.frombuffer(raw, kind, n, at - HEAD.size) for kind, n, at in ((SLOT, self.slots, self.slots_at), ("<i8", self.records, self.keys_at), ("u1", self.records, self.keys_at + 8 * self.records), ("<i8", self.records, self.sizes_at)))
+        return PerfectIndex(seeds, slots), keys, valid.astype(bool), sizes
+
+    def located(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, has one, start, size) of each record: its key looked up in the index, a run's later records after its first."""
+        index, keys, valid, sizes = self.whole()
+        start = np.cumsum(sizes) - sizes
+        own = np.flatnonzero(valid)
+        if len(own):
+            first = own[np.concatenate([[True], keys[own[1:]] != keys[own[:-1]]])]
+            at = index.lookup(keys[first])
+            found = index.slots[at]
+            run = np.diff(np.append(first, own[-1] + 1))
+            if (at < 0).any() or (found["first"] != first).any() or (found["run"] != run).any():
+                raise ValueError("a key isn't found by its index")
+            within = start[own] - np.repeat(start[first], run)
+            start = start.copy()
+            start[own] = np.repeat(found["start"], run) + within
+        return keys, valid, start, sizes
 
 
 class TokenStore:
@@ -391,16 +449,20 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: list) -> DataF
         start += r["tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = filesystem(folder)
         for batch in batches:
             for name, base in zip(column(batch, "name").to_pylist(), column(batch, "base").to_pylist(), strict=True):
                 shard = Shard(folder, name)
-                found, runs = shard.index.lookup(shard.keys)
-                # each record is reached through its key; a run's later records follow its first
-                order = np.arange(len(shard.keys))
-                if not (((found <= order) & (order < found + runs)) | ~shard.valid).all():
-                    raise ValueError(f"{name}: a key isn't found by its index")
-                crc = [zlib.crc32(shard.record(int(k)).astype("<u4").tobytes()) for k in order]
-                yield batch_of(RECORDS, pa.array(shard.keys, mask=~shard.valid), base + shard.ends - shard.sizes, shard.sizes, crc)
+                keys, valid, first, sizes = shard.located()
+                ends = np.append(first, first[-1] + sizes[-1]) * shard.dtype.itemsize
+                if (np.diff(ends) != sizes * shard.dtype.itemsize).any():
+                    raise ValueError(f"{name}: its records do not follow each other")
+                with fs.open_input_stream(posixpath.join(path, f"{name}.ids"), compression=None) as stream:
+                    for a, b in document_slices(ends, READ):
+                        ids = np.frombuffer(stream.read(int(ends[b] - ends[a])), shard.dtype).astype("<u4")
+                        at = ((ends[a : b + 1] - ends[a]) // shard.dtype.itemsize).tolist()
+                        crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+                        yield batch_of(RECORDS, pa.array(keys[a:b], mask=~valid[a:b]), base + first[a:b], sizes[a:b], crc)
 
     return spread(spark, rows, "shard long, name string, base long").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

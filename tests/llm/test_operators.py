@@ -18,7 +18,7 @@ from relquill.llm.queries import oracle_sql, queries
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
-ODD = [(1, None), (2, ""), (3, "a"), (4, "b b b  b\n\tb"), (5, LONG), (6, LONG), (6, LONG), (None, "no id"), (7, "é" * 700), (8, "x" * 5000), (9, "Étude \x0b z")]
+ODD = [(1, None), (2, ""), (3, "a"), (4, "b b b  b\n\tb"), (5, LONG), (6, LONG), (6, LONG), (None, "no id"), (7, "é" * 700), (8, "x" * 5000), (9, "Étude \x0b z"), (10, "x <|endoftext|> y<|endoftext|><|endoftext|>  \n<|endoftext"), (11, "é <|endoftext|> \U0001f600 Ω  <|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -77,12 +77,12 @@ def test_tokens_round_trip(spark, odd, none):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(tokens.tokenizer_file())
-    reference.encode_special_tokens = True
     folder = run_dir(spark, "tokens")
     manifest = tokens.write_token_shards(odd, tokens.tokenizer_file(), folder, 3)
     got = tokens.read_token_shards(spark, folder, manifest).collect()
     start, order = 0, sorted(texts(ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [i for i, _ in order]
+    assert len(reference.encode("x <|endoftext|> y", add_special_tokens=False).ids) == 4
     for r, (i, t) in zip(sorted(got, key=lambda r: r["start"]), order, strict=True):
         ids = reference.encode(t, add_special_tokens=False).ids + [0]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
@@ -108,10 +108,26 @@ def test_full_token_shards_are_closed(spark):
 
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     keys = np.random.default_rng(0).choice(1 << 40, 20_000, replace=False)
-    index = tokens.PerfectIndex.build(keys, np.arange(len(keys)), np.ones(len(keys), np.int64))
-    found, runs = tokens.PerfectIndex.load(index.dump(), 0).lookup(keys)
-    assert (found == np.arange(len(keys))).all() and (runs == 1).all()
-    assert (index.lookup(keys + (1 << 41))[0] >= 0).mean() < 0.001
+    number = np.arange(len(keys))
+    index = tokens.PerfectIndex.build(keys, number, np.ones_like(number), number * 3, number)
+    found = index.slots[index.lookup(keys)]
+    assert len(index.slots) == len(keys) and (found["first"] == number).all() and (found["start"] == number * 3).all()
+    assert (index.lookup(keys + (1 << 41)) >= 0).mean() < 0.001
+
+
+def test_rows_of_one_id_are_split_and_read_by_key(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 900}") for k in range(4000)] + [(2, "same")] * 1000 + [(None, "none")], "doc_id long, text string").repartition(5)
+    folder = run_dir(spark, "tokens")
+    manifest = tokens.write_token_shards(docs, tokens.tokenizer_file(), folder, 8)
+    assert max(m["records"] for m in manifest) < 1500
+    store = tokens.TokenStore(folder, manifest)
+    assert [len(store.get(k)) for k in (1, 2, 3)] == [4000, 1000, 0]
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(tokens.tokenizer_file())
+    assert store.get(2)[999].tolist() == reference.encode("same", add_special_tokens=False).ids + [0]
+    got = tokens.read_token_shards(spark, folder, manifest).collect()
+    assert sorted(r["start"] for r in got)[-1] + 2 == sum(m["tokens"] for m in manifest) and len(got) == 5001
 
 
 # --- 3
