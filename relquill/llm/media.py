@@ -5,18 +5,21 @@ samples of a mono 8-bit PCM WAV (12 kHz), stored as a binary column in the share
 folder. Features come from the bytes read back: polyphase resampling to 8 kHz,
 Hann frames of 256 with half overlap, log-mel energies, hysteresis segmentation of
 frame energy into time spans, and the log-mel picture pooled into a fixed shape
-(``SHAPE``: time bins, bands), which ``write_tensors`` keeps as an Arrow
-fixed-shape tensor column beside its spans.
-
-Long clips are analysed in blocks of ``BLOCK`` samples, each filtered on its own, so
-memory is bounded by a block. Null text: empty, 576 filling samples. Equal texts
-give equal values. Repeated rows stay. Extra columns are ignored. Empty table: no rows.
+(``SHAPE``: time bins, bands). Digests, spans and the picture are stored as Arrow shards,
+the picture as a fixed-shape tensor column, and the query reads them from there.
+
+Clips are analysed ``FRAMES`` frames at a time, each piece resampled from the samples
+that its frames and the filter reach, so pieces give the frames of the whole clip and memory
+is bounded by a piece beside the clip and its levels. Null text: empty, 576 filling
+samples. Very long texts: one clip. Equal texts give equal values. Repeated rows, ties and
+null ids stay. Extra columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import posixpath
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,21 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import ShardFile, batch_of, column, documents, materialize, partition_id
+from relquill.llm.common import ShardFile, column, document_slices, documents, filesystem, materialize, partition_id, run_dir, spread, text_bytes
 
 UNIT, FILL, RATE, RATE_OUT = 576, 255, 12_000, 8_000
 UP, DOWN, SIDE = 2, 3, 10
 FRAME, HOP, BANDS, BINS = 256, 128, 24, 8
 SHAPE = (BINS, BANDS)
-BLOCK = UNIT * 2048
+#: Frames analysed at once; bytes of texts made into clips at once.
+FRAMES, SLICE = 4096, 1 << 22
 #: Hysteresis: a span opens this much above the clip's mean level and closes this much below it (dB).
 OPEN_DB, CLOSE_DB = 1.0, -1.0
 
+TENSOR = pa.fixed_shape_tensor(pa.float32(), SHAPE, dim_names=("time", "band"))
 FEATURES = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()),
-    ("frames", pa.int64()), ("span_starts", pa.list_(pa.float64())), ("span_ends", pa.list_(pa.float64())), ("tensor", pa.list_(pa.float32())),
+    ("frames", pa.int64()), ("span_starts", pa.list_(pa.float64())), ("span_ends", pa.list_(pa.float64())), ("tensor", TENSOR),
 ])
-FEATURES_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, span_starts array<double>, span_ends array<double>, tensor array<float>"
+PLAIN_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long"
 
 
 def wav(payload: bytes) -> bytes:
@@ -73,18 +78,27 @@ def _phases() -> tuple[np.ndarray, int]:
     return np.stack([np.pad(taps[p::UP], (0, per - len(taps[p::UP])))[::-1] for p in range(UP)]).astype(np.float32), reach
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Polyphase resampling by UP / DOWN; output k is the input at time k * DOWN / UP."""
+def out_length(samples_: int) -> int:
+    return -(-samples_ * UP // DOWN)
+
+
+def resample(payload: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Polyphase resampling by UP / DOWN of 8-bit samples, silent before and after the clip; output k
+    is the input at time k * DOWN / UP. Outputs lo to hi, from the samples that they reach."""
     phases, reach = _phases()
     per = phases.shape[1]
-    n = -(-len(x) * UP // DOWN)
-    out = np.empty(n, np.float32)
-    padded = np.concatenate([np.zeros(per, np.float32), x, np.zeros(per + reach, np.float32)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, per)
-    for k in range(min(UP, n)):
-        at = k * DOWN + reach  # position in the upsampled signal, the filter's delay included
-        rows = view[at // UP + 1 :: DOWN][: len(out[k::UP])]
-        out[k::UP] = rows @ phases[at % UP]
+    hi = out_length(len(payload)) if hi is None else hi
+    # output k reads the inputs before last(k), per of them
+    last = lambda k: (k * DOWN + reach) // UP + 1
+    begin, end = last(lo) - per, last(hi - 1)
+    x = np.zeros(end - begin, np.float32)
+    a, b = max(begin, 0), min(end, len(payload))
+    x[a - begin : b - begin] = (payload[a:b].astype(np.float32) - 128) / 128
+    view = np.lib.stride_tricks.sliding_window_view(x, per)
+    out = np.empty(hi - lo, np.float32)
+    for k in range(lo, min(lo + UP, hi)):
+        own = out[k - lo :: UP]
+        own[:] = view[last(k) - per - begin :: DOWN][: len(own)] @ phases[(k * DOWN + reach) % UP]
     return out
 
 
@@ -121,21 +135,18 @@ def spans(level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def analyse(payload: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """Frames, span starts and ends in seconds, and the pooled (BINS, BANDS) tensor."""
-    pictures, levels = [], []
-    for at in range(0, len(payload), BLOCK):
-        x = (payload[at : at + BLOCK].astype(np.float32) - 128) / 128
-        picture, level = log_mel(resample(x))
-        pictures.append(picture)
-        levels.append(level)
-    picture, level = np.concatenate(pictures), np.concatenate(levels)
-    n = len(picture)
-    a, b = spans(level)
-    total = np.zeros((n + 1, BANDS))
-    np.cumsum(picture, axis=0, out=total[1:])
+    n = max(1, (out_length(len(payload)) - FRAME) // HOP + 1)
     lo = np.arange(BINS) * n // BINS
     hi = np.maximum(lo + 1, (np.arange(BINS) + 1) * n // BINS)
-    pooled = (total[hi] - total[lo]) / (hi - lo)[:, None]
-    return n, a * HOP / RATE_OUT, b * HOP / RATE_OUT, pooled.astype(np.float32)
+    level, pooled = np.empty(n), np.zeros((BINS, BANDS))
+    for f in range(0, n, FRAMES):
+        end = min(n, f + FRAMES)
+        picture, level[f:end] = log_mel(resample(payload, f * HOP, min(out_length(len(payload)), (end - 1) * HOP + FRAME)))
+        total = np.zeros((end - f + 1, BANDS))
+        np.cumsum(picture, axis=0, out=total[1:])
+        pooled += total[np.clip(hi - f, 0, end - f)] - total[np.clip(lo - f, 0, end - f)]
+    a, b = spans(level)
+    return n, a * HOP / RATE_OUT, b * HOP / RATE_OUT, (pooled / (hi - lo)[:, None]).astype(np.float32)
 
 
 def store_audio(docs: DataFrame) -> DataFrame:
@@ -143,19 +154,24 @@ def store_audio(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column(batch, "text").cast(pa.binary()).to_pylist()
-            sizes = [len(t or b"") for t in texts]
-            media = [wav((t or b"") + bytes([FILL]) * ((-len(t or b"") % UNIT) or (0 if t else UNIT))) for t in texts]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            data, offsets = text_bytes(column(batch, "text"))
+            doc = column(batch, "doc_id")
+            for a, b in document_slices(offsets, SLICE):
+                media = []
+                for i, j in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True):
+                    fill = -(j - i) % UNIT or (0 if j > i else UNIT)
+                    media.append(wav(data[i:j].tobytes() + bytes([FILL]) * fill))
+                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return materialize(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "audio")
 
 
-def audio_features(stored: DataFrame) -> DataFrame:
-    """Digests, time spans and the fixed-shape log-mel tensor of each stored clip."""
+def write_features(stored: DataFrame, folder: str) -> list:
+    """Arrow shards of ``FEATURES`` below ``folder``, the picture as a fixed-shape tensor; one row a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, writer, out, n = f"features-{partition_id():07d}.arrow", None, None, 0
         for batch in batches:
             docs, sizes = column(batch, "doc_id").to_pylist(), column(batch, "n_bytes").to_pylist()
             clips = column(batch, "media")
@@ -164,39 +180,59 @@ def audio_features(stored: DataFrame) -> DataFrame:
                 for i in range(at, min(at + 512, batch.num_rows)):
                     media = clips[i].as_buffer()
                     payload = samples(media)
-                    n, a, b, tensor = analyse(payload)
+                    frames, a, b, tensor = analyse(payload)
                     raw = payload.data
-                    rows.append((docs[i], sizes[i], len(payload), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), media.size, hashlib.sha256(media).hexdigest(), n, a, b, tensor.ravel()))
-                yield batch_of(FEATURES, *zip(*rows, strict=True))
+                    rows.append((docs[i], sizes[i], len(payload), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), media.size, hashlib.sha256(media).hexdigest(), frames, a, b, tensor.ravel()))
+                *plain, tensors = zip(*rows, strict=True)
+                picture = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(tensors)), BINS * BANDS))
+                if writer is None:
+                    out = ShardFile(folder, name)
+                    writer = pa.ipc.new_stream(out.out, FEATURES, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                writer.write_batch(pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(plain, FEATURES, strict=False)), picture], schema=FEATURES))
+                n += len(rows)
+        if writer is not None:
+            writer.close()
+            out.close()
+            yield pa.record_batch([pa.array([partition_id()], pa.int64()), pa.array([name]), pa.array([n], pa.int64())], names=["shard", "name", "rows"])
 
-    return stored.mapInArrow(run, FEATURES_DDL)
+    return sorted(stored.mapInArrow(run, "shard long, name string, rows long").collect())  # one row a shard
 
 
-def write_tensors(features: DataFrame, folder: str) -> list:
-    """Arrow IPC shards of (doc_id, span_starts, span_ends, tensor as fixed_shape_tensor)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), SHAPE, dim_names=("time", "band"))
+def described(batch: pa.RecordBatch) -> pa.Array:
+    """One line of figures a clip: frames, spans, their length, mean level by time bin and by band (dB)."""
+    tensor = column(batch, "tensor").storage.flatten().to_numpy().reshape(-1, *SHAPE)
+    seconds = [np.subtract(b, a).sum() for a, b in zip(column(batch, "span_starts").to_pylist(), column(batch, "span_ends").to_pylist(), strict=True)]
+    counts = column(batch, "span_starts").value_lengths().to_pylist()
+    listed = lambda x: ",".join(map(str, np.rint(x).astype(int).tolist()))
+    return pa.array([f"frames={f};spans={n};active_ms={round(s * 1000)};bins={listed(t.mean(axis=1))};bands={listed(t.mean(axis=0))}" for f, n, s, t in zip(column(batch, "frames").to_pylist(), counts, seconds, tensor, strict=True)])
+
+
+def read_features(spark: SparkSession, folder: str, manifest: list, described_too: bool = False) -> DataFrame:
+    """The stored rows, the tensor as array<float> in row order; ``described_too``: with a column feature instead of spans and tensor."""
+    ddl = PLAIN_DDL + (", feature string" if described_too else ", span_starts array<double>, span_ends array<double>, tensor array<float>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, writer, out, n = f"tensors-{partition_id():07d}.arrow", None, None, 0
+        fs, base = filesystem(folder)
         for batch in batches:
-            flat = column(batch, "tensor").flatten()
-            tensor = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, SHAPE[0] * SHAPE[1]))
-            table = pa.record_batch([column(batch, c) for c in ("doc_id", "span_starts", "span_ends")] + [tensor], names=["doc_id", "span_starts", "span_ends", "tensor"])
-            if writer is None:
-                out = ShardFile(folder, name)
-                writer = pa.ipc.new_stream(out.out, table.schema)
-            writer.write_batch(table)
-            n += batch.num_rows
-        if writer is not None:
-            writer.close()
-            yield pa.record_batch([pa.array([out.close()]), pa.array([n])], names=["path", "rows"])
+            for name in column(batch, "name").to_pylist():
+                with fs.open_input_stream(posixpath.join(base, name), compression=None) as stream, pa.ipc.open_stream(stream) as reader:
+                    for own in reader:
+                        plain = own.columns[: PLAIN_DDL.count(",") + 1]
+                        if described_too:
+                            yield pa.RecordBatch.from_arrays([*plain, described(own)], names=[*own.schema.names[: len(plain)], "feature"])
+                        else:
+                            flat = own.columns[-1].storage
+                            tensor = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * BINS * BANDS, pa.int32()), flat.flatten())
+                            yield pa.RecordBatch.from_arrays([*own.columns[:-1], tensor], names=own.schema.names)
+
+    return spread(spark, [(r["shard"], r["name"]) for r in manifest], "shard long, name string").mapInArrow(run, ddl)
+
 
-    return features.select("doc_id", "span_starts", "span_ends", "tensor").mapInArrow(run, "path string, rows long").collect()
+def audio_features(docs: DataFrame, described_too: bool = False) -> DataFrame:
+    """Store the clips of ``docs`` (doc_id, text) and their features, and read the features back."""
+    spark, folder = docs.sparkSession, run_dir(docs.sparkSession, "features")
+    return read_features(spark, folder, write_features(store_audio(docs), folder), described_too)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = audio_features(store_audio(documents(spark, sf_dir)))
-    active = F.aggregate(F.arrays_zip("span_starts", "span_ends"), F.lit(0.0), lambda s, x: s + x["span_ends"] - x["span_starts"])
-    picture = F.array_join(F.transform("tensor", lambda v: F.round(v).cast("int").cast("string")), ",")
-    feature = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("spans="), F.size("span_starts")), F.concat(F.lit("active_ms="), F.round(active * 1000).cast("long")), F.concat(F.lit("logmel="), F.sha2(picture, 256)))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return audio_features(documents(spark, sf_dir), described_too=True).drop("frames")

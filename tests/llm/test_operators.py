@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relquill.llm import chat, classify, decontam, media, mixing, quality, simhash, suffix, tokens, toxicity, warc
-from relquill.llm.common import run_dir
+from relquill.llm.common import filesystem, run_dir
 from relquill.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -248,29 +248,75 @@ def test_simhash_links_are_complete(spark, group, monkeypatch):
 
 
 def test_media_round_trip(spark, odd, none):
-    df = media.audio_features(media.store_audio(odd))
-    rows = df.collect()
+    folder = run_dir(spark, "features")
+    manifest = media.write_features(media.store_audio(odd), folder)
+    rows = media.read_features(spark, folder, manifest).collect()
     by_text = dict(texts(ODD))
+    assert len(rows) == len(ODD) == sum(r["rows"] for r in manifest)
     for r in rows:
         raw = (by_text[r["doc_id"]] if r["doc_id"] is not None else "no id").encode()
         payload = raw + b"\xff" * ((-len(raw) % 576) or (0 if raw else 576))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["media_sha256"] == hashlib.sha256(media.wav(payload)).hexdigest() and r["media_bytes"] == len(payload) + 44
         assert len(r["tensor"]) == media.BINS * media.BANDS
-    same = [tuple(r)[2:] for r in rows if r["doc_id"] in (5, 6)]
+    same = [tuple(r)[1:] for r in rows if r["doc_id"] in (5, 6)]
     assert same[0] == same[1] == same[2]
-    paths = media.write_tensors(df, run_dir(spark, "tensors"))
-    with pa.ipc.open_stream(paths[0]["path"]) as reader:
+    fs, base = filesystem(folder)
+    with fs.open_input_stream(f"{base}/{manifest[0]['name']}") as stream, pa.ipc.open_stream(stream) as reader:
         table = reader.read_all()
     assert table.schema.field("tensor").type.shape == list(media.SHAPE)
-    assert media.audio_features(media.store_audio(none)).count() == 0
+    told = {r["doc_id"]: r["feature"] for r in media.read_features(spark, folder, manifest, described_too=True).collect()}
+    one = next(r for r in rows if r["doc_id"] == 7)
+    picture = np.array(one["tensor"]).reshape(media.SHAPE)
+    assert told[7].split(";")[0] == f"frames={one['frames']}" and told[7].endswith("bands=" + ",".join(str(int(np.rint(x))) for x in picture.mean(axis=0)))
+    assert media.audio_features(none).count() == 0
+
+
+def brute_features(payload):
+    """The definition, sample by sample: fill in zeros, filter, take each third; frames; a state that opens and closes."""
+    reach = media.SIDE * 3
+    t = np.arange(-reach, reach + 1)
+    taps = np.sinc(t / 3) * np.kaiser(len(t), 5.0)
+    taps *= 2 / taps.sum()
+    up = np.zeros(2 * len(payload))
+    up[::2] = (payload.astype(float) - 128) / 128
+    y = np.convolve(up, taps)[reach : reach + len(up)][::3]
+    frames = [y[k : k + 256] for k in range(0, len(y) - 255, 128)]
+    window, bank = media._mel()
+    picture = np.array([10 * np.log10(np.abs(np.fft.rfft(f * window)) ** 2 @ bank + 1e-8) for f in frames])
+    level = [10 * np.log10((f**2).mean() + 1e-10) for f in frames]
+    on, out = False, []
+    for k, x in enumerate(level):
+        was, on = on, x >= np.mean(level) + media.OPEN_DB or on and x >= np.mean(level) + media.CLOSE_DB
+        if on and not was:
+            out.append([k, k + 1])
+        elif on:
+            out[-1][1] = k + 1
+    n = len(frames)
+    bins = [picture[k * n // 8 : max(k * n // 8 + 1, (k + 1) * n // 8)].mean(axis=0) for k in range(8)]
+    return n, [[a * 0.016, b * 0.016] for a, b in out], np.array(bins)
+
+
+@pytest.mark.parametrize("frames", [4096, 7])
+def test_media_features_by_definition(frames, monkeypatch):
+    """Also where a clip is analysed in many pieces: no seams."""
+    monkeypatch.setattr(media, "FRAMES", frames)
+    rng = np.random.default_rng(12)
+    for size in (1, 3, 40, 200):
+        loud = np.repeat(rng.integers(1, 100, size * 4), 144)
+        payload = (128 + loud * np.sin(np.arange(size * 576) * 0.3 * rng.random()) + rng.integers(-2, 3, size * 576)).astype(np.uint8)
+        n, a, b, tensor = media.analyse(payload)
+        want_n, want, bins = brute_features(payload)
+        assert n == want_n and np.allclose(np.stack([a, b], axis=1), np.array(want).reshape(-1, 2))
+        assert np.allclose(tensor, bins, atol=0.02)
 
 
 def test_resampling_keeps_a_tone():
     t = np.arange(12_000) / media.RATE
-    y = media.resample(np.sin(2 * np.pi * 440 * t).astype(np.float32))
-    want = np.sin(2 * np.pi * 440 * np.arange(len(y)) / media.RATE_OUT)
+    y = media.resample(np.rint(128 + 100 * np.sin(2 * np.pi * 440 * t)).astype(np.uint8))
+    want = 100 / 128 * np.sin(2 * np.pi * 440 * np.arange(len(y)) / media.RATE_OUT)
     assert len(y) == 8000 and np.abs(y[100:-100] - want[100:-100]).max() < 0.02
+    assert np.array_equal(media.resample(np.full(9000, 7, np.uint8), 100, 5000), media.resample(np.full(9000, 7, np.uint8))[100:5000])
 
 
 def test_hysteresis_holds_between_thresholds():
