@@ -8,9 +8,11 @@ exactly. Loss spans are the escaped assistant texts.
 Conversations are streamed in (conversation, turn) order: one sort, then batches;
 a conversation of any length passes through in pieces ("parts"), so no group is
 gathered in memory. Its digests are sequential by definition and kept as running
-states. Null text and null role: empty. Null conv_id: a conversation of its own.
-Repeated rows stay, ties on turn are ordered by role and text. Empty table: no rows.
-Extra columns are ignored.
+states. Batches are assembled in slices of about ``SLICE`` bytes; assembling takes some 30
+bytes of memory a byte of a slice, and a very long text is a slice of its own (escaped it must
+stay below 2 GiB, which is all that a string holds). Null text and null role: empty. Null
+conv_id: a conversation of its own. Repeated rows stay, ties on turn are ordered by role
+and text. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import arrow_text, batch_of, column, scatter_index, text_bytes
+from relquill.llm.common import arrow_text, batch_of, column, document_slices, scatter_index, text_bytes
 
 HEAD, MID, TAIL, SLASH = b"### ", b":\n", b"</turn>\n", 92
 TRAINED_ROLE = b"assistant"
+SLICE = 1 << 22
 
 FORMATTED = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("turns", pa.int64()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
 FORMATTED_DDL = "conv_id long, part long, formatted string, turns long, loss_starts array<long>, loss_ends array<long>"
@@ -117,8 +120,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict = {}
         for batch in batches:
-            if batch.num_rows:
-                yield assemble(batch, parts)
+            sizes = text_bytes(column(batch, "role"))[1] + text_bytes(column(batch, "text"))[1]
+            for a, b in document_slices(sizes, SLICE):
+                yield assemble(batch.slice(a, b - a), parts)
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     return rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(run, FORMATTED_DDL)
