@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relquill.llm.common import column
+from relquill.llm.common import column, plain_names
 
 #: Labels are broadcast up to this many rows (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -82,15 +82,17 @@ def block_rows(counts: np.ndarray, size: int) -> pa.RecordBatch:
 
 
 def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name: str) -> DataFrame:
-    """``docs`` with a double column ``name`` in [0, 1] from its text column."""
-    schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    """``docs`` with a double column ``name`` in [0, 1] from its text column, in place of any column of that name."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept)).toDF(*plain_names(kept))
+    schema = docs.select("*", F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = pa.array(scorer(column(batch, "text")), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*kept, name)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

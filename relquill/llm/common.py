@@ -53,6 +53,11 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def plain_names(columns: list[str]) -> list[str]:
+    """Names for a pass through Arrow, whatever the columns are called; ``text`` keeps its own."""
+    return [c if c == "text" else f"column_{i}" for i, c in enumerate(columns)]
+
+
 class ShardFile:
     """A file that appears under its name only when whole; retries replace it."""
 

@@ -7,10 +7,15 @@ words weighed down. A two-layer numpy network is trained on at most
 ``TRAIN_ROWS`` labelled rows (in the order of a hash of their id) and its
 probabilities are calibrated by a temperature fitted on rows it was not trained on.
 
-Words are runs of letters and digits, or runs of signs, hashed into ``VOCAB`` slots,
-so vectors and what executors send are of fixed size. Null or empty text: the
-zero vector, whose score is the network's. No labels, or labels of one class: the
-smoothed share of that label, for every row. Repeated rows stay. Empty table: no rows.
+Words are runs of letters and digits, or runs of signs, hashed into ``vocab`` slots
+(``VOCAB`` unless given), so vectors and what executors send are of fixed size; words that
+share a slot share a vector, and a corpus of more distinct words than slots is told apart by
+its frequent ones. Each task sends (DIMS + 1) * 4 bytes a slot that it met.
+Null or empty text: the zero vector, whose score is the network's. Very long texts: one
+slice each. No labels, or labels of one class: the smoothed share of that label, for every
+row. Null ids are scored and in no fold, so never learnt; repeated ids with one label are learnt
+once. Repeated rows and ties stay and get equal scores. A column named like the score gives
+way to it; other extra columns stay. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -35,16 +40,16 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 
 
-def index_vectors() -> np.ndarray:
-    """(VOCAB + 1, DIMS) sparse ternary vectors; the last slot, between documents, is zero."""
+def index_vectors(vocab: int = VOCAB) -> np.ndarray:
+    """(vocab + 1, DIMS) sparse ternary vectors; the last slot, between documents, is zero."""
     rng = np.random.default_rng(20)
-    out = np.zeros((VOCAB + 1, DIMS), np.int8)
-    for v in range(VOCAB):
+    out = np.zeros((vocab + 1, DIMS), np.int8)
+    for v in range(vocab):
         out[v, rng.choice(DIMS, NONZERO, replace=False)] = rng.choice((-1, 1), NONZERO)
     return out
 
 
-def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_slots(data: np.ndarray, offsets: np.ndarray, vocab: int = VOCAB) -> tuple[np.ndarray, np.ndarray]:
     """The slot of each word of some documents, and the words before each document."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -57,28 +62,28 @@ def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     real = kind[starts] > 0
     starts, ends = starts[real], ends[real]
     h = span_hashes(prefix_hash(data), starts, ends)
-    return (h % np.uint64(VOCAB)).astype(np.int64), np.searchsorted(starts, offsets)
+    return (h % np.uint64(vocab)).astype(np.int64), np.searchsorted(starts, offsets)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, vocab: int = VOCAB) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past the last, word slots, words before each row) in bounded pieces."""
     data, offsets = text_bytes(texts)
     for a, b in document_slices(offsets, SLICE):
-        yield (a, b, *word_slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        yield (a, b, *word_slots(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], vocab))
 
 
-def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(VOCAB, DIMS) unit word vectors and the words' shares, from all documents."""
+def word_vectors(docs: DataFrame, vocab: int = VOCAB) -> tuple[np.ndarray, np.ndarray]:
+    """(vocab, DIMS) unit word vectors and the words' shares, from all documents."""
     width = DIMS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_vectors()
-        total = np.zeros((VOCAB, width), np.int64)
+        index = index_vectors(vocab)
+        total = np.zeros((vocab, width), np.int64)
         for batch in batches:
-            for a, b, slot, first in slices(column(batch, "text")):
+            for a, b, slot, first in slices(column(batch, "text"), vocab):
                 # REACH empty slots between documents keep contexts apart
                 doc = np.searchsorted(first[1:], np.arange(len(slot)), side="right")
-                padded = np.full(len(slot) + REACH * (b - a + 1), VOCAB)
+                padded = np.full(len(slot) + REACH * (b - a + 1), vocab)
                 place = np.arange(len(slot)) + REACH * (doc + 1)
                 padded[place] = slot
                 around = np.zeros((len(padded), DIMS), np.int8)
@@ -88,21 +93,21 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     around[:-d] += vec[d:]
                 near = around[place]
                 for d in range(DIMS):
-                    total[:, d] += np.bincount(slot, near[:, d], VOCAB).astype(np.int64)
-                total[:, DIMS] += np.bincount(slot, minlength=VOCAB)
+                    total[:, d] += np.bincount(slot, near[:, d], vocab).astype(np.int64)
+                total[:, DIMS] += np.bincount(slot, minlength=vocab)
         while (part := np.clip(total, -(2**31) + 1, 2**31 - 1)).any():
             yield block_rows(part.ravel(), BLOCK * width)
             total -= part
 
     sums = summed_blocks(docs.select("text").mapInArrow(run, "block long, body binary"))
-    out = np.zeros((VOCAB, width), np.float64)
+    out = np.zeros((vocab, width), np.float64)
     for block, body in sums.items():
         out[block * BLOCK : (block + 1) * BLOCK] = body.reshape(BLOCK, width)
     count, vectors = out[:, DIMS], out[:, :DIMS]
     # less what the corpus has around any word
     vectors = vectors - count[:, None] * (vectors.sum(axis=0) / max(1.0, count.sum()))
     # and, with the context, the word itself
-    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) + index_vectors()[:VOCAB] / np.sqrt(NONZERO)
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9) + index_vectors(vocab)[:vocab] / np.sqrt(NONZERO)
     return vectors.astype(np.float32), count / max(1.0, count.sum())
 
 
@@ -111,7 +116,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray, share: np.ndarray) -> np.ndarra
     rare = (1e-3 / (1e-3 + share)).astype(np.float32)
     both = np.concatenate([vectors, vectors * rare[:, None]], axis=1)
     out = np.zeros((len(texts), both.shape[1]), np.float32)
-    for a, b, slot, first in slices(texts):
+    for a, b, slot, first in slices(texts, len(vectors)):
         some = np.flatnonzero(np.diff(first))
         if len(some):
             sums = np.add.reduceat(both[slot], first[:-1][some], axis=0)
@@ -165,8 +170,8 @@ class Network:
         return np.full(len(x), self.prior) if self.flat else sigmoid(self.logits(x) / self.temperature)
 
 
-def train(docs: DataFrame, labels: DataFrame, known, label: str = "quality") -> tuple[np.ndarray, np.ndarray, Network]:
-    vectors, share = word_vectors(docs)
+def train(docs: DataFrame, labels: DataFrame, known, label: str = "quality", vocab: int = VOCAB) -> tuple[np.ndarray, np.ndarray, Network]:
+    vectors, share = word_vectors(docs, vocab)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, share))
 
     rows = training_rows(labelled(docs, labels, label, known, TRAIN_ROWS), lambda texts: [r.tobytes() for r in pooled(texts, *shared.value)])
@@ -174,9 +179,9 @@ def train(docs: DataFrame, labels: DataFrame, known, label: str = "quality") ->
     return vectors, share, Network(x, np.array([r["y"] for r in rows], np.float64))
 
 
-def scored(docs: DataFrame, labels: DataFrame, known, name: str = "score") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, known, name: str = "score", vocab: int = VOCAB) -> DataFrame:
     """``docs`` with the probability of quality 1 as column ``name``."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, known))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, known, vocab=vocab))
     return with_score(docs, lambda texts: model.value[2].probability(pooled(texts, *model.value[:2])), name)
 
 

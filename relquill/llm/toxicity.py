@@ -1,15 +1,19 @@
 """Operator 10, toxicity: character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed byte strings of the text (A-Z lowered), present or not: all of 4
-and 6 bytes, and those of 7 to 12 bytes that begin with the space before a word, which
-hold whole words. Their log-count ratios come from all learnable labelled documents; the
-``FEATURES`` strings with the most significant ratios are kept, and a logistic
+Features are hashed strings of characters (code points, case folded up to U+024F), present
+or not: all of ``ORDERS`` characters, and those of ``WORD_ORDERS`` characters at the
+beginning of a word, which hold whole words. Their log-count ratios come from all learnable labelled
+documents; the ``FEATURES`` strings with the most significant ratios (z of ``LEAST_Z`` or
+more) are kept, which is the model's size and not a cap on what is read, and a logistic
 regression on the ratio-scaled features is fitted on at most ``TRAIN_ROWS`` labelled
 rows (in the order of a hash of their id).
 
 Null or empty text: no features, the score of the bias. No labels, or labels of one
-class: the smoothed share of that label for every row. Long texts are hashed in
-pieces that overlap by 11 bytes. Repeated rows stay. Empty table: no rows.
+class: the smoothed share of that label for every row. Very long texts are hashed in
+pieces that overlap by 10 characters. Null ids are scored and in no fold, so never learnt;
+repeated ids with one label are learnt once. Repeated rows and ties stay and get equal
+scores. A column named like the score gives way to it; other extra columns stay. Empty
+table: no rows.
 """
 
 from __future__ import annotations
@@ -24,38 +28,54 @@ from pyspark.sql import functions as F
 from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, training_rows, with_score
 from relquill.llm.common import column, document_slices, documents, gram_values, prefix_hash, span_values, text_bytes
 
-ORDERS, WORD_ORDERS, SLOTS, BLOCK = (4, 6), tuple(range(7, 13)), 1 << 18, 1 << 12
-TRAIN_ROWS, FEATURES, LEAST_Z = 16_384, 4096, 3.0
+ORDERS, WORD_ORDERS, SLOTS, BLOCK = (3, 4, 5, 6), tuple(range(6, 12)), 1 << 18, 1 << 12
+TRAIN_ROWS, FEATURES, LEAST_Z = 16_384, 4096, 2.5
 SLICE, PIECE = 1 << 19, 1 << 19
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Lower case of the code points below U+0250.
+_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x250)], np.uint32)
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lowered code points of some documents, and where each begins among them."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    except UnicodeDecodeError:  # bytes that are no text are replaced, document by document
+        parts = [raw[i:j].decode(errors="replace") for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        points, ends = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32), np.cumsum([0, *map(len, parts)])
+    return np.where(points < len(_LOWER), _LOWER[np.minimum(points, len(_LOWER) - 1)], points), ends
 
 
 def gram_slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, slot) of every n-gram of some documents, order by order."""
+    data, offsets = characters(data, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     last = np.repeat(offsets[1:], np.diff(offsets))
+    # a word begins after a sign, after white space, or with its document
+    inside = (data >= 128) | (data >= 97) & (data < 123) | (data >= 48) & (data < 58)
+    begins = inside & np.concatenate([[True], ~inside[:-1]]) if len(data) else inside
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins[first] = inside[first]
     shift = np.uint64(64 - SLOTS.bit_length() + 1)
     for at in range(0, max(1, len(data)), PIECE):
-        piece = _LOWER[data[at : at + PIECE + max(WORD_ORDERS) - 1]]
+        piece = data[at : at + PIECE + max(WORD_ORDERS) - 1]
         prefix = prefix_hash(piece)
-        words = np.flatnonzero(_WHITE[piece[:PIECE]])
-        for k in (*ORDERS, *WORD_ORDERS):
+        words = np.flatnonzero(begins[at : at + PIECE])
+        for k in (*ORDERS, *(-k for k in WORD_ORDERS)):
             # grams that would run into the next document are none
-            if k in ORDERS:
+            if k > 0:
                 n = max(0, min(PIECE, len(piece) - k + 1))
-                inside = np.flatnonzero(last[at : at + n] >= np.arange(at + k, at + k + n))
-                value = gram_values(prefix, k)[inside]
+                own = np.flatnonzero(last[at : at + n] >= np.arange(at + k, at + k + n))
+                value = gram_values(prefix, k)[own]
             else:
-                inside = words[words + k <= len(piece)]
-                inside = inside[at + inside + k <= last[at + inside]]
-                value = span_values(prefix, inside, inside + k)
-            slot = ((value + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> shift
-            yield row[at + inside], slot.view(np.int64)
+                own = words[words - k <= len(piece)]
+                own = own[at + own - k <= last[at + own]]
+                value = span_values(prefix, own, own - k)
+            slot = ((value + np.uint64(k % 64)) * np.uint64(0x9E3779B97F4A7C15)) >> shift
+            yield row[at + own], slot.view(np.int64)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
