@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import batch_of, column, document_slices, documents, gram_hashes, mix, prefix_hash, scatter_index, text_bytes
+from relquill.llm.common import batch_of, column, document_slices, documents, gram_hashes, mix, plain_names, prefix_hash, scatter_index, text_bytes
 
 MAX_EDIT, GRAM, SHORTEST = 0.1, 8, 40
 WALKS, TABLES, SAMPLES = 8, 48, 4
@@ -415,7 +415,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a leaked item; one pass, no shuffle."""
-    sc = docs.sparkSession.sparkContext
+    sc, names = docs.sparkSession.sparkContext, docs.columns
+    docs = docs.toDF(*plain_names(names))
     for items in item_blocks(benchmark):
         shared = sc.broadcast(items)
 
@@ -426,7 +427,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch if stays.all() else batch.filter(pa.array(stays))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

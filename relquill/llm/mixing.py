@@ -9,12 +9,16 @@ size, so a source misses its target by less than its longest document; then sing
 copies are moved to where they close most of that gap.
 
 Only DataFrame functions. Ranks inside hot cells are dealt over hashed sub-cells of
-about ``RANK_ROWS`` rows, so a cell may hold any share of the rows. The table of
-sources (one row each) is ordered in one place.
-
-Null text: size 0. Null source: a source of its own, ranked last. Size 0: taken 0.
-Repeated rows: documents of their own, told apart by nothing but their rank. Empty
-table: no rows. Extra columns are ignored.
+about ``RANK_ROWS`` rows, by a hash of the id so that reruns agree however the rows are
+laid out; a sub-cell that rows of one id (or of none) make larger than twice that is dealt
+once more by row number, so a cell may hold any share of the rows. The table of sources
+(one row each) is ordered in one place, and each source's sizes (one row each, at most the words
+of its longest text) in one task.
+
+Null text: size 0. Null source: a source of its own, ranked last. Size 0: taken 0. Very long
+texts count like any other. Null ids and repeated rows: documents of their own, told apart
+by nothing but their rank. Ties of size go by a hash of the id. Empty table: no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,11 +90,18 @@ def balanced(cells: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.join(state.select("sid", "lam", "scale"), "sid", "left").select("sid", "lam", "scale")
 
 
+def beside(rows: DataFrame, table: DataFrame, by: tuple[str, ...], value: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the column ``value`` of the row of ``table`` that has the same ``by``, nulls equal."""
+    named = table.select(*(F.col(c).alias(f"by_{c}") for c in by), value)
+    same = [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in by]
+    return rows.join(named, same, how).drop(*(f"by_{c}" for c in by))
+
+
 def mixed(docs: DataFrame, *keep: str) -> DataFrame:
     """``docs`` (doc_id, text, source) as (doc_id, *keep, size, source_size, target, copies).
 
     ``keep`` names narrow columns that come along, such as a row number."""
-    rows = materialize(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size")), "sizes")
+    rows = materialize(docs.select("doc_id", *keep, "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("number")), "sizes")
     counted = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     targets = materialize(source_targets(counted), "targets")
     few = targets.count() <= BROADCAST_SOURCES
@@ -104,12 +115,17 @@ def mixed(docs: DataFrame, *keep: str) -> DataFrame:
     deal = F.xxhash64("doc_id", "size")
     dealt = rows.join(rated, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).drop("c_source", "c_size")
     dealt = dealt.withColumn("deal", deal).withColumn("sub", F.pmod("deal", F.ceil(F.col("n") / RANK_ROWS)))
+    place = ("source", "size", "sub")
+    subs = materialize(dealt.groupBy(*place).agg(F.count("*").alias("m")), "sub-cells")
+    crowded = subs.filter(F.col("m") > 2 * RANK_ROWS)
+    if crowded.limit(1).count():
+        more = F.pmod(F.xxhash64("number"), F.ceil(F.col("m") / RANK_ROWS)) * F.ceil(F.col("n") / RANK_ROWS)
+        dealt = beside(dealt, crowded, place, "m", "left").withColumn("sub", F.col("sub") + F.coalesce(more, F.lit(0))).drop("m")
+        subs = materialize(dealt.groupBy(*place).agg(F.count("*").alias("m")), "sub-cells")
     # ranks within a cell: rows before the sub-cell, then within it
-    subs = dealt.groupBy("source", "size", "sub").agg(F.count("*").alias("m"))
     earlier = Window.partitionBy("source", "size").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
-    subs = subs.select(F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("sub").alias("s_sub"), F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("source", "size", "sub").orderBy("deal", "doc_id")
-    ranked = dealt.withColumn("rank", F.row_number().over(own)).join(subs, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("size") == F.col("s_size")) & (F.col("sub") == F.col("s_sub")))
+    own = Window.partitionBy(*place).orderBy("deal", "doc_id", "number")
+    ranked = beside(dealt.withColumn("rank", F.row_number().over(own)), subs.withColumn("ahead", F.coalesce(F.sum("m").over(earlier), F.lit(0))), place, "ahead")
     upto = F.col("before") + F.col("rate") * (F.col("ahead") + F.col("rank"))
     # a 1e-9 guard keeps sums of whole rates on their side of the step
     step = lambda c: F.floor(c + F.lit(0.5 + 1e-9))
