@@ -4,22 +4,28 @@ An item leaks where some stretch of a document is within ``MAX_EDIT`` times its
 of edits (bytes, after the case of all letters is folded and white space made a
 space; spans are those of the text as it stands).
 
-1. Windows that cannot hold an item are passed over without loss: within k edits of
-   an item of m bytes at least m - 7 - 8 k of its 8-byte strings survive, so a window
-   with fewer of the item's 8-byte strings does not hold it.
-2. Item-sized windows at the word starts of what is left are embedded by CGK random
-   walks (edit distance becomes Hamming distance), and tables of sampled positions
-   name the items whose embedding agrees. ``TABLES`` tables of ``SAMPLES`` positions
-   over ``WALKS`` walks reach the recall that the tests measure.
-3. Named items are verified by exact edit distance (bit-parallel, semi-global).
-
-Items are sent to the executors in blocks of about ``ITEMS`` rows or ``BLOCK_BYTES``
-bytes, each block a pass of its own over the documents, so a broadcast has a bound
-beside its longest item. Items above ``LONG`` bytes are verified at once in every
-stretch that the filter leaves, without walks. Items below ``SHORTEST`` bytes are cut
-into one piece more than their edits; one piece survives, and where one is found the
-item is verified, so these lose nothing. Null or empty items leak nowhere. Null or empty text: no leak. Repeated rows
-are found each. Empty tables: no rows. Extra columns are ignored.
+1. Places that cannot hold an item are passed over without loss: within k edits of an
+   item of m bytes at least m - 7 - 8 k of its 8-byte strings survive, and their
+   places less their places in the item (diagonals) differ by at most k. So a copy begins
+   within k of a run of that many diagonals that lie within k of each other; each such run
+   is a region of one item, and copies that do not overlap have regions of their own.
+2. Item-sized windows at the diagonals and word starts of a region are embedded by CGK random
+   walks (edit distance becomes Hamming distance), and ``TABLES`` tables of ``SAMPLES``
+   sampled positions over ``WALKS`` walks name the regions whose embedding agrees with the
+   item's in a table, at the recall that the tests measure.
+3. Named regions are verified by exact edit distance (bit-parallel, semi-global). Every
+   copy is reported: from left to right the stretches that do not overlap, each that of fewest
+   edits about its place, and of those the shortest.
+
+Equal items are looked for once and reported for each of their ids. Distinct items are sent to
+the executors in blocks of about ``ITEMS`` texts or ``BLOCK_BYTES`` bytes, each block a
+pass of its own over the documents, so a broadcast has a bound beside its longest item, and
+passes grow with the benchmark, not with the documents. Items above ``LONG`` bytes are verified
+at once in every region that the filter leaves, without walks. Items below ``SHORTEST`` bytes are
+cut into one piece more than their edits; one piece survives, and where one is found the
+item is verified, so these lose nothing. Null or empty items leak nowhere. Null or empty
+text: no leak. Very long texts are searched whole. Repeated rows are found each, and ties
+between items are all reported. Empty tables: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +46,13 @@ WALKS, TABLES, SAMPLES = 8, 48, 4
 ITEMS, BLOCK_BYTES, SLICE = 5000, 1 << 22, 1 << 23
 #: Bytes above which items are not embedded; steps after which a walk's coins repeat; bytes of windows embedded at once.
 LONG, COINS, EMBEDDED = 1 << 15, 1 << 14, 1 << 25
-#: (string, item) pairs of a group and slice up to which the filter counts for each item, not for the group at once.
+#: Places of strings, of all items, that the filter holds at once; beyond it documents go one by one, then items.
 COUNTED = 1 << 22
 #: Items whose lengths differ by less than this factor share windows.
 GROWTH = 1.15
 
-LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
-LEAKS_DDL = "doc_id long, item_id long, start long, end long, edits long"
+LEAKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())])
+LEAKS_DDL = "doc_id long, key long, start long, end long, edits long"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -122,17 +128,17 @@ def gram_words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((n,), "<u8", np.ascontiguousarray(data), strides=(1,)).astype(np.uint64)
 
 
-def edit_matches(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
-    """(least edits of the pattern in some stretch of the text, that stretch's end), -1 beyond ``most``.
+def near_ends(pattern: bytes, text: bytes, most: int) -> list[tuple[int, int]]:
+    """(end, edits) of the ends of stretches of the text within ``most`` edits of the pattern.
 
-    Myers' bit-parallel column in one wide integer; the last of the best ends.
+    Myers' bit-parallel column in one wide integer.
     """
     m = len(pattern)
     peq: dict[int, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     mask, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = mask, 0, m, m + 1, -1
+    pv, mv, score, out = mask, 0, m, []
     for j, c in enumerate(text):
         eq = peq.get(c, 0)
         xv = eq | mv
@@ -147,9 +153,40 @@ def edit_matches(pattern: bytes, text: bytes, most: int) -> tuple[int, int]:
         mh = mh << 1 & mask
         pv = mh | ~(xv | ph) & mask
         mv = ph & xv
-        if score <= best:
-            best, end = score, j + 1
-    return (best, end) if best <= most else (best, -1)
+        if score <= most:
+            out.append((j + 1, score))
+    return out
+
+
+def copies(pattern: bytes, text: bytes, most: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the copies of the pattern, from left to right, none overlapping."""
+    ends, i, free, out = near_ends(pattern, text, most), 0, 0, []
+    least = len(pattern) - most
+    while i < len(ends):
+        j = i
+        # the ends that one copy explains lie within twice its edits
+        while j < len(ends) and ends[j][0] <= ends[i][0] + 2 * most:
+            j += 1
+        end = min(ends[i:j], key=lambda e: (e[1], e[0]))[0]
+        back = near_ends(pattern[::-1], text[free:end][::-1], most)
+        if back:
+            size, edits = min(back, key=lambda e: (e[1], e[0]))
+            out.append((end - size, end, edits))
+            free = end
+            while i < len(ends) and ends[i][0] < free + least:
+                i += 1
+        else:  # only with bytes of the copy before
+            i += 1
+    return out
+
+
+def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of (start, end, edits) that do not overlap one of fewer edits, or as many and further left."""
+    out: list[tuple[int, int, int]] = []
+    for x in sorted(set(found), key=lambda x: (x[2], x[0], x[1])):
+        if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
+            out.append(x)
+    return sorted(out)
 
 
 class Items:
@@ -177,43 +214,34 @@ class Items:
         for n, found in sorted(pieces.items()):
             found.sort()
             self.pieces.append((n, np.array([f[0] for f in found], np.uint64), [f[1:] for f in found]))
-        self.order = np.argsort([len(t) for t in self.texts], kind="stable").tolist()
-        grams = np.unique(np.concatenate([gram_words(t) for t in self.texts])) if self.texts else np.zeros(0, np.uint64)
-        self.grams, self.of_group = grams, np.zeros(len(grams), np.uint64)
-        self.bits = np.uint64(64 - max(16, int(len(grams) * 16).bit_length()))
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.edits = np.array([allowed(n) for n in self.sizes.tolist()], np.int64)
+        self.need = self.sizes - GRAM + 1 - GRAM * self.edits
+        # all strings of the items: where each stands, string by string
+        words = [gram_words(t) for t in self.texts]
+        self.grams, of = np.unique(np.concatenate(words) if words else np.zeros(0, np.uint64), return_inverse=True)
+        by = np.argsort(of, kind="stable")
+        self.first = np.searchsorted(of[by], np.arange(len(self.grams) + 1))
+        self.item = np.repeat(np.arange(len(words)), [len(w) for w in words])[by]
+        self.place = np.concatenate([np.arange(len(w)) for w in words])[by] if words else np.zeros(0, np.int64)
+        self.bits = np.uint64(64 - max(16, int(len(self.grams) * 16).bit_length()))
         self.known = np.zeros(1 << (64 - int(self.bits)), bool)
-        self.known[self.slot(grams)] = True
+        self.known[self.slot(self.grams)] = True
         rng = np.random.default_rng(6)
         longest = max((len(t) for t in self.texts), default=0)
         self.walk_bits = rng.integers(0, 2, (WALKS, min(2 * longest + 2, COINS), 256), dtype=np.uint8)
-        self.groups, self.holders = [], []
-        at = 0
-        while at < len(self.order):
-            least = len(self.texts[self.order[at]])
-            end = at
-            while end < len(self.order) and len(self.texts[self.order[end]]) <= max(least, least * GROWTH):
-                end += 1
-            members = self.order[at:end]
-            longest_here = len(self.texts[members[-1]])
-            need = min(len(self.texts[i]) - GRAM + 1 - GRAM * allowed(len(self.texts[i])) for i in members)
-            # above 64 groups, several share a bit
-            for i in members:
-                self.of_group[np.searchsorted(grams, gram_words(self.texts[i]))] |= np.uint64(1 << len(self.groups) % 64)
-            picks, table, owner = None, None, np.array(members)
-            if longest_here <= LONG:
-                # keys read within the walk over the shortest member, so that a group's windows serve all of it
-                picks = np.sort(rng.integers(0, max(1, 2 * least - least // 4), (TABLES, SAMPLES)), axis=1)
-                table, owner = self.keys([self.texts[i] for i in members], longest_here, picks).ravel(), np.repeat(owner, TABLES)
-                by = np.argsort(table, kind="stable")
-                table, owner = table[by], owner[by]
-            sets = [np.searchsorted(grams, np.unique(gram_words(self.texts[i]))) for i in members]
-            gram, item = np.concatenate(sets), np.repeat(np.arange(len(members)), [len(x) for x in sets])
-            owners = np.array(members)
-            by = np.argsort(gram, kind="stable")
-            lengths = np.array([len(self.texts[i]) for i in members])
-            edits = np.array([allowed(n) for n in lengths.tolist()])
-            self.holders.append((gram[by], item[by], lengths - GRAM + 1 - GRAM * edits, lengths + edits, owners))
-            self.groups.append((longest_here, longest_here + allowed(longest_here), max(1, need), picks, table, owner))
+        #: (width, sampled steps, items in order, their keys) of each group of embedded items
+        self.groups, self.group = [], np.full(len(self.texts), -1, np.int64)
+        order, at = np.argsort(self.sizes, kind="stable"), 0
+        while at < len(order) and self.sizes[order[at]] <= LONG:
+            least = int(self.sizes[order[at]])
+            end = int(np.searchsorted(self.sizes[order], min(LONG, max(least, int(least * GROWTH))), side="right"))
+            members = np.sort(order[at:end])
+            width = int(self.sizes[members].max())
+            # steps read within the walk over the shortest member, so that a group's windows serve all of it
+            picks = np.sort(rng.integers(0, max(1, 2 * least - least // 4), (TABLES, SAMPLES)), axis=1)
+            self.group[members] = len(self.groups)
+            self.groups.append((width, picks, members, self.keys([self.texts[i] for i in members], width, picks)))
             at = end
 
     def slot(self, grams: np.ndarray) -> np.ndarray:
@@ -241,77 +269,104 @@ class Items:
             np.minimum(at, width, out=at)
         return mix(out * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)[:, None]).T
 
-    def regions(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, dict | None]]:
-        """(document, first window start, past the last, group, {item position: its own first and last}) that
-        may hold an item of the group; None: any item of the group, anywhere."""
+    def regions(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, first and last place where a copy may begin, a likely one)."""
         words = gram_words(data)
         at = np.flatnonzero(self.known[self.slot(words)])
-        place = np.minimum(np.searchsorted(self.grams, words[at]), len(self.grams) - 1)
-        real = self.grams[place] == words[at]
-        at, place = at[real], place[real]
-        masks = self.of_group[place]
+        gram = np.minimum(np.searchsorted(self.grams, words[at]), len(self.grams) - 1)
+        real = self.grams[gram] == words[at]
+        at, gram = at[real], gram[real]
         doc = np.searchsorted(offsets, at, side="right") - 1
         whole = at + GRAM <= offsets[doc + 1]
-        at, place, masks, doc = at[whole], place[whole], masks[whole], doc[whole]
-        for g, (_, length, need, *_) in enumerate(self.groups):
-            own = np.flatnonzero(masks & np.uint64(1 << g % 64))
-            if len(own) < need:
-                continue
-            gram, item, needs, lengths, owners = self.holders[g]
-            left = np.searchsorted(gram, place[own])
-            counts = np.searchsorted(gram, place[own], side="right") - left
-            single = int(counts.sum()) <= COUNTED
-            if single:
-                # each item's own strings
-                of, own = item[scatter_index(left, counts)], np.repeat(own, counts)
-                by = np.argsort(of, kind="stable")
-                of, own = of[by], own[by]
-                need, length = needs[of], lengths[of]
+        at, gram, doc = at[whole], gram[whole], doc[whole]
+        places = self.first[gram + 1] - self.first[gram]
+        # what a document costs: its places of strings, and one count an item
+        cost = np.concatenate([[0], np.cumsum(np.bincount(doc, places, len(offsets) - 1).astype(np.int64) + len(self.texts))])
+        out = []
+        for a, b in document_slices(cost, COUNTED):
+            i, j = np.searchsorted(doc, [a, b])
+            if int(places[i:j].sum()) <= COUNTED:
+                out += self.runs(at[i:j], gram[i:j], doc[i:j] - a, offsets[a : b + 1], a)
             else:
-                of, need, length = np.zeros(len(own), np.int64), np.full(len(own), need), np.full(len(own), length)
-            # a window that holds ``need`` strings begins before the first and ends after the last
-            until = np.arange(len(own)) + need - 1
-            first = np.flatnonzero(until < len(own))
-            last = until[first]
-            first, last, length = first[of[first] == of[last]], last[of[first] == of[last]], length[first[of[first] == of[last]]]
-            item, first, last = of[first], own[first], own[last]
-            lo, hi = np.maximum(at[last] + GRAM - length, offsets[doc[first]]), at[first] + 1
-            ok = (doc[first] == doc[last]) & (lo < hi)
-            lo, hi, item, of = lo[ok], hi[ok], item[ok], doc[first[ok]]
-            if not len(lo):
+                out += self.runs_of_one(at[i:j], gram[i:j], offsets[a : b + 1], a)
+        return out
+
+    def runs(self, at: np.ndarray, gram: np.ndarray, doc: np.ndarray, offsets: np.ndarray, base: int) -> list[tuple[int, int, int, int, int]]:
+        """Regions of some documents from the places of the strings that they share with items."""
+        places = self.first[gram + 1] - self.first[gram]
+        listed = scatter_index(self.first[gram], places)
+        code = np.repeat(doc, places) * len(self.texts) + self.item[listed]
+        # (document, item) pairs that share fewer strings than survive the edits are none
+        enough = np.bincount(code, minlength=1)[code] >= self.need[self.item[listed]]
+        code, diagonal = code[enough], (np.repeat(at, places) - self.place[listed])[enough]
+        return self.runs_along(code, diagonal, offsets, base)
+
+    def runs_of_one(self, at: np.ndarray, gram: np.ndarray, offsets: np.ndarray, base: int) -> list[tuple[int, int, int, int, int]]:
+        """The same for one document of too many places, item by item; an item of too many is sought in the whole document."""
+        strings, often = np.unique(gram, return_counts=True)
+        places = self.first[strings + 1] - self.first[strings]
+        listed = scatter_index(self.first[strings], places)
+        total = np.bincount(self.item[listed], np.repeat(often, places), len(self.texts)).astype(np.int64)
+        out = []
+        for o in np.flatnonzero(total >= self.need).tolist():
+            if total[o] > COUNTED:
+                out.append((base, o, int(offsets[0]), int(offsets[1]), int(offsets[0])))
                 continue
-            by = np.argsort(lo, kind="stable")
-            lo, ends, item, of = lo[by], hi[by], item[by], of[by]
-            hi = np.maximum.accumulate(ends)
-            cut = np.flatnonzero(np.concatenate([[True], (lo[1:] > hi[:-1]) | (of[1:] != of[:-1])]))
-            for c, d in zip(cut.tolist(), [*cut[1:].tolist(), len(lo)], strict=True):
-                own_windows = None
-                if single:
-                    u, at_u = np.unique(item[c:d], return_inverse=True)
-                    begin, end = np.full(len(u), hi[d - 1]), np.zeros(len(u), np.int64)
-                    np.minimum.at(begin, at_u, lo[c:d])
-                    np.maximum.at(end, at_u, ends[c:d])
-                    own_windows = dict(zip(owners[u].tolist(), zip(begin.tolist(), end.tolist(), strict=True), strict=True))
-                yield int(of[c]), int(lo[c]), int(hi[d - 1]), g, own_windows
-
-    def named(self, data: np.ndarray, offsets: np.ndarray, found: list[tuple], g: int) -> set[tuple[int, int]]:
-        """(region, item position) wherever a window of the region and the item share a key."""
-        width, length, _, picks, table, owner = self.groups[g]
-        windows, of, out = [], [], set()
-        for k, (doc, a, b, _) in enumerate(found):
-            lo, hi = int(offsets[doc]), int(offsets[doc + 1])
-            inside = np.arange(max(lo, a - (length - width)), b)
-            begins = inside[(inside == lo) | (data[inside - 1] == 32)]
-            for s in sorted({*begins.tolist(), *range(a, b, 16)}):
-                windows.append(data[s : min(hi, s + width)])
+            grams, first, n = np.unique(np.searchsorted(self.grams, gram_words(self.texts[o])), return_index=True, return_counts=True)
+            own = gram_words(self.texts[o])
+            order = np.argsort(np.searchsorted(self.grams, own), kind="stable")
+            first = np.cumsum(n) - n
+            hit = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+            real = grams[hit] == gram
+            listed = order[scatter_index(first[hit[real]], n[hit[real]])]
+            diagonal = np.repeat(at[real], n[hit[real]]) - listed
+            out += self.runs_along(np.full(len(diagonal), o), diagonal, offsets, base)
+        return out
+
+    def runs_along(self, code: np.ndarray, diagonal: np.ndarray, offsets: np.ndarray, base: int) -> list[tuple[int, int, int, int, int]]:
+        """Regions from (document * items + item, diagonal) of strings, in any order."""
+        by = np.lexsort((diagonal, code))
+        code, diagonal = code[by], diagonal[by]
+        item = code % max(1, len(self.texts))
+        i = np.arange(len(code))
+        j = i + self.need[item] - 1
+        i, j = i[j < len(code)], j[j < len(code)]
+        i, j = i[code[i] == code[j]], j[code[i] == code[j]]
+        k = self.edits[item[i]]
+        close = diagonal[j] - diagonal[i] <= k
+        i, j, k = i[close], j[close], k[close]
+        doc, item = code[i] // max(1, len(self.texts)), item[i]
+        lo, hi = np.maximum(diagonal[j] - k, offsets[doc]), np.minimum(diagonal[i] + k, offsets[doc + 1] - self.sizes[item] + k)
+        fits = lo <= hi
+        lo, hi, doc, item, likely = lo[fits], hi[fits], doc[fits], item[fits], diagonal[(i + j) // 2][fits]
+        if not len(lo):
+            return []
+        # runs are in order of their first places; those that meet are one region
+        same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+        cut = np.flatnonzero(np.concatenate([[True], ~same | (lo[1:] > hi[:-1] + 1)]))
+        last = np.append(cut[1:], len(lo)) - 1
+        middle = (cut + last) // 2
+        return list(zip((doc[cut] + base).tolist(), item[cut].tolist(), np.minimum.reduceat(lo, cut).tolist(), np.maximum.reduceat(hi, cut).tolist(), likely[middle].tolist(), strict=True))
+
+    def named(self, data: np.ndarray, offsets: np.ndarray, found: list[tuple], g: int) -> list[tuple]:
+        """The regions of a group that have a window which shares a key with their item."""
+        width, picks, members, item_keys = self.groups[g]
+        windows, of = [], []
+        for k, (doc, _, lo, hi, likely) in enumerate(found):
+            begin, end = int(offsets[doc]), int(offsets[doc + 1])
+            inside = np.arange(lo, hi + 1)
+            words = inside[(inside == begin) | (data[inside - 1] == 32)]
+            for s in {max(begin, likely), *words.tolist(), *range(lo, hi + 1, 16)}:
+                windows.append(data[s : min(end, s + width)])
                 of.append(k)
+        own = np.searchsorted(members, [r[1] for r in found])
+        stays, of = np.zeros(len(found), bool), np.array(of, np.int64)
         most = min(4096, EMBEDDED // (width + 1))
         for at in range(0, len(windows), most):
-            keys = self.keys(windows[at : at + most], width, picks)
-            left, right = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-            for i, t in zip(*np.nonzero(right > left), strict=True):
-                out.update((of[at + int(i)], o) for o in owner[left[i, t] : right[i, t]].tolist())
-        return out
+            region = of[at : at + most]
+            agrees = (self.keys(windows[at : at + most], width, picks) == item_keys[own[region]]).any(axis=1)
+            stays[region[agrees]] = True
+        return [r for r, stay in zip(found, stays.tolist(), strict=True) if stay]
 
     def short_leaks(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Leaks of short items: the best stretch about each run of their pieces."""
@@ -336,49 +391,40 @@ class Items:
                     joined[-1][1] = max(hi, joined[-1][1])
                 else:
                     joined.append([lo, hi])
-            for lo, hi in joined:
-                stretch = data[lo:hi].tobytes()
-                edits, end = edit_matches(item, stretch, allowed(len(item)))
-                if end >= 0:
-                    _, back = edit_matches(item[::-1], stretch[:end][::-1], edits)
-                    yield d, len(self.texts) + o, lo + end - back - int(offsets[d]), lo + end - int(offsets[d]), edits
+            spans = [(lo + x, lo + y, k) for lo, hi in joined for x, y, k in copies(item, data[lo:hi].tobytes(), allowed(len(item)))]
+            for x, y, k in apart(spans):
+                yield d, len(self.texts) + o, x - int(offsets[d]), y - int(offsets[d]), k
 
     def leaks(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item position, start, end, edits) of each item in each region, best stretch."""
+        """(document, item position, start, end, edits) of every copy of each item."""
         by_group: dict[int, list] = {}
-        for doc, a, b, g, own in self.regions(data, offsets):
-            by_group.setdefault(g, []).append((doc, a, b, own))
-        best: dict[tuple[int, int, int], tuple] = {}
-        for g, found in by_group.items():
-            width, length, _, picks, _, owner = self.groups[g]
-            slack = length - width
-            named = self.named(data, offsets, found, g) if picks is not None else {(k, o) for k in range(len(found)) for o in owner.tolist()}
-            for k, o in sorted(named):
-                doc, a, b, own = found[k]
-                if own is not None:
-                    if o not in own:
-                        continue
-                    a, b = own[o]
-                lo, hi = max(int(offsets[doc]), a - slack), min(int(offsets[doc + 1]), b + length + slack)
-                item = self.texts[o].tobytes()
-                stretch = data[lo:hi].tobytes()
-                edits, end = edit_matches(item, stretch, allowed(len(item)))
-                if end >= 0:
-                    _, back = edit_matches(item[::-1], stretch[:end][::-1], edits)
-                    row = (doc, o, lo + end - back - int(offsets[doc]), lo + end - int(offsets[doc]), edits)
-                    # regions of neighbouring length groups find the same stretch
-                    if best.setdefault((doc, o, row[3]), row)[4] > edits:
-                        best[doc, o, row[3]] = row
-        return sorted([*best.values(), *self.short_leaks(data, offsets)])
+        if len(self.grams):
+            for r in self.regions(data, offsets):
+                by_group.setdefault(int(self.group[r[1]]), []).append(r)
+        spans: dict[tuple[int, int], list] = {}
+        for g, found in sorted(by_group.items()):
+            for doc, o, lo, hi, _ in self.named(data, offsets, found, g) if g >= 0 else found:
+                end = min(int(offsets[doc + 1]), hi + int(self.sizes[o] + self.edits[o]))
+                for x, y, k in copies(self.texts[o].tobytes(), data[lo:end].tobytes(), int(self.edits[o])):
+                    spans.setdefault((doc, o), []).append((lo + x, lo + y, k))
+        whole = [(d, o, x - int(offsets[d]), y - int(offsets[d]), k) for (d, o), found in spans.items() for x, y, k in apart(found)]
+        return sorted([*whole, *self.short_leaks(data, offsets)])
+
+
+def item_key(text):
+    """What tells the texts of items apart."""
+    return F.xxhash64(text)
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    """The distinct texts of the benchmark, by ``item_key``, in blocks of bounded size."""
+    texts = benchmark.select("text").filter(F.col("text") != "").distinct()
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / ITEMS), math.ceil(size / BLOCK_BYTES))
+    keyed = texts.select(item_key("text").alias("key"), "text")
     for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield Items(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))  # about ITEMS rows, BLOCK_BYTES bytes
+        part = keyed if blocks == 1 else keyed.filter(F.pmod(F.hash("text"), F.lit(blocks)) == b)
+        yield Items(sorted((r["key"], r["text"]) for r in part.collect()))  # about ITEMS rows, BLOCK_BYTES bytes
 
 
 def batch_leaks(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -410,7 +456,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         part = rows.mapInArrow(run, LEAKS_DDL)
         out = part if out is None else out.unionByName(part)
-    return out
+    ids = benchmark.select(item_key("text").alias("key"), F.col("item_id").cast("long").alias("item_id"))
+    return out.join(ids, "key").select("doc_id", "item_id", "start", "end", "edits")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -472,7 +472,43 @@ def test_item_blocks_are_bounded_in_bytes(spark, monkeypatch):
     bench = spark.createDataFrame([(k, f"item {k} " * 40) for k in range(40)] + [(40, None)], "item_id long, text string")
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 4000)
     blocks = list(decontam.item_blocks(bench))
-    assert len(blocks) > 2 and sorted(i for b in blocks for i in b.ids) == list(range(40))
+    assert len(blocks) > 2 and sum(len(b.ids) for b in blocks) == 40
+    # repeated items are one
+    again = bench.unionByName(spark.range(3000).select(F.col("id").alias("item_id"), F.lit("the same item " * 9).alias("text")))
+    assert max(len(b.ids) for b in decontam.item_blocks(again)) < 40 and sum(len(b.ids) for b in decontam.item_blocks(again)) == 41
+
+
+def test_every_copy_is_reported_where_it_stands(spark, monkeypatch):
+    """Copies side by side and apart, edited or not, of long and short items; with few and many places held at once."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    plain = [some(9), some(12), some(40), some(5)[:30], "ab" * 30, "x" * 50]
+    for counted in (decontam.COUNTED, 60):
+        monkeypatch.setattr(decontam, "COUNTED", counted)
+        items = decontam.Items(list(enumerate(plain)))
+        for k, p in enumerate(plain[:4]):
+            most = decontam.allowed(len(p))
+            parts, want = [some(30)], []
+            for edits in (0, 0, 0, most // 2, most // 2):
+                copy = edited(rng, p, edits)
+                at = len(" ".join(parts)) + 1
+                parts.append(copy)
+                want.append((at, at + len(copy), edits))
+            parts += [some(30), p]
+            want.append((len(" ".join(parts)) - len(p), len(" ".join(parts)), 0))
+            got = [r[2:] for r in decontam.batch_leaks(pa.array(["", " ".join(parts)]), items) if items.ids[r[1]] == k]
+            assert len(got) == len(want), (k, got, want)
+            for (a, b, n), (x, y, edits) in zip(got, want, strict=True):
+                assert n <= edits and abs(a - x) <= most and abs(b - y) <= most and (edits or (a, b) == (x, y))
+        # texts of one repeated string: whole copies end to end
+        for k, doc, size in ((4, "ab" * 150, 60), (5, "x" * 260, 50)):
+            got = [r[2:] for r in decontam.batch_leaks(pa.array([doc]), items) if items.ids[r[1]] == k]
+            assert got[0] == (0, size, 0) and len(got) == len(doc) // size and all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+    docs = spark.createDataFrame([(1, f"{plain[0]} {plain[0]}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, plain[0]), (6, plain[0]), (7, None), (8, "")], "item_id long, text string")
+    n = len(plain[0])
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == [(1, i, a, a + n, 0) for i in (5, 6) for a in (0, n + 1)]
 
 
 def test_edit_matches_against_a_table():
@@ -485,7 +521,9 @@ def test_edit_matches_against_a_table():
             for j, d in enumerate(t, 1):
                 new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
             row = new
-        assert decontam.edit_matches(p, t, 99)[0] == min(row)
+        best = min(row)
+        assert decontam.near_ends(p, t, best) == [(j, best) for j, x in enumerate(row) if x == best and j]
+        assert min(x for _, x in decontam.near_ends(p, t, 99)) == min(row[1:])
 
 
 def test_leaks_query_finds_all_exact_passages(spark, odd, none):
