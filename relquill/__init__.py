@@ -6,8 +6,9 @@ lowers it to DataFrame operations that Catalyst optimizes.
 """
 
 from relquill.engine import Engine
-from relquill.plans.schema import Entity, Field, ManyToMany, ToMany, ToOne
+from relquill.functions.values import Converter, TypeHandler, register_type
+from relquill.plans.schema import Entity, Field, InverseOne, ManyToMany, ToMany, ToOne
 from relquill.repository import Repository
 from relquill.sources.workspace import Workspace
 
-__all__ = ["Engine", "Entity", "Field", "ManyToMany", "Repository", "ToMany", "ToOne", "Workspace"]
+__all__ = ["Converter", "Engine", "Entity", "Field", "InverseOne", "ManyToMany", "Repository", "ToMany", "ToOne", "TypeHandler", "Workspace", "register_type"]

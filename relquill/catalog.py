@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import enum
+import itertools
+import posixpath
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relquill.functions.values import Converter, enum_names
-from relquill.plans.schema import Entity, Field, ManyToMany, ToMany, ToOne
+from relquill.engine import Engine
+from relquill.functions.values import Converter, TypeHandler, enum_names, register_type
+from relquill.plans.schema import Entity, Field, InverseOne, ManyToMany, ToMany, ToOne
 from relquill.repository import Repository
 from relquill.sources.workspace import Workspace
 
@@ -46,6 +52,51 @@ TWIN_NATION = Entity("TwinNation", "nationkey", (Field("nationkey", "int", "n_na
 SPOT = Entity("Spot", "regionkey", (Field("regionkey", "int", "r_regionkey"), Field("name", "string", "r_name")), (ToOne("nation", "TwinNation", "r_regionkey", "code"),))
 
 
+#: Orders and customers as they are laid out on write, each with the hints of one kind.
+LAID_RANGE, LAID_HASH, LAID_COMPOSITE = (
+    Entity(name, "orderkey", tuple(dataclasses.replace(f, index=hints.get(f.name, "")) for f in ORDER.fields), composites=composites)
+    for name, hints, composites in (("LaidRange", {"total": "BTREE", "priority": "BTREE"}, ()), ("LaidHash", {"status": "HASH", "orderkey": "HASH"}, ()), ("LaidComposite", {}, (("BTREE", ("status", "total")), ("HASH", ("status", "priority")))))
+)
+LAID_TEXT = Entity("LaidText", "custkey", (Field("custkey", "long", "c_custkey"), Field("name", "string", "c_name", index="SUFFIX"), Field("mktsegment", "string", "c_mktsegment", index="PREFIX")))
+#: Regions and the nation that each is ruled from, if there is one: one to one.
+REALM = Entity("Realm", "regionkey", (Field("regionkey", "int", "r_regionkey"), Field("name", "string", "r_name")), (InverseOne("capital", "Capital", "realm"),))
+CAPITAL = Entity("Capital", "nationkey", (Field("nationkey", "int", "n_nationkey"), Field("name", "string", "n_name")), (ToOne("realm", "Realm", "n_regionkey"),))
+#: Orders by a decimal amount, customers by a type of their own.
+MONEY = Entity("Money", "orderkey", (Field("orderkey", "long", "o_orderkey"), Field("amount", "decimal")))
+
+
+def _dollars(value) -> float:
+    if isinstance(value, str) and value.startswith("$"):
+        return float(value[1:].replace(",", ""))
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return float(value)
+    raise TypeError(f"{value!r} is no amount")
+
+
+register_type(TypeHandler("dollars", T.DoubleType(), _dollars))
+ACCOUNT = Entity("Account", "custkey", (Field("custkey", "long", "c_custkey"), Field("balance", "dollars", "c_acctbal")))
+NOTE = Entity("Note", "id", (Field("id", "long"), Field("text", "string"), Field("made_by", "string"), Field("changed_by", "string"), Field("made", "datetime"), Field("changed", "datetime")), audit={"created_by": "made_by", "modified_by": "changed_by", "created_date": "made", "modified_date": "changed"})
+TAG = Entity("Tag", "id", (Field("id", "string"), Field("label", "string")))
+
+
+@dataclasses.dataclass
+class DeclaredOrder:
+    """An entity from its dataclass; also what rows become."""
+
+    orderkey: int = dataclasses.field(metadata={"id": True, "column": "o_orderkey"})
+    total: float = dataclasses.field(default=0.0, metadata={"column": "o_totalprice", "index": "BTREE"})
+    status: str | None = dataclasses.field(default=None, metadata={"column": "o_orderstatus"})
+
+
+@dataclasses.dataclass
+class Summary:
+    """A record of a projection."""
+
+    id: int
+    customer: str | None
+    total: float
+
+
 class Kind(enum.Enum):
     CLICK = 1
     PURCHASE = 2
@@ -65,6 +116,11 @@ def open_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     ws.add(RICH_CUSTOMER, lambda: ws.table("Customer").filter("c_acctbal > 5000"))
     ws.add(TWIN_NATION, lambda: ws.table("Nation"))
     ws.add(SPOT, lambda: ws.table("Region"))
+    ws.add(REALM, lambda: ws.table("Region"))
+    ws.add(CAPITAL, lambda: ws.table("Nation").filter("n_regionkey <> 2").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"), F.min_by("n_name", "n_nationkey").alias("n_name")))
+    ws.add(MONEY, lambda: ws.table("Order").select("o_orderkey", F.floor(F.col("o_totalprice") / 50000).cast("decimal(38,10)").alias("amount")))
+    ws.add(ACCOUNT, lambda: ws.table("Customer").select("c_custkey", "c_acctbal"))
+    ws.add(DeclaredOrder, lambda: ws.table("Order").select("o_orderkey", "o_totalprice", "o_orderstatus"))
     ws.bridge("OrderPart", lambda: ws.table("LineItem").select("l_orderkey", "l_partkey"))
     return ws
 
@@ -117,8 +173,10 @@ def _ids_deleted(r: Repository) -> DataFrame:
 
 
 def _linked(r: Repository) -> DataFrame:
-    pairs = r.ws.table("OrderPart").filter("l_orderkey <= 5").select("l_orderkey", "l_partkey").unionByName(r.ws.spark.range(1, 4).select(F.col("id").alias("l_orderkey"), (F.col("id") + 1_000_000).alias("l_partkey")))
-    return r.link("parts", pairs).filter("l_orderkey <= 5").groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("parts"))
+    """Every pair that there is, and a new part for every order."""
+    bridge = r.ws.table("OrderPart")
+    more = bridge.select("l_orderkey", (F.col("l_orderkey") + 1_000_000_000).alias("l_partkey"))
+    return r.link("parts", bridge.unionByName(more)).groupBy("l_orderkey").agg(F.countDistinct("l_partkey").alias("parts"), F.max("l_partkey").alias("top"))
 
 
 def _kinds(ws: Workspace) -> DataFrame:
@@ -132,9 +190,177 @@ def _saved(r: Repository) -> DataFrame:
     return r.table
 
 
+def _given_then_assigned(r: Repository) -> DataFrame:
+    top = r.save({"name": "first", "n_regionkey": 0})["nationkey"]
+    r.save({"nationkey": top + 1, "name": "given", "n_regionkey": 1})
+    r.save({"name": "after", "n_regionkey": 2})
+    return r.table
+
+
+def _last_wins(r: Repository) -> DataFrame:
+    some = r.table.filter("n_nationkey between 1 and 3")
+    early = some.withColumn("n_name", F.lit("early")).withColumn("seq", F.lit(1))
+    return r.save_frame(early.unionByName(some.withColumn("n_name", F.concat(F.lit("late "), "n_name")).withColumn("seq", F.lit(2))), order="seq")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """With each row's place, so that an order shows; for small results."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
+def _carried(entity: str, method: str, text: str, *args, **named) -> Callable[[Workspace], DataFrame]:
+    """A query text under a method name, whose TopN is its limit."""
+    return lambda ws: type("Carried", (Repository,), {"queries": {method: text}})(ws, entity).frame(method, *args, **named)
+
+
+def _listed(column: str, key: str) -> Column:
+    """A digest of the ids in an array of rows, in order."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.transform(column, lambda x: x[key])), lambda x: x.cast("string")), ","), 256)
+
+
+def _is_refused(ask: Callable[[], object]) -> bool:
+    try:
+        ask()
+    except (ValueError, TypeError):
+        return True
+    return False
+
+
+def _refusals(entity: str, tries: tuple[str, ...], how: Callable[[Repository, str], object]) -> Callable[[Workspace], DataFrame]:
+    def run(ws: Workspace) -> DataFrame:
+        r = Repository(ws, entity)
+        return ws.spark.createDataFrame([(t, _is_refused(lambda t=t: how(r, t))) for t in tries], "asked string, refused boolean")
+
+    return run
+
+
+def _expected(tries: tuple[str, ...], accepted: str) -> str:
+    quoted = lambda t: t.replace("'", "''")
+    rows = ", ".join(f"('{quoted(t)}', {'false' if t == accepted else 'true'})" for t in tries)
+    return f"select * from (values {rows}) t(asked, refused)"
+
+
+_BAD_NAMES = (
+    "findByStatus", "findBy", "findByAnd", "findByStatusAnd", "findByStatusOr", "findByStatusAndAndTotal", "findByStatusOrderBy", "fetchByStatus", "findByNope",
+    "findTop0ByStatus", "findByStatusGreaterThanLessThan", "findAllGroupingByStatusOrderByTotal", "findAllGroupingBy", "findByStatusOrderByNope",
+)
+_BAD_TEXTS = (
+    "select o from Order o where o.status = 'F'", "select o from Order o right join o.customer c", "select o from Order o full join o.customer c", "select count(*) from Order o",
+    "select count(o.total) from Order o", "select count(o) from Order o having count(o) > 1", "select count(o) from Order o group by o.status having not count(o) > 1",
+    "select o from Order o group by o.status having count(o) > 1", "select o.total from Order o group by o.status", "select o from Order o group by o.status order by o.status",
+    "select o.customer as c from Order o", "select o.lines.quantity as q from Order o", "select o, o.total as total from Order o", "select o.total as x, o.status as x from Order o",
+    "update Order o set o.orderkey = 1", "update Order o set o.customer.name = 'x'", "select o from Order o where", "select o from Order o where o.nope = 1", "select o from Nope o",
+    "select o from Order o where not o.total between 1 and 2",
+)
+
+
+def _result_kinds(ws: Workspace) -> DataFrame:
+    class Nations(Repository):
+        entity = "Nation"
+        queries = {
+            "named": "select n.name as name from Nation n where n.nationkey = :k", "below": "select n.name as name from Nation n where n.nationkey < :k", "regions": "select n.region.name as name from Nation n",
+            "renamed": "update Nation n set n.name = 'x' where n.nationkey < :k", "again": "update Nation n set n.name = 'y' where n.nationkey < :k", "gone": "delete from Nation n where n.nationkey < :k",
+        }
+        returns = {"named": "one", "below": "one", "findByName": "optional", "regions": "set", "renamed": "int", "again": "long", "gone": "void", "countByRegionName": "map"}
+
+    r = Nations(ws)
+    try:
+        several = str(r.below(k=9))
+    except LookupError:
+        several = "refused"
+    rows = [("one", r.named(k=3)["name"]), ("none", str(r.named(k=-3))), ("several", several), ("optional", str(r.findByName("nobody"))), ("set", str(len(r.regions()))), ("map", str(sum(r.countByRegionName().values())))]
+    rows += [("int", str(r.renamed(k=2))), ("long", str(r.again(k=3))), ("void", str(r.gone(k=4))), ("left", str(r.count())), ("list", str(len(r.findByNameNot("y"))))]
+    return ws.spark.createDataFrame(rows, "kind string, value string")
+
+
+def _records(ws: Workspace) -> DataFrame:
+    class Orders(Repository):
+        entity = "Order"
+        queries = {"summaries": "select o.customer.name as customer, o.total as total, o.orderkey as id from Order o where o.total >= :min"}
+        records = {"summaries": Summary}
+
+    return ws.spark.createDataFrame([dataclasses.astuple(x) for x in Orders(ws).summaries(min=400000)], "id long, customer string, total double")
+
+
+def _objects(ws: Workspace) -> DataFrame:
+    class Orders(Repository):
+        entity, made_as = "DeclaredOrder", DeclaredOrder
+
+    found = Orders(ws).findByStatusAndTotalGreaterThan("P", 300000)
+    return ws.spark.createDataFrame([(x.orderkey, x.status, x.total) for x in found], "orderkey long, status string, total double")
+
+
+def _noted(ws: Workspace) -> DataFrame:
+    """Hooks and audit fields: two new rows, one of them saved again by someone else, and loaded."""
+
+    class Notes(Repository):
+        entity = "Note"
+
+        def pre_persist(self, row):
+            return {"text": f"new {row['text']}"}
+
+        def pre_update(self, row):
+            return {"text": f"old {row['text']}"}
+
+        def post_load(self, row):
+            return row | {"text": row["text"].upper()}
+
+    ws.add(NOTE)
+    people = iter(["ann", "ann", "ann", "ann", "bob", "bob"])
+    notes = Notes(ws, user=lambda: next(people))
+    notes.saveAll([{"text": "a"}, {"text": "b"}])
+    notes.save({**Repository(ws, "Note").findById(2).asDict(), "text": "c"})
+    loaded = [(x["id"], x["text"], x["made_by"], x["changed_by"], x["made"] is not None and x["made"] <= x["changed"]) for x in notes.findAll()]
+    return ws.spark.createDataFrame(loaded, "id long, text string, made_by string, changed_by string, dated boolean")
+
+
+def _tagged(ws: Workspace) -> DataFrame:
+    """Text ids that are made up for rows and for a DataFrame."""
+    ws.add(TAG)
+    tags = Repository(ws, "Tag")
+    tags.saveAll([{"label": "a"}, {"label": "b"}, {"id": "own", "label": "c"}])
+    tags.save_frame(ws.table("Customer").select(F.lit(None).cast("string").alias("id"), F.col("c_name").alias("label")))
+    shape = F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return tags.table.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(shape).alias("made"))
+
+
+def _generated(ws: Workspace) -> DataFrame:
+    numbers = itertools.count(7)
+    ws.add(dataclasses.replace(TAG, generation="custom", generator=lambda: f"T-{next(numbers)}"))
+    Repository(ws, "Tag").saveAll([{"label": "a"}, {"id": "own", "label": "b"}, {"label": "c"}])
+    return ws.table("Tag")
+
+
+def _by_class(ws: Workspace) -> DataFrame:
+    ws.converters.for_class(Kind, Converter(lambda v: v.name.lower(), lambda s: Kind[s.upper()]))
+    return Repository(ws, "Event").frame("findByKind", Kind.PURCHASE).select("event_id", "event_type")
+
+
+def _two_workspaces(ws: Workspace) -> DataFrame:
+    engine, nations = Engine(ws.spark), ws.table("Nation")
+    for name in ("one", "two"):
+        engine.workspace(name).add(NATION, nations)
+    Repository(engine.workspace("one"), "Nation").save({"name": "more", "n_regionkey": 1})
+    return ws.spark.createDataFrame([(name, Repository(engine.workspace(name), "Nation").count()) for name in ("one", "two")], "name string, n long")
+
+
+def _laid_out(entity: Entity, table: str, method: str, *args) -> Callable[[Workspace], DataFrame]:
+    """A question to a table that was written in its entity's layout and read again."""
+
+    def run(ws: Workspace) -> DataFrame:
+        path, out, back = posixpath.join(ws.storage, f"layout-{uuid.uuid4().hex}"), Workspace(ws.spark), Workspace(ws.spark)
+        out.add(entity, ws.table(table))
+        out.write_parquet(entity.name, path, files=4)
+        back.read_parquet(entity, path)
+        return Repository(back, entity.name).frame(method, *args)
+
+    return run
+
+
 CATALOGUE: dict[str, Step] = {
     # scans, ids, counts
     "find_all": (_ask("Nation", "findAll"), "select * from nation"),
+    "find_all_orders": (_ask("Order", "findAll"), "select * from orders"),
     "find_by_id": (_on("Order", lambda r: r.by_id(7)), _o("o_orderkey = 7")),
     "find_all_by_id": (_on("Order", lambda r: r.by_ids([1, 2, 3, 7, 999999999])), _o("o_orderkey in (1, 2, 3, 7, 999999999)")),
     "exists_by_id": (_ask("Order", "existsByOrderkey", 7), "select count(*) > 0 as found from orders where o_orderkey = 7"),
@@ -214,6 +440,11 @@ CATALOGUE: dict[str, Step] = {
     "top_n_nulls_first": (_ask("Label", "findTop10ByOrderByMaybeAsc", keep="doc_id"), f"select doc_id from {_LABEL_SQL} order by maybe nulls last, doc_id limit 10"),
     "limit_unordered": (_ask("Order", "findTop5ByStatus", "O"), "select * from orders where o_orderstatus = 'O' order by o_orderkey limit 5"),
     "distinct_projection": (_ask("Order", "select distinct o.status as status, o.priority as priority from Order o"), "select distinct o_orderstatus as status, o_orderpriority as priority from orders"),
+    "distinct_ordered": (lambda ws: _placed(_ask("Order", "select distinct o.priority as priority, o.status as status from Order o order by o.total desc")(ws)), "select o_orderpriority as priority, o_orderstatus as status, cast(row_number() over (order by max(o_totalprice) desc) as int) as place from orders group by o_orderpriority, o_orderstatus"),
+    "distinct_ordered_by_projected": (lambda ws: _placed(_ask("Customer", "select distinct c.nation.name as nation from Customer c order by c.nation.name desc")(ws)), "select n_name as nation, cast(row_number() over (order by n_name desc) as int) as place from (select distinct n_name from customer join nation on c_nationkey = n_nationkey)"),
+    "distinct_ordered_top": (lambda ws: _placed(_carried("Order", "findTop9Kinds", "select distinct o.status as status, o.priority as priority from Order o order by o.total desc")(ws)), "select o_orderstatus as status, o_orderpriority as priority, cast(row_number() over (order by max(o_totalprice) desc) as int) as place from (select * from orders order by o_totalprice desc, o_orderkey desc limit 9) group by o_orderstatus, o_orderpriority"),
+    "order_is_kept": (lambda ws: _placed(_ask("Nation", "findAllByOrderByNameDesc")(ws)), "select *, cast(row_number() over (order by n_name desc) as int) as place from nation"),
+    "limit_by_method_name": (_carried("Order", "findTop4ByWorth", "select o from Order o where o.status = :s order by o.total desc", s="O"), "select * from orders where o_orderstatus = 'O' order by o_totalprice desc, o_orderkey desc limit 4"),
     "distinct_entities": (_ask("Nation", "findDistinctByNameNot", "x"), "select * from nation"),
     # relations
     "join_to_one": (_ask("Order", "findByCustomerMktsegment", "BUILDING"), _o("o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")),
@@ -235,12 +466,15 @@ CATALOGUE: dict[str, Step] = {
     "join_bare": (_ask("Order", "select o from Order o join o.customer c where o.status = 'P'"), _o("o_orderstatus = 'P'")),
     "join_left_noop": (_ask("Order", "select o from Order o left join o.customer c where c.mktsegment = 'BUILDING' and o.status = 'P'"), _o("o_orderstatus = 'P'")),
     "join_count": (_ask("Order", "countByCustomerMktsegment", "BUILDING"), "select count(*) as cnt from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')"),
+    "join_inverse_one": (_ask("Realm", "findByCapitalNationkeyLessThan", 3), "select * from region where r_regionkey in (select n_regionkey from nation where n_regionkey <> 2 group by n_regionkey having min(n_nationkey) < 3)"),
+    "join_inverse_one_or": (_ask("Realm", "findByCapitalNationkeyLessThanOrName", 1, "ASIA"), "select * from region where r_name = 'ASIA' or r_regionkey in (select n_regionkey from nation where n_regionkey <> 2 group by n_regionkey having min(n_nationkey) < 1)"),
     # projections
     "project_flat": (_ask("Order", "select o.orderkey as id, o.total as total from Order o where o.total >= :min", min=300000), _o("o_totalprice >= 300000", "o_orderkey as id, o_totalprice as total")),
     "project_to_one": (_ask("Order", "select o.orderkey as id, o.customer.name as customer from Order o where o.status = 'P'"), "select o_orderkey as id, c_name as customer from orders left join customer on o_custkey = c_custkey where o_orderstatus = 'P'"),
     "project_two_hops": (_ask("Order", "select o.orderkey as id, o.customer.nation.name as nation, o.customer.name as customer from Order o where o.status = 'P' order by o.total desc"), "select o_orderkey as id, n_name as nation, c_name as customer from orders left join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey where o_orderstatus = 'P'"),
     "project_left_null": (_ask("OpenOrder", "select o.orderkey as id, o.customer.name as customer from OpenOrder o"), "select o_orderkey as id, c_name as customer from orders left join customer on o_custkey = c_custkey and c_acctbal > 5000"),
     "project_non_id": (_ask("Spot", "select s.name as region, s.nation.name as nation from Spot s"), "select r_name as region, (select arg_min(n_name, n_nationkey) from nation where n_regionkey = r_regionkey) as nation from region"),
+    "project_inverse_one": (_ask("Realm", "select r.name as region, r.capital.name as capital from Realm r"), "select r_name as region, (select arg_min(n_name, n_nationkey) from nation where n_regionkey = r_regionkey and n_regionkey <> 2) as capital from region"),
     "project_embedded": (_ask("Label", "select l.docid as id, l.mark.quality as quality from Label l where l.mark.toxic = 1"), "select doc_id as id, quality from labels where toxic = 1"),
     # groups
     "group_count": (_ask("Order", "countByStatus", returns="map"), "select o_orderstatus as status, count(*) as cnt from orders group by all"),
@@ -250,14 +484,41 @@ CATALOGUE: dict[str, Step] = {
     "group_having": (_ask("Order", "select count(o) from Order o where o.customer.mktsegment = 'BUILDING' group by o.priority, o.status having count(o) > :min", min=10), "select o_orderpriority as priority, o_orderstatus as status, count(*) as cnt from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') group by all having count(*) > 10"),
     "group_having_or": (_ask("Order", "select count(o) from Order o group by o.priority, o.status having count(o) > :a or count(o) < :b and count(o) <> 0", a=1000, b=500), "select o_orderpriority as priority, o_orderstatus as status, count(*) as cnt from orders group by all having (count(*) > 1000 or count(*) < 500) and count(*) <> 0"),
     "group_null_key": (_ask("Label", "countByWord", returns="map"), f"select word, count(*) as cnt from {_LABEL_SQL} group by all"),
-    "group_list": (lambda ws: _ask("Nation", "findAllGroupingByName")(ws).select("name", F.size("items").alias("n"), F.col("items")[0]["n_nationkey"].alias("first")), "select n_name as name, cast(count(*) as int) as n, min(n_nationkey) as first from nation group by all"),
-    "group_set": (lambda ws: _ask("Order", "findAllGroupingByStatusAndPriorityAsSet")(ws).select("status", "priority", F.size("items").alias("n")), "select o_orderstatus as status, o_orderpriority as priority, cast(count(*) as int) as n from orders group by all"),
+    "group_by_time": (_ask("Order", "countByOrderdate", returns="map"), "select o_orderdate as orderdate, count(*) as cnt from orders group by all"),
+    "group_by_decimal": (lambda ws: _ask("Money", "countByAmount", returns="map")(ws).select(F.col("amount").cast("long").alias("amount"), "cnt"), "select cast(floor(o_totalprice / 50000) as bigint) as amount, count(*) as cnt from orders group by all"),
+    "group_list": (lambda ws: _ask("Order", "findAllGroupingByStatus")(ws).select("status", F.size("items").alias("n"), _listed("items", "o_orderkey").alias("ids")), "select o_orderstatus as status, cast(count(*) as int) as n, sha256(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey)) as ids from orders group by all"),
+    "group_set": (lambda ws: _ask("Order", "findAllGroupingByStatusAndPriorityAsSet")(ws).select("status", "priority", F.size("items").alias("n"), _listed("items", "o_orderkey").alias("ids")), "select o_orderstatus as status, o_orderpriority as priority, cast(count(*) as int) as n, sha256(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey)) as ids from orders group by all"),
+    "group_rows": (_on("Order", lambda r: r.grouped_rows("findAllGroupingByPriority").select("priority", "item.o_orderkey", "item.o_totalprice")), "select o_orderpriority as priority, o_orderkey, o_totalprice from orders"),
     # hydration
-    "hydrate_one_to_many": (lambda ws: Repository(ws, "Customer").hydrated("orders").select("c_custkey", F.size("orders").alias("n"), F.array_min(F.transform("orders", lambda o: o["o_orderkey"])).alias("first")), "select c_custkey, cast(count(o_orderkey) as int) as n, min(o_orderkey) as first from customer left join orders on o_custkey = c_custkey group by all"),
+    "hydrate_one_to_many": (lambda ws: Repository(ws, "Customer").hydrated("orders").select("c_custkey", F.size("orders").alias("n"), _listed("orders", "o_orderkey").alias("ids"), F.element_at("orders", 1)["o_totalprice"].alias("total")), "select c_custkey, cast(count(o_orderkey) as int) as n, sha256(coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey), '')) as ids, arg_min(o_totalprice, o_orderkey) as total from customer left join orders on o_custkey = c_custkey group by all"),
     "hydrate_to_one": (lambda ws: Repository(ws, "Nation").hydrated("region").select("n_nationkey", F.col("region.r_name").alias("region")), "select n_nationkey, r_name as region from nation left join region on n_regionkey = r_regionkey"),
-    "hydrate_many_to_many": (lambda ws: Repository(ws, "Order").hydrated("parts").select("o_orderkey", F.size("parts").alias("n")), "select o_orderkey, cast(count(distinct l_partkey) as int) as n from orders left join lineitem on l_orderkey = o_orderkey group by all"),
+    "hydrate_inverse_one": (lambda ws: Repository(ws, "Realm").hydrated("capital").select("r_name", F.col("capital.n_name").alias("capital")), "select r_name, (select arg_min(n_name, n_nationkey) from nation where n_regionkey = r_regionkey and n_regionkey <> 2) as capital from region"),
+    "hydrate_many_to_many": (lambda ws: Repository(ws, "Order").hydrated("parts", only={"parts": ["p_partkey", "p_size"]}).select("o_orderkey", F.size("parts").alias("n"), _listed("parts", "p_partkey").alias("ids"), F.aggregate(F.transform("parts", lambda x: x["p_size"].cast("long")), F.lit(0).cast("long"), lambda s, x: s + x).alias("sizes")), "select o_orderkey, cast(count(p_partkey) as int) as n, sha256(coalesce(string_agg(cast(p_partkey as varchar), ',' order by p_partkey), '')) as ids, cast(coalesce(sum(p_size), 0) as bigint) as sizes from orders left join (select distinct l_orderkey, l_partkey from lineitem) on l_orderkey = o_orderkey left join part on p_partkey = l_partkey group by all"),
     "hydrate_set": (lambda ws: Repository(ws, "TwinNation").hydrated("spots").select("n_nationkey", F.size("spots").alias("n")), "select n_nationkey, cast(count(r_regionkey) as int) as n from nation left join region on r_regionkey = n_regionkey group by all"),
+    # results, records, objects
+    "return_kinds": (_result_kinds, "select 'one' as kind, n_name as value from nation where n_nationkey = 3 union all values ('none', 'None'), ('several', 'refused'), ('optional', 'None') union all select 'set', cast(count(distinct n_regionkey) as varchar) from nation union all select 'map', cast(count(*) as varchar) from nation union all select 'int', cast(count(*) as varchar) from nation where n_nationkey < 2 union all select 'long', cast(count(*) as varchar) from nation where n_nationkey < 3 union all values ('void', 'None') union all select 'left', cast(count(*) as varchar) from nation where n_nationkey >= 4 union all select 'list', cast(count(*) as varchar) from nation where n_nationkey >= 4"),
+    "record_projection": (_records, "select o_orderkey as id, c_name as customer, o_totalprice as total from orders left join customer on o_custkey = c_custkey where o_totalprice >= 400000"),
+    "materialised_objects": (_objects, "select o_orderkey as orderkey, o_orderstatus as status, o_totalprice as total from orders where o_orderstatus = 'P' and o_totalprice > 300000"),
+    "declared_entity": (_ask("DeclaredOrder", "findTop5ByStatusOrderByTotalDesc", "F"), "select o_orderkey, o_totalprice, o_orderstatus from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey desc limit 5"),
+    "refused_names": (_refusals("Order", _BAD_NAMES, lambda r, t: r.compile(t)), _expected(_BAD_NAMES, "findByStatus")),
+    "refused_texts": (_refusals("Order", _BAD_TEXTS, lambda r, t: r.frame(t)), _expected(_BAD_TEXTS, "select o from Order o where o.status = 'F'")),
+    "hooks_and_audit": (_noted, "select * from (values (cast(1 as bigint), 'NEW A', 'ann', 'ann', true), (2, 'OLD C', 'ann', 'bob', true)) t(id, text, made_by, changed_by, dated)"),
+    "converter_by_class": (_by_class, "select event_id, event_type from events where event_type = 'purchase'"),
+    "custom_type": (_ask("Account", "findByBalanceBetween", "$1,000.50", 5000), "select c_custkey, c_acctbal from customer where c_acctbal between 1000.5 and 5000"),
+    "named_workspaces": (_two_workspaces, "select 'one' as name, count(*) + 1 as n from nation union all select 'two', count(*) from nation"),
+    # layouts on write
+    "layout_range": (_laid_out(LAID_RANGE, "Order", "findByTotalBetween", 10000, 20000), _o("o_totalprice between 10000 and 20000")),
+    "layout_hash": (_laid_out(LAID_HASH, "Order", "findByOrderkeyIn", [7, 77, 777]), _o("o_orderkey in (7, 77, 777)")),
+    "layout_composite_range": (_laid_out(LAID_COMPOSITE, "Order", "findByStatusAndTotalGreaterThan", "P", 200000), _o("o_orderstatus = 'P' and o_totalprice > 200000")),
+    "layout_composite_hash": (_laid_out(LAID_COMPOSITE, "Order", "findByStatusAndPriority", "F", "1-URGENT"), _o("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")),
+    "layout_prefix": (_laid_out(LAID_TEXT, "Customer", "findByMktsegmentStartingWith", "B"), "select * from customer where starts_with(c_mktsegment, 'B')"),
+    "layout_suffix": (_laid_out(LAID_TEXT, "Customer", "findByNameEndingWith", "77"), "select * from customer where ends_with(c_name, '77')"),
+    "layout_not_suffix": (_laid_out(LAID_TEXT, "Customer", "findByNameNotEndingWith", "7"), "select * from customer where not ends_with(c_name, '7')"),
     # changes: the table each leaves
+    "save_given_then_assigned": (_on("Nation", _given_then_assigned), "select * from nation union all select cast(max(n_nationkey) + 1 as int), 'first', 0 from nation union all select cast(max(n_nationkey) + 2 as int), 'given', 1 from nation union all select cast(max(n_nationkey) + 3 as int), 'after', 2 from nation"),
+    "save_frame_last_wins": (_on("Nation", _last_wins), "select * replace (case when n_nationkey between 1 and 3 then 'late ' || n_name else n_name end as n_name) from nation"),
+    "id_uuid": (_tagged, "select count(*) + 3 as n, count(*) + 3 as ids, count(*) + 2 as made from customer"),
+    "id_custom": (_generated, "select * from (values ('T-7', 'a'), ('own', 'b'), ('T-8', 'c')) t(id, label)"),
     "update_query": (_ask("Order", "update Order o set o.status = 'X', o.priority = :p where o.total > 300000", p="none"), "select * replace (case when o_totalprice > 300000 then 'X' else o_orderstatus end as o_orderstatus, case when o_totalprice > 300000 then 'none' else o_orderpriority end as o_orderpriority) from orders"),
     "update_by_relation": (_ask("Order", "update Order o set o.status = 'X' where o.customer.mktsegment = 'BUILDING'"), "select * replace (case when o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') then 'X' else o_orderstatus end as o_orderstatus) from orders"),
     "delete_by": (_ask("Order", "deleteByStatus", "F"), _o("not coalesce(o_orderstatus = 'F', false)")),
@@ -270,7 +531,7 @@ CATALOGUE: dict[str, Step] = {
     "delete_all": (_on("Region", lambda r: (r.deleteAll(), r.table)[1]), "select * from region where false"),
     "upsert": (_on("Nation", _upserts), "select * replace (case when n_nationkey between 1 and 2 then 'NEW ' || n_name else n_name end as n_name) from nation union all select n_nationkey + 100, 'NEW ' || n_name, n_regionkey from nation where n_nationkey between 1 and 2"),
     "id_assignment": (_on("Region", _assigned), "select count(*) + 2 as n, cast(max(r_regionkey) + 2 as int) as top, count(*) + 2 as ids from region"),
-    "many_to_many_link": (_on("Order", _linked), "select l_orderkey, count(distinct l_partkey) + case when l_orderkey between 1 and 3 then 1 else 0 end as parts from (select l_orderkey, l_partkey from lineitem where l_orderkey <= 5) group by l_orderkey"),
+    "many_to_many_link": (_on("Order", _linked), "select l_orderkey, count(distinct l_partkey) + 1 as parts, l_orderkey + 1000000000 as top from lineitem group by l_orderkey"),
 }
 
 

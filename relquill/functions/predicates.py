@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from relquill.functions.values import EXACT, TEXT, WHOLE, Converters, FRACTIONAL, literal, listed
+from relquill.functions.values import EXACT, HANDLERS, TEXT, WHOLE, Converters, FRACTIONAL, literal, listed
 from relquill.plans.schema import Field
 
 _ORDERED = WHOLE | FRACTIONAL | EXACT | TEXT | {"instant", "date", "datetime", "timestamp"}
@@ -27,11 +27,11 @@ def met(predicate: Column) -> Column:
 
 def check(field: Field, op: str) -> None:
     """Refuse predicates that a type does not have."""
-    plain = op.removeprefix("NOT_") if op.removeprefix("NOT_") in _PATTERNS else op
+    plain, own = op.removeprefix("NOT_") if op.removeprefix("NOT_") in _PATTERNS else op, HANDLERS.get(field.type)
     if plain in _PATTERNS or op == "IGNORE_CASE_LIKE":
-        if field.type != "string":
+        if not (own.textual if own else field.type == "string"):
             raise TypeError(f"{op} needs text; {field.name} is {field.type}")
-    elif op in _RANGES and field.type not in _ORDERED:
+    elif op in _RANGES and not (own.ordered if own else field.type in _ORDERED):
         raise TypeError(f"{op} needs an ordered type; {field.name} is {field.type}")
     elif op in ("IS_TRUE", "IS_FALSE") and field.type != "boolean":
         raise TypeError(f"{op} needs a boolean; {field.name} is {field.type}")
@@ -42,7 +42,8 @@ def predicate(column: Column, field: Field, op: str, args: list, ignore_case: bo
     if op in ("IGNORE_CASE_EQ", "IGNORE_CASE_LIKE"):
         op, ignore_case = op.removeprefix("IGNORE_CASE_"), True
     check(field, op)
-    caseless = ignore_case and field.type in TEXT
+    own = HANDLERS.get(field.type)
+    caseless = ignore_case and (own.textual if own else field.type in TEXT)
 
     def value(raw) -> Column:
         stored = converters.stored(entity, field, raw)

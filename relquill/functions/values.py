@@ -22,6 +22,33 @@ _RANGES = {"byte": 7, "short": 15, "int": 31, "long": 63}
 WHOLE, FRACTIONAL, TEXT, EXACT = {"byte", "short", "int", "long"}, {"float", "double"}, {"string", "char"}, {"decimal", "bigint"}
 
 
+@dataclass(frozen=True)
+class TypeHandler:
+    """A type of one's own: how its values are stored and compared.
+
+    ``coerce`` makes any accepted value the stored one and raises TypeError for others;
+    ``literal`` makes a Column of a stored value where a plain cast does not.
+    """
+
+    code: str
+    spark: object
+    coerce: Callable
+    literal: Callable | None = None
+    ordered: bool = True
+    textual: bool = False
+
+
+HANDLERS: dict[str, TypeHandler] = {}
+
+
+def register_type(handler: TypeHandler) -> None:
+    """Let fields have the type ``handler.code``; built-in codes stay what they are."""
+    if handler.code in TYPES and handler.code not in HANDLERS:
+        raise ValueError(f"{handler.code} is a built-in type")
+    HANDLERS[handler.code] = handler
+    TYPES[handler.code] = handler.spark
+
+
 @dataclass(frozen=True)
 class Converter:
     """A pair of functions between a value and its stored form."""
@@ -70,6 +97,8 @@ def coerce(field: Field, value):
     kind = field.type
     if value is None:
         return None
+    if kind in HANDLERS:
+        return HANDLERS[kind].coerce(value)
     wrong = TypeError(f"{field.name} is {kind}, not {type(value).__name__}")
     if kind == "boolean":
         if not isinstance(value, bool):
@@ -112,6 +141,9 @@ def coerce(field: Field, value):
 
 def literal(field: Field, value) -> Column:
     """A literal of the field's type. Zoneless times stay zoneless, so comparisons reach the scan."""
+    if field.type in HANDLERS:
+        own = HANDLERS[field.type].literal
+        return own(value) if own is not None and value is not None else F.lit(value).cast(TYPES[field.type])
     if field.type == "datetime" and value is not None:
         return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
     if value is None or field.type in ("decimal", "bigint"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +19,37 @@ def upserted(table: DataFrame, batch: DataFrame, key: str, order: str | None = N
     return table.join(batch.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_anti").unionByName(batch.select(*table.columns))
 
 
-def numbered(batch: DataFrame, key: str, first: int) -> DataFrame:
-    """``batch`` with dense ids from ``first`` where its id is null or zero.
+def numbered(ws: Workspace, batch: DataFrame, entity: Entity) -> DataFrame:
+    """``batch``, a stored table, with ids where its id is null or zero, by the entity's generation.
 
-    Rows are numbered within partitions and shifted by the counts of the partitions
-    before: no row moves.
+    Numbers are dense, from one past the largest that is stored or given: the new rows are stored
+    with their places in partitions, and each partition begins after those before it. One count a
+    partition reaches the driver, and no row moves.
     """
-    new = F.col(key).isNull() | (F.col(key) == 0)
-    rows = batch.withColumn("__part", F.spark_partition_id()).withColumn("__new", new.cast("long"))
-    counts = {r["__part"]: r["n"] for r in rows.groupBy("__part").agg(F.sum("__new").alias("n")).collect()}  # one row a partition
-    ahead, shift = [], first
-    for part in sorted(counts):
-        ahead += [F.lit(part), F.lit(shift)]
-        shift += counts[part]
-    if not ahead:
-        return batch
-    from pyspark.sql import Window
-
-    within = F.sum("__new").over(Window.partitionBy("__part").orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0))
+    key = entity.key.column
     kind = batch.schema[key].dataType
-    return rows.withColumn(key, F.when(F.col("__new") == 1, F.create_map(*ahead)[F.col("__part")] + within - 1).otherwise(F.col(key)).cast(kind)).drop("__part", "__new")
+    new = F.col(key).isNull() if entity.generated != "identity" else F.col(key).isNull() | (F.col(key) == 0)
+    given, fresh = batch.filter(~new), batch.filter(new)
+    if fresh.isEmpty():
+        return batch
+    if entity.generated == "custom":
+        raise ValueError(f"{entity.name}: ids of its own generator are assigned row by row, not to a DataFrame")
+    fresh = ws.held(fresh.withColumn("__place", F.monotonically_increasing_id()), f"{entity.name.lower()}-new")
+    if entity.generated == "uuid":
+        # of a random number and the row's place, so that every reading agrees
+        digest = F.md5(F.concat(F.lit(uuid.uuid4().hex), F.col("__place").cast("string")))
+        fresh = fresh.withColumn(key, F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5").cast(kind))
+        return given.unionByName(fresh.drop("__place"))
+    ws.saw_id(entity, given.agg(F.max(key)).first()[0])
+    part, at = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(tuple(r) for r in fresh.groupBy(part.alias("part")).count().collect())  # one row a partition
+    ahead, first = [], ws.next_id(entity)
+    for p, n in counts:
+        ahead.append((p, first))
+        first += n
+    ahead = F.broadcast(ws.spark.createDataFrame(ahead, "__part long, __ahead long"))
+    fresh = fresh.join(ahead, part == F.col("__part")).withColumn(key, (F.col("__ahead") + at).cast(kind))
+    return given.unionByName(fresh.drop("__place", "__part", "__ahead"))
 
 
 def linked(ws: Workspace, relation: ManyToMany, pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -25,7 +25,7 @@ class Field:
     column: str = ""
     primitive: bool = False
     converter: object = None
-    #: HASH, BTREE, PREFIX, SUFFIX: hints for layout on write, never for results.
+    #: HASH, BTREE, PREFIX, SUFFIX: how ``write_parquet`` lays rows out, never what results are.
     index: str = ""
 
     def __post_init__(self):
@@ -55,6 +55,16 @@ class ToMany:
     as_set: bool = False
 
 
+@dataclass(frozen=True)
+class InverseOne:
+    """The other side of the target's to-one relation ``mapped_by`` where that is one to one; of
+    several rows the one of least id."""
+
+    name: str
+    target: str
+    mapped_by: str
+
+
 @dataclass(frozen=True)
 class ManyToMany:
     """Pairs of ids in a bridge table."""
@@ -66,7 +76,7 @@ class ManyToMany:
     target_column: str
 
 
-Relation = ToOne | ToMany | ManyToMany
+Relation = ToOne | ToMany | InverseOne | ManyToMany
 
 
 @dataclass(frozen=True)
@@ -79,15 +89,25 @@ class Entity:
     relations: tuple[Relation, ...] = ()
     #: Audit roles (created_date, modified_date, created_by, modified_by) to property names.
     audit: Mapping[str, str] = field(default_factory=dict)
-    #: Composite index hints: (kind, properties).
+    #: Composite layouts, HASH or BTREE: (kind, properties).
     composites: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: Where ids come from that are not given: identity (the next number), uuid (text), auto (either,
+    #: by the id's type), custom (``generator``, called once a row).
+    generation: str = "auto"
+    generator: Callable[[], object] | None = None
 
     def __post_init__(self):
+        if self.generation not in ("auto", "identity", "uuid", "custom"):
+            raise ValueError(f"{self.name}: no id generation {self.generation!r}")
+        if (self.generation == "custom") != (self.generator is not None):
+            raise ValueError(f"{self.name}: custom ids need a generator, and no others do")
         names = [f.name.lower() for f in self.fields] + [r.name.lower() for r in self.relations]
         if len(set(names)) != len(names):
             raise ValueError(f"{self.name}: a property is declared twice")
         if self.field(self.id) is None:
             raise ValueError(f"{self.name}: its id {self.id!r} is no field")
+        if self.generation in ("identity", "uuid") and (self.key.type in ("string", "char")) != (self.generation == "uuid"):
+            raise ValueError(f"{self.name}: {self.generation} ids do not fit {self.key.type}")
         for _, props in self.composites:
             for p in props:
                 if self.field(p) is None:
@@ -104,6 +124,16 @@ class Entity:
     def key(self) -> Field:
         return self.field(self.id)
 
+    @property
+    def generated(self) -> str:
+        """identity, uuid or custom."""
+        return self.generation if self.generation != "auto" else "uuid" if self.key.type in ("string", "char") else "identity"
+
+    def back(self, relation: Relation, target: Entity) -> tuple[str, str]:
+        """The target's column that names rows of this entity, and the own column that it names."""
+        there = target.relation(relation.mapped_by)
+        return there.column, (self.field(there.references) if there.references else self.key).column
+
     def struct(self) -> T.StructType:
         """The Spark schema; embedded fields nest, primitives are non-null."""
         out: dict = {}

@@ -10,8 +10,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import re
+import typing
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Row
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from relquill.functions.values import coerce
 from relquill.operators.change import linked, numbered, upserted, without_ids
 from relquill.operators.lower import Lowering, hydrated
+from relquill.plans.declared import fits, made
 from relquill.plans.ir import Query
 from relquill.plans.names import parse_name
 from relquill.plans.schema import ManyToMany
@@ -32,8 +36,13 @@ class Repository:
 
     entity: str = ""
     queries: Mapping[str, str] = {}
-    #: Method name to "map" (counts by key), "one", "set" or "list".
+    #: Method name to "map" (counts by key), "list", "set" (in order of first appearance), "one" or "optional"
+    #: (a row or None, never one of several); of a change "int", "long" or "void".
     returns: Mapping[str, str] = {}
+    #: Method name to the dataclass of its projected rows.
+    records: Mapping[str, type] = {}
+    #: The dataclass of entities that are read, by property names; rows if there is none.
+    made_as: type | None = None
 
     def __init__(self, workspace: Workspace, entity: str = "", user: Callable[[], str] | None = None):
         self.ws, self.user = workspace, user
@@ -50,10 +59,31 @@ class Repository:
                 m = re.match(r"[a-z]+(?:Top|First)(\d*)(?=[A-Z]|$)", name)
                 query = parse_text(self.ws.model, self.queries[name], int(m[1] or 1) if m else None)
             else:
-                query = parse_name(self.ws.model, self.spec, name, returns)
-            self._compiled[name, returns] = query
+                query = parse_name(self.ws.model, self.spec, name, "map" if returns == "map" else None)
+            self._compiled[name, returns] = self.checked(name, query, returns)
         return self._compiled[name, returns]
 
+    def checked(self, name: str, query: Query, returns: str | None) -> Query:
+        """Refuse results that a query cannot have; records have their components' order."""
+        changes = query.action in ("DELETE", "UPDATE")
+        if returns and (returns in ("int", "long", "void")) != changes or returns not in (None, "map", "list", "set", "one", "optional", "int", "long", "void"):
+            raise ValueError(f"{name}: cannot return {returns}")
+        if returns == "map" and not query.group:
+            raise ValueError(f"{name}: a map needs a grouping")
+        if (record := self.records.get(name)) is None:
+            return query
+        if not query.projection:
+            raise ValueError(f"{name}: a record needs projected properties")
+        paths, hints = dict(query.projection), typing.get_type_hints(record)
+        names = [f.name for f in dataclasses.fields(record)]
+        if sorted(names) != sorted(paths):
+            raise ValueError(f"{name}: {record.__name__} has {', '.join(names)}, the query {', '.join(paths)}")
+        for n in names:
+            code = self.ws.model.path(self.spec, paths[n]).field.type
+            if not fits(code, hints[n]):
+                raise TypeError(f"{name}: {n} is {code}, which {record.__name__} does not hold")
+        return dataclasses.replace(query, projection=tuple((n, paths[n]) for n in names))
+
     def text(self, text: str) -> Query:
         if (text, None) not in self._compiled:
             self._compiled[text, None] = parse_text(self.ws.model, text)
@@ -94,7 +124,10 @@ class Repository:
         """A method's result: rows, one row, a number, a truth, a dict, or rows changed."""
         query, returns = self.compile(name), self.returns.get(name)
         if query.action in ("DELETE", "UPDATE"):
-            return self.change(query, args, named)
+            n = self.change(query, args, named)
+            if returns == "int" and n >= 1 << 31:
+                raise OverflowError(f"{name}: {n} rows do not fit an int")
+            return None if returns == "void" else n
         df = self.lowered(query, args, named)
         if query.group:
             keys = [c for c in df.columns if c not in ("cnt", "items")]
@@ -104,22 +137,41 @@ class Repository:
             return df.first()["cnt"]
         if query.action == "EXISTS":
             return df.first()["found"]
-        rows = [self.loaded(r) for r in df.collect()]
-        if returns == "one":
-            return rows[0] if rows else None
+        make = self.made(name, query)
+        if returns in ("one", "optional"):
+            rows = df.limit(2).collect()
+            if len(rows) > 1:
+                raise LookupError(f"{name}: more than one row")
+            return make(rows[0]) if rows else None
         if returns == "set":
-            return list(dict.fromkeys(rows))
-        return rows
-
-    def loaded(self, row: Row) -> Row:
-        """A stored row with its converters' values, after the post_load hook."""
+            df = df.distinct() if query.projection and not query.order else df
+            return dict.fromkeys(make(r) for r in df.collect()).keys()
+        return [make(r) for r in df.collect()]
+
+    def made(self, name: str, query: Query) -> Callable[[Row], object]:
+        """What becomes of a row: a record, an entity, or a projected row as it is."""
+        if (record := self.records.get(name)) is not None:
+            return lambda r: record(**r.asDict())
+        return (lambda r: r) if query.projection else self.loaded
+
+    def loaded(self, row: Row):
+        """A stored row with its converters' values, after the post_load hook; an object of ``made_as`` if there is one."""
         values = row.asDict()
         for f in self.spec.fields:
             if f.column in values and (c := self.ws.converters.find(self.spec.name, f)) is not None:
                 values[f.column] = c.load(values[f.column])
         if (hook := getattr(type(self), "post_load", None)) is not None:
             values = hook(self, values) or values
-        return Row(**values)
+        if self.made_as is None:
+            return Row(**values)
+        return made(self.made_as, {f.name: self.at(values, f.column) for f in self.spec.fields})
+
+    @staticmethod
+    def at(values: Mapping, column: str):
+        """A column's value, through structs."""
+        for part in column.split("."):
+            values = None if values is None else values[part]
+        return values
 
     # --- built in
 
@@ -136,7 +188,7 @@ class Repository:
     def by_id(self, id) -> DataFrame:
         if id is None:
             return self.table.limit(0)
-        return self.table.filter(F.col(self.spec.key.column) == F.lit(coerce(self.spec.key, id))).limit(1)
+        return self.table.filter(F.col(self.spec.key.column) == F.lit(coerce(self.spec.key, id)))
 
     def findById(self, id) -> Row | None:
         found = self.by_id(id).collect()
@@ -157,8 +209,13 @@ class Repository:
     def findAllById(self, ids) -> list[Row]:
         return [self.loaded(r) for r in self.by_ids(ids).collect()]
 
-    def hydrated(self, *relations: str) -> DataFrame:
-        return hydrated(self.ws, self.spec, self.table, *relations)
+    def hydrated(self, *relations: str, only: Mapping[str, list[str]] | None = None) -> DataFrame:
+        """The table with related rows attached; ``only`` names the columns of a relation's rows to take along."""
+        return hydrated(self.ws, self.spec, self.table, *relations, only=only)
+
+    def grouped_rows(self, method: str, *args, **named) -> DataFrame:
+        """The rows of a grouping method with their keys, for groups that are too large for a list."""
+        return Lowering(self.ws, self.compile(method), args, named).grouped_rows()
 
     # --- writing
 
@@ -167,15 +224,18 @@ class Repository:
 
     def saveAll(self, rows) -> list[dict]:
         """Insert or replace by id; the last row of an id wins. Returns the rows as saved."""
-        rows = [dict(r) for r in rows]
+        with self.ws.lock:
+            return self._saved([dict(r) for r in rows])
+
+    def _saved(self, rows: list[dict]) -> list[dict]:
         key, now = self.spec.id, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         known = {r[self.spec.key.column] for r in self.by_ids([r[key] for r in rows if r.get(key)]).select(self.spec.key.column).collect()}
+        if self.spec.generated == "identity":
+            self.ws.saw_id(self.spec, max((r[key] for r in rows if isinstance(r.get(key), int)), default=0))
         for r in rows:
             new = not r.get(key)
             if new:
-                if self.spec.key.type in ("string", "char"):
-                    raise ValueError(f"{self.spec.name}: a text id must be given")
-                r[key] = self.ws.next_id(self.spec)
+                r[key] = self.new_id()
             first = new or r[key] not in known
             hook = getattr(type(self), "pre_persist" if first else "pre_update", None)
             if hook is not None:
@@ -183,48 +243,55 @@ class Repository:
             for role, prop in self.spec.audit.items():
                 if role.startswith("modified") or first and r.get(prop) is None:
                     r[prop] = now if role.endswith("date") else self.user() if self.user else None
-        stored = [tuple(self.ws.converters.stored(self.spec.name, f, r.get(f.name)) for f in self.spec.fields) + (i,) for i, r in enumerate(rows)]
+        if not rows:
+            return rows
+        from pyspark.sql import types as T
+
+        from relquill.plans.schema import TYPES
+
+        table, fields = self.table, self.spec.fields
+        # columns that are no fields, such as foreign keys, are given by their own names
+        others = [c for c in table.schema if not any(f.column.split(".")[0] == c.name for f in fields)]
+        stored = [(*(self.ws.converters.stored(self.spec.name, f, r.get(f.name)) for f in fields), *(r.get(c.name) for c in others), i) for i, r in enumerate(rows)]
         for s in stored:
-            for f, v in zip(self.spec.fields, s, strict=False):
+            for f, v in zip(fields, s, strict=False):
                 if f.primitive and v is None:
                     raise ValueError(f"{f.name} is never null")
-        if rows:
-            from pyspark.sql import types as T
+        numbers = {f.column: f"f{i}" for i, f in enumerate(fields)} | {c.name: f"o{i}" for i, c in enumerate(others)}
+        flat = T.StructType([*(T.StructField(f"f{i}", TYPES[f.type]) for i, f in enumerate(fields)), *(T.StructField(f"o{i}", c.dataType) for i, c in enumerate(others)), T.StructField("__seq", T.LongType())])
 
-            from relquill.plans.schema import TYPES
+        def column(path: str, kind):
+            if path not in numbers and hasattr(kind, "fields"):
+                return F.struct(*(column(f"{path}.{c.name}", c.dataType).alias(c.name) for c in kind.fields))
+            return F.col(numbers[path]).cast(kind) if path in numbers else F.lit(None).cast(kind)
 
-            flat = T.StructType([T.StructField(f.name, TYPES[f.type]) for f in self.spec.fields] + [T.StructField("__seq", T.LongType())])
-            batch = self.ws.spark.createDataFrame(stored, flat)
-            table = self.table
-            batch = batch.select(*(self._stored_column(c.name, c.dataType, rows) for c in table.schema), "__seq")
-            self.ws.commit(self.spec.name, upserted(table, batch, self.spec.key.column, "__seq"))
+        batch = self.ws.spark.createDataFrame(stored, flat).select(*(column(c.name, c.dataType).alias(c.name) for c in table.schema), "__seq")
+        self.ws.commit(self.spec.name, upserted(table, batch, self.spec.key.column, "__seq"))
         return rows
 
-    def _stored_column(self, name: str, kind, rows: list[dict]):
-        """A table column from flat field values; structs are built from embedded fields."""
-
-        def build(path: str, kind):
-            if hasattr(kind, "fields"):
-                parts = [build(f"{path}.{f.name}", f.dataType).alias(f.name) for f in kind.fields]
-                return F.struct(*parts)
-            field = next((f for f in self.spec.fields if f.column == path), None)
-            if field is not None:
-                return F.col(f"`{field.name}`").cast(kind)
-            given = [r.get(path) for r in rows]
-            if all(v is None for v in given):
-                return F.lit(None).cast(kind)
-            # a foreign key: looked up by the row's number
-            return F.element_at(F.array(*(F.lit(v) for v in given)), (F.col("__seq") + 1).cast("int")).cast(kind)
-
-        return build(name, kind).alias(name)
-
-    def save_frame(self, batch: DataFrame) -> DataFrame:
-        """Insert or replace the rows of a DataFrame; ids that are null or zero are assigned."""
-        key = self.spec.key.column
-        if not batch.filter(F.col(key).isNull() | (F.col(key) == 0)).isEmpty():
-            top = self.table.agg(F.max(key)).first()[0] or 0
-            batch = numbered(batch, key, top + 1)
-        return self.ws.commit(self.spec.name, upserted(self.table, batch, key))
+    def new_id(self):
+        """An id for a row without one, by the entity's generation."""
+        if self.spec.generated == "identity":
+            return self.ws.next_id(self.spec)
+        return str(uuid.uuid4()) if self.spec.generated == "uuid" else self.spec.generator()
+
+    def save_frame(self, batch: DataFrame, order: str | None = None) -> DataFrame:
+        """Insert or replace the rows of a DataFrame; ids that are null or zero are assigned.
+
+        Of rows of one id that of the largest ``order`` (a column of the batch that need not be
+        the table's) wins; without an order such rows are refused. The batch is evaluated once.
+        """
+        with self.ws.lock:
+            key = self.spec.key.column
+            batch = self.ws.held(batch, f"{self.spec.name.lower()}-batch")
+            batch = numbered(self.ws, batch, self.spec)
+            if order is None:
+                twice = batch.groupBy(key).count().filter("count > 1").limit(1).collect()
+                if twice:
+                    raise ValueError(f"{self.spec.name}: several rows of id {twice[0][key]!r}, and no order among them")
+            if self.spec.generated == "identity":
+                self.ws.saw_id(self.spec, batch.agg(F.max(key)).first()[0])
+            return self.ws.commit(self.spec.name, upserted(self.table, batch, key, order))
 
     def link(self, relation: str, pairs: DataFrame) -> DataFrame:
         """Add pairs of a many-to-many relation that are not there."""
@@ -235,11 +302,12 @@ class Repository:
 
     def change(self, query: Query, args: tuple = (), named: dict | None = None) -> int:
         """Run an update or delete; the number of rows it named."""
-        low = Lowering(self.ws, query, args, named)
-        after = low.updated() if query.action == "UPDATE" else low.deleted()
-        n = low.filtered().count()
-        self.ws.commit(self.spec.name, after)
-        return n
+        with self.ws.lock:
+            low = Lowering(self.ws, query, args, named)
+            after = low.updated() if query.action == "UPDATE" else low.deleted()
+            n = low.filtered().count()
+            self.ws.commit(self.spec.name, after)
+            return n
 
     def execute(self, text: str, *args, **named) -> int:
         query = self.text(text)

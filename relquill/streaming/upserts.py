@@ -15,13 +15,13 @@ def upsert_stream(repository: Repository, rows: DataFrame, checkpoint: str, orde
     from relquill.operators.change import upserted
 
     spec = repository.spec
-    if repository.ws.storage is None:
-        raise ValueError("a stream of upserts needs a workspace with storage")
-
     def apply(batch: DataFrame, epoch: int) -> None:
         # the batch outlives its epoch inside the new version, so it is stored first
         held = _stored(repository, batch, epoch)
-        repository.ws.commit(spec.name, upserted(repository.table, held, spec.key.column, order))
+        with repository.ws.lock:
+            if spec.generated == "identity":
+                repository.ws.saw_id(spec, held.agg({spec.key.column: "max"}).first()[0])
+            repository.ws.commit(spec.name, upserted(repository.table, held, spec.key.column, order))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 

@@ -188,3 +188,129 @@ def test_catalogue_against_sql(spark):
         if got != sorted(con.sql(f"select {', '.join(columns)} from ({sql})").fetchall(), key=repr):
             bad.append(name)
     assert not bad
+
+
+def test_ids_given_and_assigned_do_not_meet(items):
+    assert items.save({"name": "a"})["id"] == 5
+    items.save({"id": 6, "name": "given"})
+    assert [r["id"] for r in items.saveAll([{"name": "b"}, {"id": 9, "name": "c"}, {"name": "d"}])] == [10, 9, 11]
+    items.save_frame(items.table.limit(1).select(*[F.lit(20).cast("long").alias("id") if c == "id" else F.col(c) for c in items.table.columns]))
+    assert items.save({"name": "e"})["id"] == 21 and items.count() == 10
+
+
+def test_concurrent_saves_lose_nothing(items):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda k: items.save({"name": f"n{k}"})["id"], range(8)))
+    assert sorted(got) == list(range(5, 13)) and items.count() == 12
+
+
+def test_batches_with_rows_of_one_id_need_an_order(items):
+    batch = items.table.filter("id < 3").unionByName(items.table.filter("id = 1"))
+    with pytest.raises(ValueError, match="several rows of id 1"):
+        items.save_frame(batch)
+    assert items.save_frame(batch.withColumn("seq", F.monotonically_increasing_id()), order="seq").count() == 4
+
+
+def test_results_that_a_query_cannot_have(spark):
+    import dataclasses
+
+    @dataclasses.dataclass
+    class Pair:
+        name: str
+        n: str
+
+    class Items(Repository):
+        entity = "Item"
+        queries = {"pairs": "select i.name as name, i.n as n from Item i", "named": "select i.name as name from Item i"}
+        records = {"pairs": Pair, "named": Pair}
+        returns = {"deleteByName": "list", "findByName": "void", "findByN": "map"}
+
+    ws = Engine(spark).workspace()
+    ws.add(ITEM)
+    repo = Items(ws)
+    with pytest.raises(TypeError, match="n is int"):
+        repo.compile("pairs")
+    for name in ("named", "deleteByName", "findByName", "findByN"):
+        with pytest.raises(ValueError):
+            repo.compile(name)
+    with pytest.raises(ValueError):
+        Entity("E", "id", (Field("id", "long"),), generation="uuid")
+
+
+def test_objects_of_nested_dataclasses(spark):
+    import dataclasses
+
+    @dataclasses.dataclass
+    class Address:
+        city: str | None
+
+    @dataclasses.dataclass
+    class Person:
+        id: int
+        address: Address | None = None
+
+    ws = Engine(spark).workspace()
+    ws.add(Entity("Person", "id", (Field("id", "long"), Field("address.city", "string"))), spark.createDataFrame([(1, ("Ulm",)), (2, (None,))], "id long, address struct<city:string>"))
+    repo = Repository(ws, "Person")
+    repo.made_as = Person
+    assert sorted(repo.findAll(), key=lambda p: p.id) == [Person(1, Address("Ulm")), Person(2, None)]
+
+
+def test_layouts_reach_the_files(spark, tmp_path):
+    """Files of a range do not overlap, endings are sought as beginnings, and bloom filters are there."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from relquill.sources.workspace import HIDDEN, Workspace
+
+    def written(entity, table):
+        ws, path = Workspace(spark), str(tmp_path / entity.name)
+        ws.add(entity, spark.read.parquet(f"{SF}/{table}.parquet"))
+        ws.write_parquet(entity.name, path, files=4)
+        back = Workspace(spark)
+        back.read_parquet(entity, path)
+        return Repository(back, entity.name), sorted(glob.glob(f"{path}/*.parquet"))
+
+    def bounds(file, column):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.to_arrow_schema().names.index(column)
+        return [(s.min, s.max) for s in (meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups))]
+
+    repo, files = written(catalog.LAID_RANGE, "orders")
+    spans = sorted(x for f in files for x in bounds(f, "o_totalprice"))
+    assert len(files) == 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    repo, files = written(catalog.LAID_COMPOSITE, "orders")
+    spans = sorted(x for f in files for x in bounds(f, "o_orderstatus"))
+    assert len(files) == 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    repo, files = written(catalog.LAID_TEXT, "customer")
+    df = repo.frame("findByNameEndingWith", "77")
+    assert f"StringStartsWith({HIDDEN}c_name,77)" in df._jdf.queryExecution().executedPlan().toString() and df.columns == spark.read.parquet(f"{SF}/customer.parquet").columns
+    repo.save({"custkey": 10**6, "name": "new 77"})
+    assert 10**6 in [r["c_custkey"] for r in repo.findByNameEndingWith("77")]
+    _, files = written(catalog.LAID_HASH, "orders")
+    jvm = spark._jvm
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0]), spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    blooms = {str(c.getPath()): reader.readBloomFilter(c) is not None for c in reader.getFooter().getBlocks()[0].getColumns()}
+    reader.close()
+    assert blooms["[o_orderkey]"] and blooms["[o_orderstatus]"] and not blooms["[o_totalprice]"]
+
+
+def test_plans_without_needless_shuffles(spark):
+    ws = catalog.open_workspace(spark, SF)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(Repository(ws, "Order").by_id(7))
+    assert "Exchange" not in plan(Repository(ws, "Order").frame("findDistinctByStatus", "F"))
+
+
+def test_shared_folder_is_qualified(spark):
+    from relquill.sources.shared import qualified
+
+    before = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS")
+    assert qualified(spark, "/a/b") == "file:/a/b" and qualified(spark, "file:///a") == "file:/a" and before
