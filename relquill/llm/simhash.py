@@ -16,8 +16,9 @@ links, each written to the shared folder.
 
 Null text or no words: fingerprint zero, linked like any other. Fewer than three
 words: the whole sequence is the shingle. Null doc_id: a row like others, ignored
-by the minimum. Repeated rows keep their rows. Extra columns are ignored. Empty
-table: no rows.
+by the minimum. Very long texts are hashed whole, a part of the votes at a time. Bits that
+half of the hashes set are 0, so ties need no rule. Repeated rows keep their rows. Extra
+columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations

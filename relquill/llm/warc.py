@@ -7,7 +7,9 @@ every record becomes rows (record, chunk number, bytes) of at most ``chunk`` byt
 that carry the running length and digest, so no record is ever held whole; the
 digest of a record's last row is that of its payload.
 
-Revisits carry the digest and length of the payload they repeat. Of repeated rows
+Revisits carry the digest and length of the payload they repeat, and the record that has it.
+Ties cannot arise: a payload's response is that of its least page. Very long pages are
+streamed in chunks. Of repeated rows
 (same page, same payload) one is the response. Null html: empty. Null page_id:
 written without a page, a response only if no page with an id has its payload.
 Null or odd url: written as empty, line ends stripped. Extra columns are ignored.
@@ -40,6 +42,10 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def record_id(page: int | None, digest: str, which: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{digest}/{which}')}>"
+
+
 def decide(pages: DataFrame, least: int) -> DataFrame:
     """Each page with its payload's digest and, for a revisit, the page it repeats."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -77,12 +83,13 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> list:
                 payload = html[i].as_buffer()
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                 http += b"\r\n" if revisit else b"Content-Length: %d\r\n\r\n" % payload.size
-                record = uuid.uuid5(uuid.NAMESPACE_URL, f"{page}/{digest}/{shard}/{n}")
-                fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{record}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join(url.split())), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + base32(bytes.fromhex(digest))), ("X-Payload-Length", payload.size)]
+                # the response that others repeat has a name that they can tell
+                record = record_id(page, digest, "first" if repeated and not revisit else f"{shard}/{n}")
+                fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", " ".join(url.split())), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha1:" + base32(bytes.fromhex(digest))), ("X-Payload-Length", payload.size)]
                 if page is not None:
                     fields.append(("X-Page-ID", page))
                 if revisit:
-                    fields.append(("WARC-Profile", PROFILE))
+                    fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, digest, "first"))]
                     if first is not None:
                         fields.append(("X-Refers-To-Page-ID", first))
                 fields.append(("Content-Length", len(http) + (0 if revisit else payload.size)))
