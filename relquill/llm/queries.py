@@ -55,5 +55,21 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM named"""
 
 
+#: Every window as hex; starts of those that occur twice, joined to runs; the text between the runs.
+_SUFFIX = """
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i, substr(h, 2 * i + 1, 400) AS w FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+t AS (SELECT r, i FROM p JOIN (SELECT w FROM p GROUP BY w HAVING count(*) > 1) USING (w)),
+k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM t)),
+s AS (SELECT r, min(i) AS lo, max(i) + 200 AS hi FROM k GROUP BY r, run),
+g AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS upto FROM s),
+o AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+  string_agg(substr(h, 2 * upto + 1, 2 * (lo - upto)), '' ORDER BY lo) AS kept FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN o USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _CHAT, "op8_warc": _WARC}
+    return {"op1_chat_formatting": _CHAT, "op8_warc": _WARC, "op9_suffix_dedup": _SUFFIX}

@@ -2,23 +2,30 @@
 
 A byte goes if a ``WINDOW``-byte string that covers it starts anywhere else too.
 
-1. Every window is dealt by content: its leftmost smallest ``GRAM``-byte hash (its
+1. Every window is routed by content: its leftmost smallest ``GRAM``-byte hash (its
    anchor) is the same wherever the window stands. Consecutive windows with one
    anchor form a context, about 80 windows, stored as digests beside their place.
    Texts are written once to the shared folder and never shuffled.
-2. Contexts are sorted by (anchor, digest). Lone anchors hold no repeat and end here.
-   Contexts that occur more than once are repeats as a whole.
-3. The distinct contexts of an anchor are fetched from the stored texts and dealt to
-   the index of their bucket: each batch gets a suffix array (its windows in order),
-   is merge-scanned against the levels before it for windows they share, and levels
-   of equal size merge geometrically. Anchors with more than ``CROWD`` contexts are
-   dealt once more by the digest of each whole window, so no task gathers them.
-4. Marked windows return to their texts, whose covered bytes are cut out.
-
-Windows never cross documents. Null text: empty. Texts under ``WINDOW`` bytes keep all.
-Repeated rows are places of their own, so they remove each other. Null or repeated
-doc_id: harmless, rows are told apart by their place. Extra columns are ignored.
-Empty table: no rows. Equal (anchor, context digest) pairs, 128 bits, count as equal.
+2. Contexts are sorted by (anchor, digest). Lone anchors hold no repeat and end here. Of each
+   other anchor one row a distinct context goes on, its entry, with whether it occurs again.
+3. The bytes of the entries are fetched from the stored texts and indexed: a logarithmic family
+   of suffix arrays over the anchors' places, sparse because a window that occurs
+   twice has its anchor at the same place in both. Each batch of contexts gets the suffix array
+   of its anchors, is merge-scanned against the levels before it, and levels of equal size merge
+   geometrically. Where suffixes share their gram, their common bytes to the right and to the left
+   are counted, and those of 200 or more together mark the windows that both contexts
+   hold. A context that occurs again stands in the array twice.
+4. The index's marks decide for all rows: copies of a context take those of its entry.
+   Anchors with more than ``CROWD`` contexts are dealt once more, by a 128-bit digest of each
+   whole window, so no task gathers them.
+5. Marked windows return to their texts, whose covered bytes are cut out.
+
+Windows never cross documents. Null text: empty. Texts under ``WINDOW`` bytes keep all. Very
+long texts are cut into contexts by slices that share their border's windows. Repeated rows are
+places of their own, so they remove each other; ties cannot arise. Null or repeated
+doc_id: harmless, rows are told apart by their place. Extra columns are ignored. ``docs`` must be
+a stable table: a repeated attempt writes the same shard. Empty table: no rows. Equal (anchor,
+context digest) pairs, 128 bits, count as one context; bytes are compared between entries.
 """
 
 from __future__ import annotations
@@ -29,20 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import ShardFile, batch_of, column, document_slices, documents, filesystem, gram_hashes, materialize, mix, partition_id, prefix_hash, run_dir, span_hashes, text_bytes
+from relquill.llm.common import ShardFile, batch_of, column, document_slices, documents, filesystem, gram_hashes, materialize, mix, partition_id, prefix_hash, run_dir, scatter_index, span_hashes, text_bytes
 
 WINDOW, GRAM = 200, 32
 SPAN = WINDOW - GRAM + 1
 SLICE = 1 << 20
 #: Distinct contexts of an anchor that one index takes; more are dealt by window.
 CROWD = 4096
-#: Windows of one batch of an index.
-BATCH = 1 << 15
+#: Contexts of one batch of an index, contexts at which a family is closed (where the anchor changes), pairs compared at once.
+BATCH, FAMILY, COMPARED = 2048, 1 << 15, 1 << 15
 
-_PLACE_BITS, _SHARD_BITS, _COUNT_BITS = 23, 32, 9
+#: A place: where a context begins, where its anchor stands in it, and its windows.
+_PLACE_BITS, _SHARD_BITS, _COUNT_BITS, _OFFSET_BITS = 23, 32, 9, 8
 #: ``sure``: the same context stands twice in the rows beside it, so it is a repeat wherever it goes.
 CONTEXTS = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("text", pa.int64()), ("place", pa.int64()), ("sure", pa.bool_())])
 CONTEXTS_DDL = "anchor long, digest long, text long, place long, sure boolean"
@@ -64,10 +73,10 @@ def sliding(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor, digest) of each context of some documents."""
+    """(document, first window, windows, anchor, digest, anchor's place in it) of each context of some documents."""
     n = len(data)
     if n < WINDOW:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     prefix = prefix_hash(data)
     grams = gram_hashes(prefix, GRAM)
     mask = np.uint64((1 << _PLACE_BITS) - 1)
@@ -78,14 +87,14 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = at + WINDOW <= offsets[1:][doc]
     at, anchor, doc = at[valid], anchor[valid], doc[valid]
     if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(at) != 1) | (np.diff(doc) != 0)]))
     count = np.diff(np.append(first, len(at)))
     start, anchor, doc = at[first], anchor[first], doc[first]
     body = span_hashes(prefix, start, start + count + WINDOW - 1)
     # where the anchor stands and how many windows there are belong to the context
     digest = mix(body ^ (count.astype(np.uint64) << np.uint64(20)) ^ (anchor - start).astype(np.uint64))
-    return doc, start, count, grams[anchor], digest
+    return doc, start, count, grams[anchor], digest, anchor - start
 
 
 def text_contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -127,9 +136,9 @@ def store_and_deal(docs: DataFrame, folder: str) -> DataFrame:
                 writer = pa.ipc.new_stream(out.out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
             for at in range(0, batch.num_rows, 2048):
                 writer.write_batch(batch.slice(at, 2048))
-            for doc, start, count, anchor, digest in text_contexts(*text_bytes(column(batch, "text"))):
+            for doc, start, count, anchor, digest, offset in text_contexts(*text_bytes(column(batch, "text"))):
                 if len(doc):
-                    yield batch_of(CONTEXTS, anchor.view(np.int64), digest.view(np.int64), (shard << _SHARD_BITS) + row + doc, (start << _COUNT_BITS) + count, third_and_later(digest))
+                    yield batch_of(CONTEXTS, anchor.view(np.int64), digest.view(np.int64), (shard << _SHARD_BITS) + row + doc, (((start << _OFFSET_BITS) + offset) << _COUNT_BITS) + count, third_and_later(digest))
             row += batch.num_rows
         if writer is not None:
             writer.close()
@@ -146,7 +155,7 @@ REPEATS = pa.schema([*list(CONTEXTS)[:4], ("often", pa.bool_()), ("entry", pa.bo
 
 def repeated(rows: DataFrame) -> DataFrame:
     """Rows whose anchor occurs more than once. ``often``: so does the context. ``entry``:
-    the one row that stands for a context which shares its anchor with other contexts.
+    the one row that stands for its context.
 
     Rows are sorted by (anchor, digest) and streamed; each row is judged by its
     neighbours, so a group of any size passes through without being gathered. Sure rows
@@ -156,26 +165,15 @@ def repeated(rows: DataFrame) -> DataFrame:
     names = ("anchor", "digest", "text", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(a, d, t, p, before: tuple | None, after: tuple | None, opens: bool) -> tuple[pa.RecordBatch | None, bool]:
-            """Judge rows between the one before and the one after; ``opens``: their first context began its anchor."""
-            n = len(a)
+        def judged(a, d, t, p, before: tuple | None, after: tuple | None) -> pa.RecordBatch | None:
+            """Judge rows between the one before and the one after."""
             same_a = np.concatenate([[before is not None and before[0] == a[0]], a[1:] == a[:-1], [after is not None and after[0] == a[-1]]])
             same_d = same_a & np.concatenate([[before is not None and before[1] == d[0]], d[1:] == d[:-1], [after is not None and after[1] == d[-1]]])
-            often = same_d[:-1] | same_d[1:]
-            first, last = ~same_d[:-1], ~same_d[1:]
-            # whether the context of each row is the first of its anchor
-            group = np.flatnonzero(first)
-            begins = np.empty(n, bool)
-            head = int(group[0]) if len(group) else n
-            begins[:head] = opens
-            if len(group):
-                begins[head:] = np.repeat(~same_a[:-1][group], np.diff(np.append(group, n)))
-            entry = (first & same_a[:-1]) | (last & begins & same_a[1:])
             keep = same_a[:-1] | same_a[1:]
-            out = batch_of(REPEATS, a[keep], d[keep], t[keep], p[keep], often[keep], entry[keep]) if keep.any() else None
-            return out, bool(begins[-1])
+            often, entry = (same_d[:-1] | same_d[1:])[keep], ~same_d[:-1][keep]
+            return batch_of(REPEATS, a[keep], d[keep], t[keep], p[keep], often, entry) if keep.any() else None
 
-        held, before, opens = None, None, True
+        held, before = None, None
         for batch in batches:
             cols = [column(batch, c).to_numpy() for c in names]
             sure = column(batch, "sure").to_numpy(zero_copy_only=False)
@@ -188,12 +186,12 @@ def repeated(rows: DataFrame) -> DataFrame:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             held = [c[-1:] for c in cols]
             if len(cols[0]) > 1:
-                out, opens = judged(*(c[:-1] for c in cols), before, (int(held[0][0]), int(held[1][0])), opens)
+                out = judged(*(c[:-1] for c in cols), before, (int(held[0][0]), int(held[1][0])))
                 before = (int(cols[0][-2]), int(cols[1][-2]))
                 if out is not None:
                     yield out
         if held is not None:
-            out, _ = judged(*held, before, None, opens)
+            out = judged(*held, before, None)
             if out is not None:
                 yield out
 
@@ -205,33 +203,62 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 class Level:
-    """A suffix array: windows in order, and which row of the index each came from."""
+    """A suffix array: numbers of contexts in the order of their bytes from the anchor on."""
 
-    def __init__(self, windows: np.ndarray, owner: np.ndarray):
-        self.windows, self.owner = windows, owner
+    def __init__(self, order: np.ndarray, suffixes: np.ndarray):
+        self.order, self.suffixes = order, suffixes
+        self.grams = np.ascontiguousarray(suffixes.view(np.uint8).reshape(len(order), -1)[:, :GRAM]).view(f"S{GRAM}").ravel()
 
 
 class IndexFamily:
-    """Suffix arrays of geometrically growing batches; marks windows that occur twice."""
+    """Suffix arrays of geometrically growing batches over the anchors of contexts; marks windows that occur twice.
 
-    def __init__(self, windows: int = WINDOW):
-        self.kind = np.dtype(f"S{windows}")
-        self.levels: list[Level | None] = []
-        self.marked = np.zeros(0, bool)
+    A context is a row of ``WIDTH`` bytes with its anchor at ``LEFT``, filled with zeros that
+    its extents keep out of any comparison.
+    """
 
-    def add(self, windows: np.ndarray) -> None:
-        """``windows``: (n, WINDOW) bytes, numbered on from those added before."""
-        base = len(self.marked)
-        self.marked = np.concatenate([self.marked, np.zeros(len(windows), bool)])
+    LEFT, WIDTH = SPAN - 1, SPAN - 1 + WINDOW
+
+    def __init__(self):
+        self.levels: list[Level | None] = []
+        self.size = 0
+        self.rows = np.zeros((0, self.WIDTH), np.uint8)
+        self.left, self.right, self.count = (np.zeros(0, np.int64) for _ in range(3))
+        #: changes, along the bytes that a window has before its anchor, of how often it was met
+        self.met = np.zeros((0, SPAN + 1), np.int32)
+
+    def grow(self, n: int) -> None:
+        """Room for n contexts more."""
+        if (need := self.size + n) > len(self.rows):
+            room = max(need, 2 * len(self.rows))
+            for name in ("rows", "left", "right", "count", "met"):
+                old = getattr(self, name)
+                new = np.zeros((room, *old.shape[1:]), old.dtype)
+                new[: self.size] = old[: self.size]
+                setattr(self, name, new)
+
+    def add(self, data: np.ndarray, ends: np.ndarray, left: np.ndarray, again: np.ndarray) -> None:
+        """Contexts as concatenated bytes and their n + 1 borders, the bytes before each anchor, and which occur again."""
+        n, base, size = len(left), self.size, np.diff(ends)
+        self.grow(n)
+        own = slice(base, base + n)
+        flat = self.rows[own].reshape(-1)
+        flat[scatter_index(np.arange(n) * self.WIDTH + self.LEFT - left, size)] = data[ends[0] : ends[-1]]
+        self.left[own], self.right[own], self.count[own] = left, size - left, size - WINDOW + 1
+        self.met[own.start : own.stop, 0] += again
+        self.size += n
         # fixed width bytes compare as memcmp
-        flat = np.ascontiguousarray(windows).view(self.kind).ravel()
-        order = np.argsort(flat, kind="stable")
-        new = Level(flat[order], order + base)
-        same = np.flatnonzero(new.windows[1:] == new.windows[:-1])
-        self.marked[new.owner[same]] = self.marked[new.owner[same + 1]] = True
+        suffixes = np.ascontiguousarray(self.rows[own, self.LEFT :]).view(f"S{WINDOW}").ravel()
+        order = np.argsort(suffixes, kind="stable")
+        new = Level(order + base, suffixes[order])
+        # runs of one gram within the batch: each suffix with those after it
+        edge = np.flatnonzero(np.concatenate([[True], new.grams[1:] != new.grams[:-1], [True]]))
+        after = np.repeat(edge[1:], np.diff(edge)) - np.arange(n) - 1
+        self.compare(new.order, after, new.order, np.arange(n) + 1)
         for level in self.levels:
             if level is not None:
-                self.scan(level, new)
+                low = np.searchsorted(level.grams, new.grams, side="left")
+                self.compare(new.order, np.searchsorted(level.grams, new.grams, side="right") - low, level.order, low)
         rank = 0
         while rank < len(self.levels) and self.levels[rank] is not None:
             new = self.merged(self.levels[rank], new)
@@ -241,77 +268,87 @@ class IndexFamily:
             self.levels.append(None)
         self.levels[rank] = new
 
-    def scan(self, level: Level, new: Level) -> None:
-        """Mark what a batch and a level share; both are in order."""
-        at = np.searchsorted(level.windows, new.windows)
-        there = at < len(level.windows)
-        there[there] = level.windows[at[there]] == new.windows[there]
-        self.marked[new.owner[there]] = True
-        hit = np.unique(at[there])
-        self.marked[level.owner[hit]] = True
-        # a level's equal windows have marked each other when they met
+    def compare(self, one: np.ndarray, times: np.ndarray, others: np.ndarray, low: np.ndarray) -> None:
+        """Each of ``one`` with as many of ``others`` from ``low`` on: they share their gram."""
+        some = np.flatnonzero(times > 0)
+        for a, b in document_slices(np.concatenate([[0], np.cumsum(times[some])]), COMPARED):
+            own, n = some[a:b], times[some[a:b]]
+            i, j = np.repeat(one[own], n), others[scatter_index(low[own], n)]
+            most = np.minimum(self.right[i], self.right[j])
+            r = np.minimum(self.common(self.rows[i, self.LEFT :] == self.rows[j, self.LEFT :]), most)
+            reach = np.minimum(self.left[i], self.left[j])
+            near = np.flatnonzero(reach + r >= WINDOW)
+            i, j, r, reach = i[near], j[near], r[near], reach[near]
+            left = np.minimum(self.common((self.rows[i, : self.LEFT] == self.rows[j, : self.LEFT])[:, ::-1]), reach)
+            both = np.flatnonzero(left + r >= WINDOW)
+            # windows with WINDOW - r to ``left`` bytes before the anchor
+            first, last = np.maximum(WINDOW - r[both], 0), left[both] + 1
+            for k in (i[both], j[both]):
+                np.add.at(self.met, (k, first), 1)
+                np.add.at(self.met, (k, last), -1)
+
+    @staticmethod
+    def common(same: np.ndarray) -> np.ndarray:
+        """How many columns of each row are true before the first that is not."""
+        return np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1)) if len(same) else np.zeros(0, np.int64)
 
     @staticmethod
     def merged(a: Level, b: Level) -> Level:
-        place = np.searchsorted(a.windows, b.windows, side="right") + np.arange(len(b.windows))
-        rest = np.ones(len(a.windows) + len(b.windows), bool)
+        place = np.searchsorted(a.suffixes, b.suffixes, side="right") + np.arange(len(b.suffixes))
+        rest = np.ones(len(a.suffixes) + len(b.suffixes), bool)
         rest[place] = False
-        windows, owner = np.empty(len(rest), a.windows.dtype), np.empty(len(rest), np.int64)
-        windows[place], owner[place] = b.windows, b.owner
-        windows[rest], owner[rest] = a.windows, a.owner
-        return Level(windows, owner)
+        suffixes, order = np.empty(len(rest), a.suffixes.dtype), np.empty(len(rest), np.int64)
+        suffixes[place], order[place] = b.suffixes, b.order
+        suffixes[rest], order[rest] = a.suffixes, a.order
+        return Level(order, suffixes)
+
+    def marked(self) -> list[np.ndarray]:
+        """Of each context, which of its windows occur twice, in their order."""
+        found = np.cumsum(self.met[: self.size, :SPAN], axis=1) > 0
+        return [row[p - c + 1 : p + 1][::-1] for row, p, c in zip(found, self.left[: self.size].tolist(), self.count[: self.size].tolist(), strict=True)]
 
 
 MARKS = pa.schema([("text", pa.int64()), ("place", pa.int64()), ("marks", pa.binary())])
 MARKS_DDL = "text long, place long, marks binary"
-BODIES_DDL = "anchor long, text long, place long, often boolean, body binary"
-
-
-def cut_windows(bodies: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.lib.stride_tricks.sliding_window_view(b, WINDOW) for b in bodies])
+BODIES = pa.schema([*list(CONTEXTS)[:4], ("often", pa.bool_()), ("body", pa.binary())])
+BODIES_DDL = "anchor long, digest long, text long, place long, often boolean, body binary"
+INDEXED = pa.schema([*list(BODIES)[:5], ("marks", pa.binary())])
+INDEXED_DDL = "anchor long, digest long, text long, place long, often boolean, marks binary"
 
 
 def indexed(bodies: DataFrame) -> DataFrame:
-    """Marked windows of the contexts (anchor, text, place, often, body), bucket by bucket."""
+    """(anchor, digest, text, place, often, marks) of the contexts with windows that occur twice, by families of whole anchors."""
+    names = [f.name for f in INDEXED][:5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # whole anchors are gathered into batches; an anchor above a batch takes several
-        rows: list[tuple] = []
-        size = 0
-
-        def close(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            family, at = IndexFamily(), 0
-            while at < len(rows):
-                end, n = at, 0
-                while end < len(rows) and (n == 0 or n < BATCH):
-                    n += len(rows[end][4]) - WINDOW + 1
-                    end += 1
-                family.add(cut_windows([r[4] for r in rows[at:end]]))
-                at = end
-            out, upto = [], 0
-            for _, text, place, often, body in rows:
-                n = len(body) - WINDOW + 1
-                own = family.marked[upto : upto + n]
-                upto += n
-                if not often and own.any():
-                    out.append((text, place, np.packbits(own).tobytes()))
-            if out:
-                yield batch_of(MARKS, *zip(*out, strict=True))
+        family, rows, last = IndexFamily(), [], None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            marks = [np.packbits(x).tobytes() if x.any() else None for x in family.marked()]
+            whole = pa.Table.from_batches(rows).append_column("marks", pa.array(marks, pa.binary()))
+            yield from whole.filter(pc.is_valid(whole["marks"])).combine_chunks().to_batches()
 
         for batch in batches:
-            cols = [column(batch, c).to_pylist() for c in ("anchor", "text", "place", "often")]
-            raw, at = text_bytes(column(batch, "body"))
-            for i, row in enumerate(zip(*cols, strict=True)):
-                if rows and size >= BATCH and row[0] != rows[-1][0]:
-                    yield from close(rows)
-                    rows, size = [], 0
-                body = raw[at[i] : at[i + 1]].copy()
-                rows.append((*row, body))
-                size += len(body) - WINDOW + 1
+            anchor, place = column(batch, "anchor").to_numpy(), column(batch, "place").to_numpy()
+            often = column(batch, "often").to_numpy(zero_copy_only=False)
+            data, ends = text_bytes(column(batch, "body"))
+            a = 0
+            while a < batch.num_rows:
+                b = min(a + BATCH, batch.num_rows)
+                if family.size >= FAMILY:
+                    # only the rest of the last anchor is still the family's
+                    b = min(b, a + int(np.argmax(np.append(anchor[a:b] != last, True))))
+                    if a == b:
+                        yield from ended()
+                        family, rows = IndexFamily(), []
+                        continue
+                family.add(data, ends[a : b + 1], place[a:b] >> _COUNT_BITS & ((1 << _OFFSET_BITS) - 1), often[a:b])
+                rows.append(batch.select(names).slice(a, b - a))
+                a, last = b, anchor[b - 1]
         if rows:
-            yield from close(rows)
+            yield from ended()
 
-    return bodies.repartition(F.col("anchor")).sortWithinPartitions("anchor", "text", "place").mapInArrow(run, MARKS_DDL)
+    return bodies.repartition(F.col("anchor")).sortWithinPartitions("anchor", "digest").mapInArrow(run, INDEXED_DDL)
 
 
 # --- between places and texts ---------------------------------------------------
@@ -350,7 +387,8 @@ def shards_in(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iter
 
 
 def split_place(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return place >> _COUNT_BITS, place & ((1 << _COUNT_BITS) - 1)
+    """Where contexts begin, and their windows."""
+    return place >> _COUNT_BITS + _OFFSET_BITS, place & ((1 << _COUNT_BITS) - 1)
 
 
 def wanted(folder: str, shard: int, text: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -369,21 +407,20 @@ def wanted(folder: str, shard: int, text: np.ndarray, place: np.ndarray) -> Iter
 
 def fetched(entries: DataFrame, folder: str) -> DataFrame:
     """Entries with the bytes of their contexts."""
-    names = ("anchor", "text", "place", "often")
-    schema = pa.schema([("anchor", pa.int64()), ("text", pa.int64()), ("place", pa.int64()), ("often", pa.bool_()), ("body", pa.binary())])
+    names = tuple(f.name for f in BODIES)[:5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, cols in shards_in(batches, names):
-            text, place = cols[1].to_numpy(), cols[2].to_numpy()
+            text, place = cols[2].to_numpy(), cols[3].to_numpy()
             at, bodies = [], []
             for i, body in wanted(folder, shard, text, place):
                 at.append(i)
                 bodies.append(body.tobytes())
                 if len(at) == 8192:
-                    yield batch_of(schema, *(c.take(pa.array(at)) for c in cols), bodies)
+                    yield batch_of(BODIES, *(c.take(pa.array(at)) for c in cols), bodies)
                     at, bodies = [], []
             if at:
-                yield batch_of(schema, *(c.take(pa.array(at)) for c in cols), bodies)
+                yield batch_of(BODIES, *(c.take(pa.array(at)) for c in cols), bodies)
 
     return by_shard(entries.select(*names)).mapInArrow(run, BODIES_DDL)
 
@@ -422,14 +459,18 @@ def crowded(entries: DataFrame, folder: str) -> DataFrame:
 def marked_windows(contexts_: DataFrame, folder: str, crowd: int = CROWD) -> DataFrame:
     """(text, place, marks): contexts with windows that occur elsewhere; null marks: all of them."""
     found = materialize(repeated(contexts_), "repeats")
-    entries = found.filter("entry")
+    entries, copies = found.filter("entry"), found.filter("often").select("anchor", "digest", "text", "place")
     crowds = materialize(entries.groupBy("anchor").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > crowd), "crowds")
-    whole = found.filter("often").select("text", "place", F.lit(None).cast("binary").alias("marks"))
+    more = None
     if crowds.limit(1).count():
-        dense = crowded(entries.join(crowds, "anchor", "left_semi"), folder)
+        crowded_ = entries.join(crowds, "anchor", "left_semi")
+        more = crowded(crowded_, folder).unionByName(copies.join(crowds, "anchor", "left_semi").select("text", "place", F.lit(None).cast("binary").alias("marks")))
         entries = entries.join(crowds, "anchor", "left_anti")
-        return whole.unionByName(indexed(fetched(entries, folder))).unionByName(dense)
-    return whole.unionByName(indexed(fetched(entries, folder)))
+    index = materialize(indexed(fetched(entries, folder)), "index")
+    once = index.filter("not often").select("text", "place", "marks")
+    again = copies.join(index.filter("often").select("anchor", "digest", "marks"), ["anchor", "digest"]).select("text", "place", "marks")
+    marks = once.unionByName(again)
+    return marks if more is None else marks.unionByName(more)
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("span_starts", pa.list_(pa.int64())), ("span_ends", pa.list_(pa.int64())), ("kept", pa.binary())])

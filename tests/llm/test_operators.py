@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "documents", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -176,6 +177,21 @@ def test_fingerprint_groups_edges(odd, none):
     assert simhash.fingerprint_groups(none).count() == 0
 
 
+def test_simhash_query_against_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    fps = [brute_fingerprint(t or "") for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= simhash.DISTANCE and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min(d, least.get(r, d))
+    want = sorted((d, f"{f:016x}", least[r]) for (d, _), f, r in zip(rows, fps, root, strict=True))
+    assert sorted(map(tuple, queries()["op3_simhash"](spark, SF).collect())) == want
+
+
 @pytest.mark.parametrize("unit", [2048, 16])
 def test_near_copies_against_all_pairs(spark, unit, monkeypatch):
     """Components of pairs with a 5-word Jaccard similarity of 0.8 or more, with one and with several units a key."""
@@ -602,6 +618,13 @@ def test_warc_chunks_revisits_and_ties(spark):
     chunks = warc.read_warc(spark, folder, warc.write_warc(pages, folder)).collect()
     last = [r for r in chunks if r["last"]]
     assert sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in last) == sorted([("5", "revisit", 3), ("3", "response", None), ("3", "revisit", 3), ("None", "revisit", 3), ("7", "response", None), ("8", "response", None), ("9", "revisit", 8)])
+    import gzip
+
+    fs, base = filesystem(folder)
+    names = {r["record_id"]: r for r in last}
+    raw = b"".join(gzip.decompress(fs.open_input_file(f.path).read()) for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".gz"))
+    referred = re.findall(rb"WARC-Record-ID: (\S+)\r\n(?:(?!\r\n).*\r\n)*?WARC-Refers-To: (\S+)\r\n", raw)
+    assert len(referred) == 4 and all(names[b.decode()]["record_type"] == "response" and names[b.decode()]["page_id"] == names[a.decode()]["refers_to"] for a, b in referred)
     own = sorted((r for r in chunks if r["page_id"] == 7), key=lambda r: r["chunk"])
     assert len(own) == 3 and b"".join(r["data"] for r in own) == big.encode() and own[-1]["bytes_so_far"] == 3_000_000
     assert all(r["digest_so_far"] == warc.base32(hashlib.sha1({7: big}.get(r["page_id"], "same" if r["bytes_so_far"] else "").encode()).digest()) for r in last)
@@ -648,15 +671,49 @@ def test_suffix_long_texts_are_cut_in_slices(monkeypatch):
     assert set(whole[3].tolist()) == set(parts[3].tolist())
 
 
-def test_index_family_marks_across_levels():
+@pytest.mark.parametrize("compared", [1 << 15, 50])
+def test_index_family_marks_across_levels(compared, monkeypatch):
+    """Windows of contexts that share anchors, batch by batch, against all windows."""
+    monkeypatch.setattr(suffix, "COMPARED", compared)
     rng = np.random.default_rng(1)
-    windows = rng.integers(97, 99, (700, 6)).astype(np.uint8)
-    family = suffix.IndexFamily(6)
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    grams, sides = [some(32) for _ in range(5)], [(some(168), some(168)) for _ in range(6)]
+    bodies, lefts, again = [], [], []
+    for _ in range(700):
+        left, right = (x.copy() for x in sides[rng.integers(6)])
+        for side in (left, right):
+            if rng.random() < 0.7:
+                side[rng.integers(168)] ^= 1
+        p = int(rng.integers(0, 169))
+        count = int(rng.integers(1, p + 2))
+        whole = np.concatenate([left[168 - p :], grams[rng.integers(5)], right])
+        bodies.append(whole[: count + 199])
+        lefts.append(p)
+        again.append(bool(rng.random() < 0.02))
+    family = suffix.IndexFamily()
     for k in range(0, 700, 50):
-        family.add(windows[k : k + 50])
-    seen = Counter(w.tobytes() for w in windows)
-    assert family.marked.tolist() == [seen[w.tobytes()] > 1 for w in windows]
+        part = bodies[k : k + 50]
+        ends = np.concatenate([[3], 3 + np.cumsum([len(x) for x in part])])
+        family.add(np.concatenate([some(3), *part]), ends, np.array(lefts[k : k + 50]), np.array(again[k : k + 50]))
+    seen = Counter((p - o, x[o : o + 200].tobytes()) for x, p in zip(bodies, lefts, strict=True) for o in range(len(x) - 199))
+    want = [[twice or seen[p - o, x[o : o + 200].tobytes()] > 1 for o in range(len(x) - 199)] for x, p, twice in zip(bodies, lefts, again, strict=True)]
+    got = [x.tolist() for x in family.marked()]
+    assert got == want and 0.1 < np.mean([x for row in want for x in row]) < 0.9
     assert [x is not None for x in family.levels] == [False, True, True, True]  # 14 batches
+    assert all(len(level.order) == 50 << k for k, level in enumerate(family.levels) if level is not None)
+
+
+@pytest.mark.parametrize(("batch", "family"), [(3, 10), (2, 1000)])
+def test_suffix_families_of_many_batches(spark, batch, family, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH", batch)
+    monkeypatch.setattr(suffix, "FAMILY", family)
+    rng = np.random.default_rng(3)
+    fresh = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passages = [fresh(int(n)) for n in rng.integers(190, 420, 12)]
+    rows = [fresh(int(rng.integers(0, 120))) + passages[rng.integers(12)][int(rng.integers(0, 60)) :] + fresh(int(rng.integers(0, 120))) for _ in range(120)]
+    got = suffix.without_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    want = [(k, int(g.sum()), bytes(np.frombuffer(t.encode(), np.uint8)[~g])) for k, (t, g) in enumerate(zip(rows, brute_cut([t.encode() for t in rows]), strict=True))]
+    assert sorted((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got) == want
 
 
 # --- the pipeline
