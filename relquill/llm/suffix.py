@@ -324,7 +324,8 @@ def indexed(bodies: DataFrame) -> DataFrame:
         family, rows, last = IndexFamily(), [], None
 
         def ended() -> Iterator[pa.RecordBatch]:
-            marks = [np.packbits(x).tobytes() if x.any() else None for x in family.marked()]
+            # no bits where every window is marked
+            marks = [(b"" if x.all() else np.packbits(x).tobytes()) if x.any() else None for x in family.marked()]
             whole = pa.Table.from_batches(rows).append_column("marks", pa.array(marks, pa.binary()))
             yield from whole.filter(pc.is_valid(whole["marks"])).combine_chunks().to_batches()
 
@@ -457,14 +458,14 @@ def crowded(entries: DataFrame, folder: str) -> DataFrame:
 
 
 def marked_windows(contexts_: DataFrame, folder: str, crowd: int = CROWD) -> DataFrame:
-    """(text, place, marks): contexts with windows that occur elsewhere; null marks: all of them."""
+    """(text, place, marks): contexts with windows that occur elsewhere; no bits: all of them."""
     found = materialize(repeated(contexts_), "repeats")
     entries, copies = found.filter("entry"), found.filter("often").select("anchor", "digest", "text", "place")
     crowds = materialize(entries.groupBy("anchor").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > crowd), "crowds")
     more = None
     if crowds.limit(1).count():
         crowded_ = entries.join(crowds, "anchor", "left_semi")
-        more = crowded(crowded_, folder).unionByName(copies.join(crowds, "anchor", "left_semi").select("text", "place", F.lit(None).cast("binary").alias("marks")))
+        more = crowded(crowded_, folder).unionByName(copies.join(crowds, "anchor", "left_semi").select("text", "place", F.lit(b"").alias("marks")))
         entries = entries.join(crowds, "anchor", "left_anti")
     index = materialize(indexed(fetched(entries, folder)), "index")
     once = index.filter("not often").select("text", "place", "marks")
@@ -481,11 +482,11 @@ def covered(size: int, place: np.ndarray, marks: list[bytes | None]) -> np.ndarr
     """Which bytes of a text lie in a marked window."""
     edge = np.zeros(size + 1, np.int32)
     start, count = split_place(place)
+    whole = np.array([not bits for bits in marks])
+    np.add.at(edge, start[whole], 1)
+    np.add.at(edge, (start + count - 1 + WINDOW)[whole], -1)
     for s, n, bits in zip(start.tolist(), count.tolist(), marks, strict=True):
-        if bits is None:
-            edge[s] += 1
-            edge[s + n - 1 + WINDOW] -= 1
-        else:
+        if bits:
             at = s + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
             edge[at] += 1
             edge[at + WINDOW] -= 1
