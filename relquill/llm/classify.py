@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relquill.llm.common import column, plain_names
+from relquill.llm.common import column, plain_names, released
 
 #: Labels are broadcast up to this many rows (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -42,7 +42,7 @@ def training_rows(rows: DataFrame, featured: Callable[[pa.Array], list[bytes]])
         for batch in batches:
             yield pa.record_batch([column(batch, "k"), pa.array(featured(column(batch, "text")), pa.binary()), column(batch, "y")], names=["k", "x", "y"])
 
-    each = rows.mapInArrow(run, "k long, x binary, y int").groupBy("k", "y").agg(F.min("x").alias("x"))
+    each = rows.mapInArrow(released(run), "k long, x binary, y int").groupBy("k", "y").agg(F.min("x").alias("x"))
     return sorted(each.select("x", "y").collect())
 
 
@@ -70,7 +70,7 @@ def summed_blocks(rows: DataFrame) -> dict[int, np.ndarray]:
         if key is not None:
             yield ended()
 
-    done = rows.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(run, "block long, body binary")
+    done = rows.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(released(run), "block long, body binary")
     return {r["block"]: np.frombuffer(r["body"], np.int64) for r in done.collect()}
 
 
@@ -92,7 +92,7 @@ def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name:
             score = pa.array(scorer(column(batch, "text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema).toDF(*kept, name)
+    return docs.mapInArrow(released(run), schema).toDF(*kept, name)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

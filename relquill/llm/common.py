@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import ctypes
 import hashlib
 import posixpath
 import uuid
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from relquill.sources.shared import shared_root
 
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: Class of the word contract: a word is a run of bytes outside 09-0D and 20.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -129,21 +131,26 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.full(n + 1, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+#: Entries of the table of powers that a worker keeps; texts beyond it have one of their own.
+KEPT_POWERS = 1 << 21
+_kept: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base's powers and inverse powers modulo 2**64, up to n."""
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
-    return up[: n + 1], down[: n + 1]
+
+    def run(base: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    table = _kept
+    if n >= len(table[0]):
+        size = (n >> 16) + 1 << 16
+        table = [run(_BASE), run(pow(_BASE, -1, 1 << 64))]
+        if size <= KEPT_POWERS:
+            _kept[:] = table
+    return table[0][: n + 1], table[1][: n + 1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -233,8 +240,19 @@ def sha256(data) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def released(run: Mapper) -> Mapper:
+    """``run``, after which the worker gives memory that is free back to the system: workers idle between stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

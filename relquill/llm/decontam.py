@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import batch_of, column, document_slices, documents, gram_hashes, mix, plain_names, prefix_hash, scatter_index, text_bytes
+from relquill.llm.common import batch_of, column, document_slices, documents, gram_hashes, mix, plain_names, prefix_hash, released, scatter_index, text_bytes
 
 MAX_EDIT, GRAM, SHORTEST = 0.1, 8, 40
 WALKS, TABLES, SAMPLES = 8, 48, 4
@@ -454,7 +454,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 if found:
                     yield batch_of(LEAKS, *zip(*((doc[d], shared.value.ids[o], s, e, k) for d, o, s, e, k in found), strict=True))
 
-        part = rows.mapInArrow(run, LEAKS_DDL)
+        part = rows.mapInArrow(released(run), LEAKS_DDL)
         out = part if out is None else out.unionByName(part)
     ids = benchmark.select(item_key("text").alias("key"), F.col("item_id").cast("long").alias("item_id"))
     return out.join(ids, "key").select("doc_id", "item_id", "start", "end", "edits")
@@ -473,7 +473,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 stays[[r[0] for r in batch_leaks(column(batch, "text"), shared.value)]] = False
                 yield batch if stays.all() else batch.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs.toDF(*names)
 
 

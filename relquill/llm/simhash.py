@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import batch_of, column, documents, materialize, mix, text_bytes, word_spans
+from relquill.llm.common import batch_of, column, documents, materialize, mix, released, text_bytes, word_spans
 
 WORDS, DISTANCE, PIVOTS, GROUP = 3, 2, 16, 2048
 
@@ -92,7 +92,7 @@ def with_fingerprints(docs: DataFrame, *keep: str, words: int = WORDS) -> DataFr
             fp = pa.array(fingerprints(column(batch, "text"), words).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), fp], names=[*keep, "fp"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 # --- links ---------------------------------------------------------------------
@@ -196,7 +196,7 @@ def group_links(distinct: DataFrame, parts: int, agree: int, most: int) -> DataF
         close()
         yield from emit()
 
-    return keyed.repartition(F.col("way"), F.col("part")).sortWithinPartitions("way", "part").mapInArrow(run, "a long, b long, dense boolean")
+    return keyed.repartition(F.col("way"), F.col("part")).sortWithinPartitions("way", "part").mapInArrow(released(run), "a long, b long, dense boolean")
 
 
 def link_table(distinct: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import ShardFile, batch_of, column, document_slices, documents, filesystem, mix, partition_id, run_dir, scatter_index, spread
+from relquill.llm.common import ShardFile, batch_of, column, document_slices, documents, filesystem, mix, partition_id, released, run_dir, scatter_index, spread
 
 MAGIC = b"RQTOK2\0\0"
 END_ID = 0
@@ -355,7 +355,7 @@ def write_token_shards(docs: DataFrame, tokenizer_path: str, folder: str, tasks:
     tie = [F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *tie)
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
-    written = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(run, MANIFEST_DDL)
+    written = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(released(run), MANIFEST_DDL)
     # one row for each shard; drivers hold manifests of any corpus
     return sorted(written.collect(), key=lambda r: r["shard"])
 
@@ -464,7 +464,7 @@ def read_token_shards(spark: SparkSession, folder: str, manifest: list) -> DataF
                         crc = [zlib.crc32(ids[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
                         yield batch_of(RECORDS, pa.array(keys[a:b], mask=~valid[a:b]), base + first[a:b], sizes[a:b], crc)
 
-    return spread(spark, rows, "shard long, name string, base long").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(spark, rows, "shard long, name string, base long").mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_file() -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relquill.llm.classify import block_rows, fold, labelled, sigmoid, summed_blocks, training_rows, with_score
-from relquill.llm.common import column, document_slices, documents, gram_values, prefix_hash, span_values, text_bytes
+from relquill.llm.common import column, document_slices, documents, gram_values, prefix_hash, released, span_values, text_bytes
 
 ORDERS, WORD_ORDERS, SLOTS, BLOCK = (3, 4, 5, 6), tuple(range(6, 12)), 1 << 18, 1 << 12
 TRAIN_ROWS, FEATURES, LEAST_Z = 16_384, 4096, 2.5
@@ -113,7 +113,7 @@ def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarra
             total -= part
 
     total = np.zeros(width, np.float64)
-    for block, body in summed_blocks(rows.select("text", "y").mapInArrow(run, "block long, body binary")).items():
+    for block, body in summed_blocks(rows.select("text", "y").mapInArrow(released(run), "block long, body binary")).items():
         total[block * BLOCK : (block + 1) * BLOCK] = body
     negative, positive, n = total[:SLOTS] + 1, total[SLOTS : 2 * SLOTS] + 1, total[2 * SLOTS : 2 * SLOTS + 2]
     ratio = np.log(positive / (n[1] + 2)) - np.log(negative / (n[0] + 2))
