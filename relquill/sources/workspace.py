@@ -135,7 +135,8 @@ class Workspace:
         The first ordered hint (a BTREE composite, else a BTREE, PREFIX or SUFFIX field) deals rows
         out by range, so that files and row groups do not overlap and their statistics prune;
         further ones order rows within files. SUFFIX fields get a column of their text reversed,
-        in which an ending is a beginning. Fields of HASH hints, composite or not, get bloom filters.
+        in which an ending is a beginning. Fields of HASH hints, composite or not, get bloom filters
+        (or, of few values, the dictionary that the writer prefers there).
         """
         entity, table = self.model.entity(name), self.table(name)
         for f in entity.fields:
