@@ -490,7 +490,7 @@ CATALOGUE: dict[str, Step] = {
     "group_set": (lambda ws: _ask("Order", "findAllGroupingByStatusAndPriorityAsSet")(ws).select("status", "priority", F.size("items").alias("n"), _listed("items", "o_orderkey").alias("ids")), "select o_orderstatus as status, o_orderpriority as priority, cast(count(*) as int) as n, sha256(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey)) as ids from orders group by all"),
     "group_rows": (_on("Order", lambda r: r.grouped_rows("findAllGroupingByPriority").select("priority", "item.o_orderkey", "item.o_totalprice")), "select o_orderpriority as priority, o_orderkey, o_totalprice from orders"),
     # hydration
-    "hydrate_one_to_many": (lambda ws: Repository(ws, "Customer").hydrated("orders").select("c_custkey", F.size("orders").alias("n"), _listed("orders", "o_orderkey").alias("ids"), F.element_at("orders", 1)["o_totalprice"].alias("total")), "select c_custkey, cast(count(o_orderkey) as int) as n, sha256(coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey), '')) as ids, arg_min(o_totalprice, o_orderkey) as total from customer left join orders on o_custkey = c_custkey group by all"),
+    "hydrate_one_to_many": (lambda ws: Repository(ws, "Customer").hydrated("orders").select("c_custkey", F.size("orders").alias("n"), _listed("orders", "o_orderkey").alias("ids"), F.get("orders", F.lit(0))["o_totalprice"].alias("total")), "select c_custkey, cast(count(o_orderkey) as int) as n, sha256(coalesce(string_agg(cast(o_orderkey as varchar), ',' order by o_orderkey), '')) as ids, arg_min(o_totalprice, o_orderkey) as total from customer left join orders on o_custkey = c_custkey group by all"),
     "hydrate_to_one": (lambda ws: Repository(ws, "Nation").hydrated("region").select("n_nationkey", F.col("region.r_name").alias("region")), "select n_nationkey, r_name as region from nation left join region on n_regionkey = r_regionkey"),
     "hydrate_inverse_one": (lambda ws: Repository(ws, "Realm").hydrated("capital").select("r_name", F.col("capital.n_name").alias("capital")), "select r_name, (select arg_min(n_name, n_nationkey) from nation where n_regionkey = r_regionkey and n_regionkey <> 2) as capital from region"),
     "hydrate_many_to_many": (lambda ws: Repository(ws, "Order").hydrated("parts", only={"parts": ["p_partkey", "p_size"]}).select("o_orderkey", F.size("parts").alias("n"), _listed("parts", "p_partkey").alias("ids"), F.aggregate(F.transform("parts", lambda x: x["p_size"].cast("long")), F.lit(0).cast("long"), lambda s, x: s + x).alias("sizes")), "select o_orderkey, cast(count(p_partkey) as int) as n, sha256(coalesce(string_agg(cast(p_partkey as varchar), ',' order by p_partkey), '')) as ids, cast(coalesce(sum(p_size), 0) as bigint) as sizes from orders left join (select distinct l_orderkey, l_partkey from lineitem) on l_orderkey = o_orderkey left join part on p_partkey = l_partkey group by all"),
