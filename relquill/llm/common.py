@@ -40,6 +40,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A value that over one row in this many has is hot; there are at most as many such values.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: tuple[str, ...], count: str) -> DataFrame:
+    """``rows`` with the columns of the row of ``table`` that has the same ``on``, nulls equal; others go.
+
+    ``table`` is stored, has one row for each value of ``on`` and in ``count`` the number of rows of
+    it. Rows of hot values stay where they are: at most ``HOT`` rows of ``table`` go to every
+    executor. The others meet in a shuffle whose tasks no value can fill.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    named = table.select(*(F.col(c).alias(f"by_{c}") for c in on), *(c for c in table.columns if c not in on))
+    same = [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in on]
+    is_hot = F.col(count) * HOT >= total
+    hot, cold = F.broadcast(named.filter(is_hot)), named.filter(~is_hot)
+    rest = rows.join(hot, same, "left_anti").join(cold, same)
+    return rows.join(hot, same).unionByName(rest).drop(*(f"by_{c}" for c in on))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system and path for a URI (file, hdfs, s3, gs), as ``run_dir`` gives them."""
     if uri.startswith("file:"):

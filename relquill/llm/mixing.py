@@ -11,7 +11,8 @@ copies are moved to where they close most of that gap.
 Only DataFrame functions. Ranks inside hot cells are dealt over hashed sub-cells of
 about ``RANK_ROWS`` rows, by a hash of the id so that reruns agree however the rows are
 laid out; a sub-cell that rows of one id (or of none) make larger than twice that is dealt
-once more by row number, so a cell may hold any share of the rows. The table of sources
+once more by row number, so a cell may hold any share of the rows. Rows of a hot cell get its
+rate where they are (``join_hot``). The table of sources
 (one row each) is ordered in one place, and each source's sizes (one row each, at most the words
 of its longest text) in one task.
 
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relquill.llm.common import WHITE, documents, materialize
+from relquill.llm.common import WHITE, documents, join_hot, materialize
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Sources up to which a table of one row a source is broadcast (under 100 bytes a row).
@@ -111,10 +112,9 @@ def mixed(docs: DataFrame, *keep: str) -> DataFrame:
     rate = F.when(F.col("lam").isNull(), F.lit(float(MOST))).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(2.0))), F.lit(float(MOST))))
     by_size = Window.partitionBy("sid").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     rated = cells.join(dual, "sid").withColumn("rate", rate).withColumn("before", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(by_size), F.lit(0.0)))
-    rated = materialize(rated.select("sid", F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "source_size", "target", "rate", "before"), "rates")
+    rated = materialize(rated.select("sid", "source", "size", "n", "source_size", "target", "rate", "before"), "rates")
     deal = F.xxhash64("doc_id", "size")
-    dealt = rows.join(rated, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))).drop("c_source", "c_size")
-    dealt = dealt.withColumn("deal", deal).withColumn("sub", F.pmod("deal", F.ceil(F.col("n") / RANK_ROWS)))
+    dealt = join_hot(rows, rated, ("source", "size"), "n").withColumn("deal", deal).withColumn("sub", F.pmod("deal", F.ceil(F.col("n") / RANK_ROWS)))
     place = ("source", "size", "sub")
     subs = materialize(dealt.groupBy(*place).agg(F.count("*").alias("m")), "sub-cells")
     crowded = subs.filter(F.col("m") > 2 * RANK_ROWS)

@@ -590,6 +590,22 @@ def test_mixing_targets_and_words(spark, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_hot_values_join_like_any_other(spark, monkeypatch):
+    """Null, hot and rare values, values without a row in the table, no rows: as a plain join has them."""
+    from relquill.llm import common
+
+    rows = [(k, None) for k in range(40)] + [(k, "hot") for k in range(50)] + [(k, f"v{k % 30}") for k in range(60)] + [(7, "stray")]
+    counts = Counter(v for _, v in rows if v != "stray")
+    left = spark.createDataFrame(rows, "id long, v string")
+    table = spark.createDataFrame([(v, n, f"of {v}") for v, n in counts.items()], "v string, n long, name string")
+    for hot in (1, 4, common.HOT):
+        monkeypatch.setattr(common, "HOT", hot)
+        got = common.join_hot(left, table, ("v",), "n")
+        assert got.columns == ["id", "v", "n", "name"]
+        assert Counter(map(tuple, got.collect())) == Counter((k, v, counts[v], f"of {v}") for k, v in rows if v in counts)
+    assert common.join_hot(left, table.limit(0), ("v",), "n").count() == 0 == common.join_hot(left.limit(0), table, ("v",), "n").count()
+
+
 def test_mixing_splits_cells_of_one_id(spark, monkeypatch):
     """Rows that share an id and a size are ranked in sub-cells like others, and every word is spent."""
     monkeypatch.setattr(mixing, "RANK_ROWS", 64)
