@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import batch_of, column, documents, materialize, mix, released, text_bytes, word_spans
+from relquill.llm.common import batch_of, column, documents, join_hot, materialize, mix, released, text_bytes, word_spans
 
 WORDS, DISTANCE, PIVOTS, GROUP = 3, 2, 16, 2048
 
@@ -237,12 +237,12 @@ def components(links: DataFrame) -> DataFrame:
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text): components of fingerprints within 2 bits."""
     rows = materialize(with_fingerprints(docs, "doc_id"), "fingerprints")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
     roots = components(link_table(classes.select("fp")))
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "root").select(F.col("fp").alias("k"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+    named = materialize(placed.join(least, "root").select("fp", "component_id", "n"), "named")
+    return join_hot(rows, named, ("fp",), "n").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
