@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relquill.llm.common import ShardFile, batch_of, column, filesystem, partition_id, run_dir, spread
+from relquill.llm.common import ShardFile, batch_of, column, filesystem, join_hot, materialize, partition_id, run_dir, spread
 
 CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,10 +53,11 @@ def decide(pages: DataFrame, least: int) -> DataFrame:
     # the page and its payload as one key, never null
     key = F.concat_ws("/", F.col("page_id").cast("string"), "digest").alias("key")
     rows = pages.select(page, F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html")).withColumn("digest", F.sha1("html"))
-    # the pages are hashed again for the groups rather than stored twice
+    # digests are stored for the groups, pages are not
     narrow = pages.select(page, F.sha1(html).alias("digest"), (F.octet_length(html) >= least).alias("big")).filter("big")
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).filter("copies > 1")
-    repeated = narrow.join(first, "digest").select(key, "first_page").groupBy("key").agg(F.first("first_page").alias("first_page"), F.lit(True).alias("repeated"))
+    narrow = materialize(narrow.drop("big"), "digests")
+    first = materialize(narrow.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("copies")).filter("copies > 1"), "first-pages")
+    repeated = join_hot(narrow, first, ("digest",), "copies").select(key, "first_page").groupBy("key").agg(F.first("first_page").alias("first_page"), F.lit(True).alias("repeated"))
     # pages move once, by a key that the join and the writer share
     joined = rows.select("*", key).repartition(F.col("key")).join(repeated, "key", "left")
     return joined.select("key", "page_id", "url", "html", "digest", F.coalesce("repeated", F.lit(False)).alias("repeated"), "first_page")
