@@ -232,6 +232,44 @@ def test_near_copies_against_all_pairs(spark, unit, monkeypatch):
     assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
 
 
+def test_near_copies_are_named_by_simhash_and_pivots(spark, monkeypatch):
+    """The pipeline's stage goes through fingerprints and nearest pivots, held against their definition."""
+    import corpus_pipeline as p
+    from relquill.llm import nearcopies
+
+    passed = []
+    signed, pairs = nearcopies.signed_rows, nearcopies.close_pairs
+    monkeypatch.setattr(nearcopies, "signed_rows", lambda *a: passed.append(("rows", signed(*a))) or passed[-1][1])
+    monkeypatch.setattr(nearcopies, "close_pairs", lambda *a: passed.append(("pairs", pairs(*a))) or passed[-1][1])
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 3000, 300)]
+    # an edit changes five of 296 shingles: five edits leave 0.85, twelve 0.66
+    edited = lambda n: " ".join("e" if n and k in range(12, 12 + 20 * n, 20) else w for k, w in enumerate(base))
+    docs = [edited(0), edited(5), edited(12), "", "four words are enough", "A  four words ARE"]
+    kept = p.one_of_each(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], DOCS), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4, 5]
+    assert {name for name, _ in passed} == {"rows", "pairs"}
+    assert next(df for name, df in passed if name == "pairs").count() >= 1
+
+    _, n, shingles = nearcopies.word_shingles(np.frombuffer("".join(docs).encode(), np.uint8), np.cumsum([0, *map(len, docs)]))
+    pivots = nearcopies._PIVOTS.T.reshape(nearcopies.TABLES, nearcopies.PER, nearcopies.PIVOTS, nearcopies.BITS)
+    sets = nearcopies.split_sets(n, shingles)
+    voted = nearcopies.votes(sets)
+    for own, got, prints, keys in zip(sets, voted, nearcopies.simhash(voted), nearcopies.pivot_keys(voted), strict=True):
+        hashes = nearcopies.mix((own[:, None] + nearcopies._VOTE[:4]) * nearcopies._VOTE[:4]).view(np.uint8)
+        votes = (2 * np.unpackbits(hashes).reshape(-1, nearcopies.BITS).astype(int) - 1).sum(axis=0)
+        assert got.tolist() == votes.tolist() and np.unpackbits(prints.view(np.uint8)).tolist() == (votes > 0).tolist()
+        # distance to a pivot: the votes of the bits that differ; to its complement: of those that agree
+        apart = np.where((votes > 0) == (pivots > 0), 0, abs(votes)).sum(axis=-1)
+        least = np.minimum(apart, abs(votes).sum() - apart).min(axis=-1)
+        if len(own):
+            codes = keys - np.arange(nearcopies.TABLES) * (2 * nearcopies.PIVOTS) ** nearcopies.PER
+            for j in range(nearcopies.PER):
+                code = codes // (2 * nearcopies.PIVOTS) ** j % (2 * nearcopies.PIVOTS)
+                chosen = apart[np.arange(nearcopies.TABLES), j, code // 2]
+                assert (np.where(code % 2, chosen, abs(votes).sum() - chosen) == least[:, j]).all()
+
+
 def test_pipeline_keeps_one_row_of_each_group(spark):
     """Rows of one id with other texts, and rows without an id."""
     import corpus_pipeline as p
