@@ -232,6 +232,50 @@ def test_near_copies_against_all_pairs(spark, unit, monkeypatch):
     assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])
 
 
+def test_near_copies_that_fingerprints_and_pivots_miss(spark):
+    """Pairs at exactly 0.8 that are beyond the radius, or have no key in common."""
+    from relquill.llm import nearcopies
+
+    numbers = [
+        [738374284, 663522843, 774662876, 738735239, 630509414, 309355902, 555274285, 990872478, 85896759],
+        [662677076, 540122104, 855600630, 98700496, 754112587, 936929615, 773727664, 279231759, 845017411],
+        [946260742, 467475168, 508914122, 301985088, 899220354, 678664829, 429946497, 267924205, 623065395, 848737873, 315030644, 775615266, 60963029, 27708738],
+    ]
+    words = [[f"w{x}" for x in own] for own in numbers]
+    docs = [" ".join(own[:n]) for own in words for n in (len(own) - (len(own) - 4) // 5, len(own))]
+    sets = nearcopies.split_sets(*nearcopies.word_shingles(np.frombuffer("".join(docs).encode(), np.uint8), np.cumsum([0, *map(len, docs)]))[1:])
+    voted = nearcopies.votes(sets)
+    prints, keys = nearcopies.simhash(voted), nearcopies.pivot_keys(voted)
+    for k in range(0, len(docs), 2):
+        assert 5 * len(sets[k]) == 4 * len(sets[k + 1]) and np.isin(sets[k], sets[k + 1]).all()
+        assert np.bitwise_count(prints[k] ^ prints[k + 1]).sum() > nearcopies.RADIUS or not (keys[k] == keys[k + 1]).any()
+    got = {r["row"]: r["component"] for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(docs)), "row long, text string")).collect()}
+    assert len(set(got.values())) == 3 and all(got[k] == got[k + 1] for k in range(0, len(docs), 2))
+
+
+@pytest.mark.parametrize(("unit", "often", "frequent"), [(1024, 64, 1 << 20), (8, 2, 1 << 20), (8, 2, 10)])
+def test_missed_pairs_are_all_similar_pairs(spark, unit, often, frequent, monkeypatch):
+    """Without any component the exact search alone names every pair at 0.8, with shared passages, sizes across powers of two and few keys frequent."""
+    from relquill.llm import nearcopies
+
+    for name, value in (("UNIT", unit), ("OFTEN", often), ("FREQUENT", frequent)):
+        monkeypatch.setattr(nearcopies, name, value)
+    rng = np.random.default_rng(11)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    passage, docs = some(40), ["", "a", "a b c"]
+    for size in (5, 8, 13, 20, 36, 67, 68, 69, 130, 260, 1100, 5200):
+        for _ in range(3):
+            base = some(size) + (passage if size > 20 else [])
+            docs += [" ".join(base), " ".join(base + some(1)), " ".join(base + some((len(base) - 4) // 4)), " ".join(base + some((len(base) - 4) // 4 + 1)), " ".join(base[len(base) // 5 :])]
+    docs = list(dict.fromkeys(docs))
+    texts = spark.createDataFrame(list(enumerate(docs)), "row long, text string")
+    classes, n, shingles = nearcopies.word_shingles(np.frombuffer("".join(docs).encode(), np.uint8), np.cumsum([0, *map(len, docs)]))
+    sets, names = [set(x.tolist()) for x in nearcopies.split_sets(n, shingles)], classes.view(np.int64).tolist()
+    pairs = {(max(names[i], names[j]), min(names[i], names[j])) for j in range(len(docs)) for i in range(j) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = {(r["a"], r["b"]) for r in nearcopies.missed(texts, spark.createDataFrame([], "node long, root long")).collect()}
+    assert len(pairs) > 60 and pairs <= got and len(got) < 3 * len(pairs)
+
+
 def test_near_copies_are_named_by_simhash_and_pivots(spark, monkeypatch):
     """The pipeline's stage goes through fingerprints and nearest pivots, held against their definition."""
     import corpus_pipeline as p
