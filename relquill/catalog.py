@@ -286,8 +286,7 @@ def _objects(ws: Workspace) -> DataFrame:
     class Orders(Repository):
         entity, made_as = "DeclaredOrder", DeclaredOrder
 
-    found = Orders(ws).findByStatusAndTotalGreaterThan("P", 300000)
-    return ws.spark.createDataFrame([(x.orderkey, x.status, x.total) for x in found], "orderkey long, status string, total double")
+    return Orders(ws).each("findByStatusAndTotalGreaterThan", lambda x: (x.orderkey, x.status, x.total), "orderkey long, status string, total double", "P", 300000)
 
 
 def _noted(ws: Workspace) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import functools
 import types
 import typing
 from collections.abc import Mapping
@@ -61,9 +62,14 @@ def fits(code: str, hint) -> bool:
     return kind in (object, typing.Any) or kind not in CODES or code in CODES[kind]
 
 
+@functools.lru_cache(maxsize=256)
+def hints_of(cls: type) -> dict[str, object]:
+    return typing.get_type_hints(cls)
+
+
 def made(cls: type, values: Mapping[str, object]) -> object:
     """An object of a dataclass from dotted properties; nested dataclasses are made of their parts."""
-    hints, out = typing.get_type_hints(cls), {}
+    hints, out = hints_of(cls), {}
     for f in dataclasses.fields(cls):
         kind, _ = plain(hints[f.name])
         if f.name in values:

@@ -10,9 +10,11 @@
 
 from __future__ import annotations
 
+import copy
 import dataclasses
 import datetime as dt
 import re
+import types
 import typing
 import uuid
 from collections.abc import Callable, Mapping
@@ -148,6 +150,20 @@ class Repository:
             return dict.fromkeys(make(r) for r in df.collect()).keys()
         return [make(r) for r in df.collect()]
 
+    def each(self, name: str, value: Callable[[object], tuple], schema: str, *args, **named) -> DataFrame:
+        """A reading method's objects, each made by a worker that has its row: a DataFrame of ``value`` of every one.
+
+        Nothing is brought to the driver. Converters and the post_load hook run there, the hook in a
+        repository whose workspace has its converters only.
+        """
+        query, returns = self.compile(name), self.returns.get(name)
+        if query.action != "FIND" or query.group or returns not in (None, "list"):
+            raise ValueError(f"{name}: no rows to make objects of")
+        apart = copy.copy(self)
+        apart.ws = types.SimpleNamespace(converters=self.ws.converters)
+        make = apart.made(name, query)
+        return self.ws.spark.createDataFrame(self.lowered(query, args, named).rdd.map(lambda r: value(make(r))), schema)
+
     def made(self, name: str, query: Query) -> Callable[[Row], object]:
         """What becomes of a row: a record, an entity, or a projected row as it is."""
         if (record := self.records.get(name)) is not None:

@@ -258,6 +258,42 @@ def test_objects_of_nested_dataclasses(spark):
     assert sorted(repo.findAll(), key=lambda p: p.id) == [Person(1, Address("Ulm")), Person(2, None)]
 
 
+def test_objects_are_made_by_the_workers(spark, monkeypatch):
+    """``each`` has the objects that a call has, converted and through the hook, and no row of the query goes to the driver."""
+    import dataclasses
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from relquill.functions.values import Converter
+
+    @dataclasses.dataclass
+    class Person:
+        id: int
+        name: str | None = None
+
+    class People(Repository):
+        entity, made_as = "Person", Person
+
+        def post_load(self, row):
+            return row | {"name": f"{row['name']}!"}
+
+    ws = Engine(spark).workspace()
+    ws.add(Entity("Person", "id", (Field("id", "long"), Field("name", "string", converter=Converter(str.lower, lambda v: v and v.upper())))), spark.createDataFrame([(1, "ann"), (2, None), (3, "bob")], "id long, name string"))
+    repo = People(ws)
+    wanted = [(p.id, p.name) for p in repo.findByIdGreaterThanOrderByIdDesc(0)]
+    assert wanted == [(3, "BOB!"), (2, "None!"), (1, "ANN!")]
+    assert list(map(tuple, repo.each("findByIdGreaterThanOrderByIdDesc", lambda p: (p.id, p.name), "id long, name string", 0).collect())) == wanted
+    for name in ("countByName", "deleteByName"):
+        with pytest.raises(ValueError):
+            repo.each(name, lambda p: (p,), "p string", "ann")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("rows went to the driver"))
+        objects = catalog.queries()["materialised_objects"](spark, SF)
+    rows = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderstatus = 'P' and o_totalprice > 300000").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    assert sorted(map(tuple, objects.collect())) == sorted(map(tuple, rows.collect())) != []
+
+
 def test_layouts_reach_the_files(spark, tmp_path):
     """Files of a range do not overlap, endings are sought as beginnings, and bloom filters are there."""
     import glob
